@@ -48,7 +48,8 @@ def clean_broad(
         "date",
     )
     others = [c for c in dated.columns if c not in ("sample", "g_nomen", "date")]
-    single = first_per_key(dated, ["sample", "g_nomen"], ["date", *others])
+    order = [F.col("date").asc_nulls_last(), *others]
+    single = first_per_key(dated, ["sample", "g_nomen"], order)
     rows = single.withColumns(
         {"sample": strip_from("sample", "T"), "af": to_double("af")}
     ).filter(F.col("af").isNotNull())
