@@ -97,14 +97,14 @@ def km_at(
     row unless ``extend``.
     """
     strata = as_list(strata)
-    at = curve.withColumn("at", F.explode(F.array(*[F.lit(t) for t in times])))
-    passed = F.col("time") <= F.col("at")
+    asked = curve.withColumn("horizon", F.explode(F.array(*[F.lit(t) for t in times])))
+    passed = F.col("time") <= F.col("horizon")
 
     def last(c: str) -> Column:
         return F.max_by(F.when(passed, F.col(c)), F.when(passed, F.col("time")))
 
-    waiting = F.when(F.col("time") >= F.col("at"), F.col("time"))
-    result = at.groupBy(*strata, "at").agg(
+    waiting = F.when(F.col("time") >= F.col("horizon"), F.col("time"))
+    result = asked.groupBy(*strata, "horizon").agg(
         F.coalesce(last("survival"), F.lit(1.0)).alias("survival"),
         last("std_err").alias("std_err"),
         last("lower").alias("lower"),
@@ -113,7 +113,7 @@ def km_at(
         F.max("time").alias("__last"),
     )
     if not extend:
-        result = result.filter(F.col("at") <= F.col("__last"))
+        result = result.filter(F.col("horizon") <= F.col("__last"))
     return result.drop("__last")
 
 
@@ -143,9 +143,9 @@ def risk_table(
         .agg(F.count("*").alias("n"))
     )
     return (
-        counts.withColumn("at", F.explode(F.array(*[F.lit(g) for g in grid])))
-        .groupBy(*strata, "at")
-        .agg(F.sum(F.when(F.col("time") >= F.col("at"), F.col("n")).otherwise(0)).alias("n_risk"))
+        counts.withColumn("horizon", F.explode(F.array(*[F.lit(g) for g in grid])))
+        .groupBy(*strata, "horizon")
+        .agg(F.sum(F.when(F.col("time") >= F.col("horizon"), F.col("n")).otherwise(0)).alias("n_risk"))
     )
 
 

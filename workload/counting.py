@@ -83,7 +83,7 @@ def count_parent_total(t):
 
 
 @query("""SELECT l_shipmonth, count, CAST(sum(count) OVER () AS BIGINT) AS freq FROM (
-  SELECT month(l_shipdate) AS l_shipmonth, count(*) AS count FROM lineitem GROUP BY 1)""")
+  SELECT CAST(month(l_shipdate) AS INTEGER) AS l_shipmonth, count(*) AS count FROM lineitem GROUP BY 1)""")
 def count_overall_total(t):
     months = t.lineitem.select(F.month("l_shipdate").alias("l_shipmonth"))
     return agg.count_with_parent_total(months, [], "l_shipmonth")

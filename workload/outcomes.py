@@ -28,13 +28,13 @@ def km_curve(t):
     return rounded(curve, "survival", "std_err", "lower", "upper")
 
 
-@query(f"""{CURVE}, asked AS (SELECT arm, at FROM (SELECT DISTINCT arm FROM curve) CROSS JOIN (VALUES (24), (48), (72)) v(at)),
-last AS (SELECT a.arm, a.at, max(c.time) AS time FROM asked a JOIN curve c ON a.arm = c.arm AND c.time <= a.at GROUP BY 1, 2)
-SELECT l.arm, l.at, round(c.survival, 6) AS survival, round(c.std_err, 6) AS std_err, round(c.lower, 6) AS lower,
+@query(f"""{CURVE}, asked AS (SELECT arm, horizon FROM (SELECT DISTINCT arm FROM curve) CROSS JOIN (VALUES (24), (48), (72)) v(horizon)),
+last AS (SELECT a.arm, a.horizon, max(c.time) AS time FROM asked a JOIN curve c ON a.arm = c.arm AND c.time <= a.horizon GROUP BY 1, 2)
+SELECT l.arm, l.horizon, round(c.survival, 6) AS survival, round(c.std_err, 6) AS std_err, round(c.lower, 6) AS lower,
   round(c.upper, 6) AS upper,
-  (SELECT count(*) FROM followed f WHERE f.arm = l.arm AND f.months >= l.at) AS n_risk
+  (SELECT count(*) FROM followed f WHERE f.arm = l.arm AND f.months >= l.horizon) AS n_risk
 FROM last l JOIN curve c ON l.arm = c.arm AND l.time = c.time
-WHERE l.at <= (SELECT max(time) FROM curve m WHERE m.arm = l.arm)""")
+WHERE l.horizon <= (SELECT max(time) FROM curve m WHERE m.arm = l.arm)""")
 def km_at(t):
     curve = survival.km_curve(followed(t), "months", "died", "arm")
     return rounded(
@@ -54,8 +54,8 @@ def nelson_aalen(t):
     return rounded(survival.km_cumhaz(curve, "arm", nelson_aalen=True), "cumhaz")
 
 
-@query(f"""WITH {FOLLOWED}, grid AS (SELECT * FROM (VALUES (0), (12), (24), (36), (48), (60), (72)) v(at))
-SELECT arm, at, count(*) FILTER (months >= at) AS n_risk FROM followed CROSS JOIN grid GROUP BY 1, 2""")
+@query(f"""WITH {FOLLOWED}, grid AS (SELECT * FROM (VALUES (0), (12), (24), (36), (48), (60), (72)) v(horizon))
+SELECT arm, horizon, count(*) FILTER (months >= horizon) AS n_risk FROM followed CROSS JOIN grid GROUP BY 1, 2""")
 def risk_table(t):
     return survival.risk_table(followed(t), "months", range(0, 73, 12), "arm")
 
