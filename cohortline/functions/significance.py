@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,13 +43,9 @@ def normalize_significance(c: Column | str, squeeze_blanks: bool = True) -> Colu
         value = F.regexp_replace(value, pattern, wording)
     if squeeze_blanks:
         value = F.regexp_replace(value, " {2,}", " ")
-    value = F.when(value == "", F.lit(ABSENT)).otherwise(value)
+    # every step mentions the value once: a branch over it would evaluate the whole chain again
+    value = F.regexp_replace(value, "^$", ABSENT)
     value = F.regexp_replace(value, ABSENT_PATTERN, ABSENT)
-    # the labels of the override list never contain a later marker except "Pathogenic", which
-    # no earlier label contains either, so the first marker found decides
-    overrides = reduce(
-        lambda chain, rule: chain.when(value.contains(rule[0]), F.lit(rule[1])),
-        WHOLE_VALUE[1:],
-        F.when(value.contains(WHOLE_VALUE[0][0]), F.lit(WHOLE_VALUE[0][1])),
-    )
-    return overrides.otherwise(value)
+    for marker, wording in WHOLE_VALUE:
+        value = F.regexp_replace(value, f"(?s)^.*{marker}.*$", wording)
+    return value

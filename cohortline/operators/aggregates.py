@@ -62,7 +62,7 @@ def sum_if(measure: str, condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col(measure))), F.lit(0))
 
 
-def cv(measure: str) -> Column:
+def cv(measure: Column | str) -> Column:
     """Coefficient of variation as an aggregate; null for one value or a zero mean."""
     return F.try_divide(F.stddev_samp(measure), F.avg(measure))
 

@@ -2,20 +2,22 @@
 
 Subjects are aggregated once to risk sets: one row per time with deaths and at-risk counts for each
 combination of covariate levels. The counts do not depend on the coefficients, so every Newton step
-is one small aggregate over that durable table, and the driver only solves a k×k system.
+is one aggregate over that small durable table (a few sums of Arrow batches), and the driver only
+solves a k×k system.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 from operator import and_
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +25,7 @@ from cohortline.operators.survival import MAX_LEVELS, level_values, risk_sets
 from cohortline.session import durable
 
 FEW_TIES = 32
+SHIFT = 8
 RESULT_SCHEMA = T.StructType(
     [
         T.StructField("term", T.StringType()),
@@ -41,155 +44,120 @@ RESULT_SCHEMA = T.StructType(
 )
 
 
-def _digamma_step(x: Column, d: Column) -> Column:
-    """psi(x) - psi(x - d) for x - d > 0, without cancellation when x is huge against d."""
-    low, high, head = x - d, x, F.lit(0.0)
-    # the asymptotic series needs a large argument: step the smaller one up by the recurrence
-    for i in range(8):
-        head = head + d / ((low + i) * (high + i))
-    low, high = low + 8, high + 8
-    series = (
-        -F.log1p(-d / high)
-        + d / (2.0 * low * high)
-        + (high * high - low * low) / (12.0 * low * low * high * high)
-        - (F.pow(low, F.lit(-4.0)) - F.pow(high, F.lit(-4.0))) / 120.0
-        + (F.pow(low, F.lit(-6.0)) - F.pow(high, F.lit(-6.0))) / 252.0
-    )
-    return head + series
-
+def _shifted(x: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two ends x - d and x, moved up to where the asymptotic series below are accurate."""
+    return x - d + SHIFT, x + SHIFT
 
-def _trigamma_step(x: Column, d: Column) -> Column:
-    """psi'(x - d) - psi'(x) for x - d > 0."""
-    low, high, head = x - d, x, F.lit(0.0)
-    for i in range(8):
-        a, b = low + i, high + i
-        head = head + d * (a + b) / (a * a * b * b)
-    low, high = low + 8, high + 8
-    series = (
-        d / (low * high)
-        + d * (low + high) / (2.0 * low * low * high * high)
-        + (F.pow(low, F.lit(-3.0)) - F.pow(high, F.lit(-3.0))) / 6.0
-        - (F.pow(low, F.lit(-5.0)) - F.pow(high, F.lit(-5.0))) / 30.0
-        + (F.pow(low, F.lit(-7.0)) - F.pow(high, F.lit(-7.0))) / 42.0
-    )
-    return head + series
 
+def _gamma_steps(x: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """psi(x) - psi(x-d), psi'(x-d) - psi'(x) and log Gamma(x) - log Gamma(x-d), for x - d > 0.
 
-def _log_gamma_step(x: Column, d: Column) -> Column:
-    """log Gamma(x) - log Gamma(x - d) for x - d > 0."""
-    low, high, head = x - d, x, F.lit(0.0)
-    for i in range(8):
-        head = head + F.log1p(-d / (high + i))
-    low, high = low + 8, high + 8
+    Written as differences throughout, so nothing cancels when x is huge against d.
+    """
+    low, high = _shifted(x, d)
+    shrink = np.log1p(-d / high)
 
-    def stirling(a: Column) -> Column:
-        return 1.0 / (12.0 * a) - 1.0 / (360.0 * a * a * a) + 1.0 / (1260.0 * F.pow(a, F.lit(5.0)))
+    def powers(e: int) -> np.ndarray:
+        return low**-e - high**-e
 
-    series = (
-        d * F.log(high) - d - (low - 0.5) * F.log1p(-d / high) + stirling(high) - stirling(low)
+    first = -shrink + d / (2 * low * high) + powers(2) / 12 - powers(4) / 120 + powers(6) / 252
+    second = (
+        d / (low * high) + d * (low + high) / (2 * (low * high) ** 2)
+        + powers(3) / 6 - powers(5) / 30 + powers(7) / 42
     )
-    return head + series
+    logs = (
+        d * np.log(high) - d - (low - 0.5) * shrink
+        - powers(1) / 12 + powers(3) / 360 - powers(5) / 1260
+    )
+    for i in range(SHIFT):
+        below, above = x - d + i, x + i
+        first = first + d / (below * above)
+        second = second + d * (below + above) / (below * above) ** 2
+        logs = logs + np.log1p(-d / above)
+    return first, second, logs
 
 
-def _tie_sums(risk: Column, dying: Column, d: Column) -> tuple[Column, Column, Column]:
+def tie_sums(
+    risk: np.ndarray, dying: np.ndarray, deaths: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sums over l = 0 … d-1 of 1/r_l, 1/r_l² and log r_l, with r_l = risk - l/d * dying.
 
     A handful of ties is summed as it stands; many ties use the closed form by gamma functions, so
     a time at which millions die costs no more than one at which two do.
     """
-    step = dying / d
-    few = d <= FEW_TIES
-    each = F.sequence(F.lit(0), F.least(d, F.lit(FEW_TIES)).cast("int") - 1)
-
-    def summed(term) -> Column:
-        return F.aggregate(each, F.lit(0.0), lambda total, i: total + term(risk - i * step))
-
-    x = risk / step + 1.0
-    return (
-        F.when(few, summed(lambda r: 1.0 / r)).otherwise(_digamma_step(x, d) / step),
-        F.when(few, summed(lambda r: 1.0 / (r * r))).otherwise(
-            _trigamma_step(x, d) / (step * step)
-        ),
-        F.when(few, summed(lambda r: F.log(r))).otherwise(
-            d * F.log(step) + _log_gamma_step(x, d)
-        ),
-    )
+    step = dying / deaths
+    first, second, logs = (np.zeros_like(risk) for _ in range(3))
+    few = deaths <= FEW_TIES
+    for i in range(int(deaths[few].max(initial=0))):
+        on = few & (deaths > i)
+        r = risk[on] - i * step[on]
+        first[on] += 1 / r
+        second[on] += 1 / r**2
+        logs[on] += np.log(r)
+    many = ~few
+    if many.any():
+        s, d = step[many], deaths[many]
+        g1, g2, g3 = _gamma_steps(risk[many] / s + 1, d)
+        first[many], second[many], logs[many] = g1 / s, g2 / s**2, d * np.log(s) + g3
+    return first, second, logs
+
+
+def _contributions(
+    d: np.ndarray, n: np.ndarray, design: np.ndarray, beta: np.ndarray, ties: str
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """What some event times add to log likelihood, score and information."""
+    weight = np.exp(design @ beta)
+    deaths = d.sum(axis=1)
+    risk, dying = n @ weight, d @ weight
+    squares = design[:, :, None] * design[:, None, :]
+    a1, b1 = (n * weight) @ design, (d * weight) @ design
+    a2 = np.tensordot(n * weight, squares, axes=1)
+    b2 = np.tensordot(d * weight, squares, axes=1)
+    if ties == "breslow":
+        mean = a1 / risk[:, None]
+        logs = deaths * np.log(risk)
+        expected = deaths[:, None] * mean
+        moment = deaths[:, None, None] * (a2 / risk[:, None, None])
+        product = deaths[:, None, None] * mean[:, :, None] * mean[:, None, :]
+    else:
+        h1, h2, logs = tie_sums(risk, dying, deaths)
+        # (a - l/d b) / (A - l/d B) is the constant b/B plus a multiple of 1 / (A - l/d B)
+        c1, c2 = b1 / dying[:, None], b2 / dying[:, None, None]
+        r1, r2 = a1 - risk[:, None] * c1, a2 - risk[:, None, None] * c2
+        expected = deaths[:, None] * c1 + r1 * h1[:, None]
+        moment = deaths[:, None, None] * c2 + r2 * h1[:, None, None]
+        mixed = c1[:, :, None] * r1[:, None, :]
+        product = (
+            deaths[:, None, None] * c1[:, :, None] * c1[:, None, :]
+            + (mixed + mixed.transpose(0, 2, 1)) * h1[:, None, None]
+            + r1[:, :, None] * r1[:, None, :] * h2[:, None, None]
+        )
+    loglik = float((d @ (design @ beta) - logs).sum())
+    return loglik, (d @ design - expected).sum(axis=0), (moment - product).sum(axis=0)
 
 
 def _newton_sums(
     sets: DataFrame, design: np.ndarray, beta: np.ndarray, ties: str
 ) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log likelihood, score and information at ``beta``: one aggregate over the risk sets."""
+    """Log likelihood, score and information at ``beta``: partial sums of the risk sets, added up."""
     patterns, k = design.shape
-    weight = [float(w) for w in np.exp(design @ beta)]
-
-    def total(kind: str, factor) -> Column:
-        terms = [
-            F.col(f"{kind}{p}") * float(weight[p] * factor(design[p]))
-            for p in range(patterns)
-            if factor(design[p]) != 0
-        ]
-        return reduce(lambda a, b: a + b, terms, F.lit(0.0))
-
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    table = sets.withColumns(
-        {
-            "risk": total("n", lambda x: 1.0),
-            "dying": total("d", lambda x: 1.0),
-            **{f"a{i}": total("n", lambda x, i=i: x[i]) for i in range(k)},
-            **{f"b{i}": total("d", lambda x, i=i: x[i]) for i in range(k)},
-            **{f"a{i}_{j}": total("n", lambda x, i=i, j=j: x[i] * x[j]) for i, j in pairs},
-            **{f"b{i}_{j}": total("d", lambda x, i=i, j=j: x[i] * x[j]) for i, j in pairs},
-        }
-    )
-    d = F.col("deaths")
-    if ties == "efron":
-        h1, h2, logs = _tie_sums(F.col("risk"), F.col("dying"), d)
-        table = table.withColumns({"h1": h1, "h2": h2, "logs": logs})
-
-        # (a - l/d b) / (A - l/d B) is a constant plus a multiple of 1 / (A - l/d B)
-        def split(i) -> tuple[Column, Column]:
-            ratio = F.col(f"b{i}") / F.col("dying")
-            return ratio, F.col(f"a{i}") - F.col("risk") * ratio
-
-        def first(i) -> Column:
-            constant, rest = split(i)
-            return d * constant + rest * F.col("h1")
-
-        def second(i, j) -> Column:
-            ci, ri = split(i)
-            cj, rj = split(j)
-            return d * ci * cj + (ci * rj + cj * ri) * F.col("h1") + ri * rj * F.col("h2")
-
-    else:
-        table = table.withColumn("logs", d * F.log("risk"))
-
-        def first(i) -> Column:
-            return d * F.col(f"a{i}") / F.col("risk")
-
-        def second(i, j) -> Column:
-            return d * F.col(f"a{i}") * F.col(f"a{j}") / (F.col("risk") * F.col("risk"))
-
-    observed = [
-        reduce(
-            lambda a, b: a + b,
-            [F.col(f"d{p}") * float(design[p, i]) for p in range(patterns)],
-        )
-        for i in range(k)
-    ]
-    linear = reduce(
-        lambda a, b: a + b, [F.col(f"d{p}") * float(design[p] @ beta) for p in range(patterns)]
-    )
-    row = table.agg(
-        F.sum(linear - F.col("logs")).alias("loglik"),
-        *[F.sum(observed[i] - first(i)).alias(f"u{i}") for i in range(k)],
-        *[F.sum(first(f"{i}_{j}") - second(i, j)).alias(f"v{i}_{j}") for i, j in pairs],
-    ).first()
-    score = np.array([row[f"u{i}"] for i in range(k)])
-    information = np.array(
-        [[row[f"v{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]
+    names = ["loglik", *[f"u{i}" for i in range(k)], *[f"v{i}" for i in range(k * k)]]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            d, n = (
+                batch[[f"{kind}{p}" for p in range(patterns)]].to_numpy(dtype=float)
+                for kind in ("d", "n")
+            )
+            loglik, score, information = _contributions(d, n, design, beta, ties)
+            yield pd.DataFrame([[loglik, *score, *information.ravel()]], columns=names)
+
+    row = (
+        sets.mapInPandas(partial, ", ".join(f"{name} double" for name in names))
+        .agg(*[F.sum(name) for name in names])
+        .first()
     )
-    return row["loglik"], score, information
+    return row[0], np.array(row[1 : k + 1]), np.array(row[k + 1 :]).reshape(k, k)
 
 
 def cox_ph(
@@ -232,8 +200,8 @@ def cox_ph(
     sets = risk_sets(complete, time, event, groups)
     deaths = reduce(lambda a, b: a + b, [F.col(f"d{p}") for p in range(len(groups))])
     subjects = reduce(lambda a, b: a + b, [F.col(f"n{p}") for p in range(len(groups))])
-    sets = durable(sets.withColumns({"deaths": deaths.cast("double"), "subjects": subjects}))
-    size = sets.agg(F.max("subjects"), F.sum("deaths").cast("bigint")).first()
+    sets = durable(sets.withColumns({"deaths": deaths, "subjects": subjects}))
+    size = sets.agg(F.max("subjects"), F.sum("deaths")).first()
     eventful = sets.filter(F.col("deaths") > 0)
 
     beta = np.zeros(len(terms))

@@ -70,24 +70,24 @@ def stability_profile(
 ) -> DataFrame:
     """One row per subject and variant: ``n_obs``, ``variance`` (the CV), ``max_cv``, ``grade``.
 
-    With ``date`` also ``first_date``, the subject's first test. All of it comes from one scan: the
-    rows are aggregated before the shuffle, and the subject's facts from the variants' facts.
+    With ``date`` also ``first_date``, the subject's first test, for which rows without a measure
+    count too. All of it comes from one scan: the rows are aggregated before the shuffle, and the
+    subject's facts from the variants' facts.
     """
     keys = [subject, *as_list(variant)]
-    measured = df.withColumn("__m", repaired_measure(measure, missing)).filter(
-        F.col("__m").isNotNull()
-    )
+    m = repaired_measure(measure, missing)
     dated = [F.min(date).alias("first_date")] if date else []
-    variants = measured.groupBy(*keys).agg(
-        F.count("*").alias("n_obs"),
-        F.coalesce(cv("__m"), F.lit(singleton)).alias("variance"),
-        *dated,
+    variants = df.groupBy(*keys).agg(
+        F.count(m).alias("n_obs"), F.coalesce(cv(m), F.lit(singleton)).alias("variance"), *dated
     )
+    measured = F.col("n_obs") > 0
     subjects = variants.groupBy(subject).agg(
-        F.max("variance").alias("max_cv"), *([F.min("first_date").alias("first_date")] if date else [])
+        F.max(F.when(measured, F.col("variance"))).alias("max_cv"),
+        *([F.min("first_date").alias("first_date")] if date else []),
     )
-    return attach(variants.drop("first_date"), subjects, subject).withColumn(
-        "grade", grade("variance", "max_cv", preset)
+    return (
+        attach(variants.filter(measured).drop("first_date"), subjects, subject)
+        .withColumn("grade", grade("variance", "max_cv", preset))
     )
 
 

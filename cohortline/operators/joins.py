@@ -76,16 +76,29 @@ def annotate(
     return joined
 
 
-def semi_join(df: DataFrame, keys_df: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    """Keep the rows whose key occurs in ``keys_df``."""
+def _matching(
+    df: DataFrame, keys_df: DataFrame, on: str | Sequence[str], null_safe: bool, how: str
+) -> DataFrame:
     on = as_list(on)
-    return df.join(keys_df.select(*on).distinct(), on, "left_semi")
+    keys = keys_df.select(*[F.col(k).alias(f"__{k}") for k in on]).distinct()
+    tests = [
+        df[k].eqNullSafe(keys[f"__{k}"]) if null_safe else df[k] == keys[f"__{k}"] for k in on
+    ]
+    return df.join(keys, reduce(and_, tests), how)
 
 
-def anti_join(df: DataFrame, keys_df: DataFrame, on: str | Sequence[str]) -> DataFrame:
+def semi_join(
+    df: DataFrame, keys_df: DataFrame, on: str | Sequence[str], null_safe: bool = False
+) -> DataFrame:
+    """Keep the rows whose key occurs in ``keys_df``; a null key does so only if ``null_safe``."""
+    return _matching(df, keys_df, on, null_safe, "left_semi")
+
+
+def anti_join(
+    df: DataFrame, keys_df: DataFrame, on: str | Sequence[str], null_safe: bool = False
+) -> DataFrame:
     """Keep the rows whose key does not occur in ``keys_df``."""
-    on = as_list(on)
-    return df.join(keys_df.select(*on).distinct(), on, "left_anti")
+    return _matching(df, keys_df, on, null_safe, "left_anti")
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ from cohortline.functions.predicates import (
     drop_incomplete,
     rare_or_unknown,
 )
-from cohortline.operators.aggregates import count_by, distinct_per_key, having
-from cohortline.operators.joins import attach_group_count, semi_join
+from cohortline.operators.aggregates import distinct_per_key, having
+from cohortline.operators.joins import attach
 
 
 def recurrent_panel(
@@ -31,18 +31,30 @@ def recurrent_panel(
 
     A subject qualifies by two calls in one gene; then by default a row stays if its protein change
     recurs in *some* qualifying subject and its subject has *some* recurring change.
-    ``strict_pairs`` asks for the subject's own change. Both tests are made on aggregated counts;
-    the rows themselves are only filtered by key and joined once with the final counts.
+    ``strict_pairs`` asks for the subject's own change. All of it is decided on one aggregate of the
+    calls; the rows are joined once, with the groups that stay and their counts.
     """
-    in_gene = having(count_by(df, [patient, subject, gene]), at_least)
-    changes = semi_join(
-        having(count_by(df, [patient, subject, protein]), at_least), in_gene, subject
-    )
+    calls = df.groupBy(patient, subject, gene, protein, name).agg(F.count("*").alias("__n"))
+
+    def regrouped(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return having(frame.groupBy(*keys).agg(F.sum("__n").alias("count")), at_least)
+
+    def among(frame: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
+        # an inner join with distinct keys: a semi join would be pushed below the aggregate and
+        # scan the calls again. A missing key recurs like any other.
+        return attach(frame, keys.select(*on).distinct(), on, "inner")
+
+    in_gene = regrouped(calls, [patient, subject, gene])
+    changes = among(regrouped(calls, [patient, subject, protein]), in_gene, [subject])
     if strict_pairs:
-        kept = semi_join(df, changes, [subject, protein])
+        kept = among(calls, changes, [subject, protein])
     else:
-        kept = semi_join(semi_join(df, changes, protein), changes, subject)
-    return attach_group_count(drop_incomplete(kept, [patient]), [patient, name], at_least=at_least)
+        kept = among(among(calls, changes, [protein]), changes, [subject])
+    kept = drop_incomplete(kept, [patient])
+    groups = attach(
+        kept.drop("__n", gene).distinct(), regrouped(kept, [patient, name]), [patient, name], "inner"
+    )
+    return attach(df, groups, [patient, subject, protein, name], "inner")
 
 
 def candidates_panel(
@@ -68,9 +80,11 @@ def recurrent_broad(
 
     The subject test counts distinct variants; with ``sample`` it counts distinct samples instead.
     """
-    tested = having(distinct_per_key(df, subject, sample or variant), at_least)
-    scoped = semi_join(df.filter(F.col(in_scope)), tested, subject)
-    return attach_group_count(scoped, [subject, variant], at_least=at_least)
+    scope = F.coalesce(F.col(in_scope), F.lit(False))
+    groups = df.groupBy(subject, variant).agg(F.count_if(scope).alias("count"))
+    tested = having(distinct_per_key(df if sample else groups, subject, sample or variant, "__n"), at_least, "__n")
+    recurring = attach(having(groups, at_least), tested.select(subject), subject, "inner")
+    return attach(df.filter(scope), recurring, [subject, variant], "inner")
 
 
 def candidates_broad(

@@ -11,12 +11,13 @@ from cohortline.functions.casting import parse_date, pivot_year, to_double
 from cohortline.functions.dates import days_between
 from cohortline.functions.significance import normalize_significance
 from cohortline.functions.text import blank_to, compact, empty_to, strip_from
-from cohortline.operators.aggregates import union_extracts
+from cohortline.operators.aggregates import distinct_per_key, union_extracts
 from cohortline.operators.grading import stability_profile
 from cohortline.operators.joins import annotate, attach, flag_lists
-from cohortline.operators.keyed import first_per_key, with_distinct_count, with_time_offset
+from cohortline.operators.keyed import first_per_key
 from cohortline.operators.recurrence import candidates_broad, recurrent_broad
 from cohortline.operators.report import cohort_funnel
+from cohortline.session import durable
 
 NOT_DESIGNATED = "Not Designated"
 NON_CODING = "non-coding"
@@ -37,26 +38,30 @@ def clean_broad(
     """United extracts with subject, offset, CV, grade, list flag and variants per sample.
 
     A sample repeats a variant when it was run twice; the row of the earliest date is kept, ties by
-    value. Rows without a readable fraction are dropped afterwards, as a repeat may hide behind one.
+    value, so a subject's first date is always among the kept rows. Rows without a readable fraction
+    are dropped afterwards, as a repeat may hide behind one. The kept rows are used three times and
+    therefore written once.
     """
-    stacked = union_extracts(*extracts)
-    dated = with_time_offset(
-        stacked.withColumns(
-            {"cgl": strip_from("sample", "S"), "date": parse_date("date", "ymd2")}
-        ),
-        "cgl",
-        "date",
+    stacked = union_extracts(*extracts).withColumns(
+        {"cgl": strip_from("sample", "S"), "date": parse_date("date", "ymd2")}
     )
-    others = [c for c in dated.columns if c not in ("sample", "g_nomen", "date")]
+    others = [c for c in stacked.columns if c not in ("sample", "g_nomen", "date")]
     order = [F.col("date").asc_nulls_last(), *others]
-    single = first_per_key(dated, ["sample", "g_nomen"], order)
-    rows = single.withColumns(
-        {"sample": strip_from("sample", "T"), "af": to_double("af")}
-    ).filter(F.col("af").isNotNull())
-    profile = stability_profile(rows, "cgl", "g_nomen", "af", preset).drop("max_cv")
-    graded = attach(rows, profile, ["cgl", "g_nomen"], "inner")
+    rows = durable(
+        first_per_key(stacked, ["sample", "g_nomen"], order).withColumns(
+            {"sample": strip_from("sample", "T"), "af": to_double("af")}
+        )
+    )
+    profile = stability_profile(rows, "cgl", "g_nomen", "af", preset, date="date").drop("max_cv")
+    measured = rows.filter(F.col("af").isNotNull())
+    graded = (
+        attach(measured, profile, ["cgl", "g_nomen"], "inner")
+        .withColumn("time_point", days_between("first_date", "date"))
+        .drop("first_date")
+    )
     flagged = flag_lists(graded, genes, "gene", list(chip_lists), "chip", "all")
-    return with_distinct_count(flagged, "sample", "g_nomen", "number_variants")
+    sizes = distinct_per_key(measured, "sample", "g_nomen", "number_variants")
+    return attach(flagged, sizes, "sample")
 
 
 def clean_clinical(extracts: Sequence[DataFrame], reference_year: int = 2018) -> DataFrame:

@@ -29,7 +29,9 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.folder, name)
+        table = read_table(self.spark, self.folder, name)
+        setattr(self, name, table)
+        return table
 
 
 def query(sql: str | None = None, name: str | None = None):
