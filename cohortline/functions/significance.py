@@ -32,6 +32,12 @@ WHOLE_VALUE = (
 )
 
 
+def _anchored(pattern: str) -> str:
+    """A pattern that starts with ``.*`` can only match from the start; saying so spares the search
+    from every later position where it does not match at all."""
+    return f"(?s)^{pattern}" if pattern.startswith(".*") else pattern
+
+
 def normalize_significance(c: Column | str, squeeze_blanks: bool = True) -> Column:
     """Reduce free significance wording to one label; null stays null.
 
@@ -39,13 +45,13 @@ def normalize_significance(c: Column | str, squeeze_blanks: bool = True) -> Colu
     "Not in ClinVar"; ``squeeze_blanks=False`` keeps that quirk.
     """
     value = as_column(c)
+    # every step mentions the value once: a branch over it would evaluate the whole chain again
     for pattern, wording in REWRITES:
-        value = F.regexp_replace(value, pattern, wording)
+        value = F.regexp_replace(value, _anchored(pattern), wording)
     if squeeze_blanks:
         value = F.regexp_replace(value, " {2,}", " ")
-    # every step mentions the value once: a branch over it would evaluate the whole chain again
     value = F.regexp_replace(value, "^$", ABSENT)
-    value = F.regexp_replace(value, ABSENT_PATTERN, ABSENT)
+    value = F.regexp_replace(value, _anchored(ABSENT_PATTERN), ABSENT)
     for marker, wording in WHOLE_VALUE:
         value = F.regexp_replace(value, f"(?s)^.*{marker}.*$", wording)
     return value

@@ -14,7 +14,8 @@ from cohortline.functions.predicates import (
     rare_or_unknown,
 )
 from cohortline.operators.aggregates import distinct_per_key, having
-from cohortline.operators.joins import attach
+from cohortline.operators.joins import attach, semi_join
+from cohortline.session import durable
 
 
 def recurrent_panel(
@@ -31,18 +32,18 @@ def recurrent_panel(
 
     A subject qualifies by two calls in one gene; then by default a row stays if its protein change
     recurs in *some* qualifying subject and its subject has *some* recurring change.
-    ``strict_pairs`` asks for the subject's own change. All of it is decided on one aggregate of the
-    calls; the rows are joined once, with the groups that stay and their counts.
+    ``strict_pairs`` asks for the subject's own change. All of it is decided on one durable aggregate
+    of the calls; the rows are joined once, with the groups that stay and their counts.
     """
-    calls = df.groupBy(patient, subject, gene, protein, name).agg(F.count("*").alias("__n"))
+    calls = durable(
+        df.groupBy(patient, subject, gene, protein, name).agg(F.count("*").alias("__n"))
+    )
 
     def regrouped(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
         return having(frame.groupBy(*keys).agg(F.sum("__n").alias("count")), at_least)
 
     def among(frame: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-        # an inner join with distinct keys: a semi join would be pushed below the aggregate and
-        # scan the calls again. A missing key recurs like any other.
-        return attach(frame, keys.select(*on).distinct(), on, "inner")
+        return semi_join(frame, keys, on, null_safe=True)  # a missing key recurs like any other
 
     in_gene = regrouped(calls, [patient, subject, gene])
     changes = among(regrouped(calls, [patient, subject, protein]), in_gene, [subject])
