@@ -25,7 +25,7 @@ from cohortline.operators.survival import MAX_LEVELS, level_values, risk_sets
 from cohortline.session import durable
 
 FEW_TIES = 32
-SHIFT = 8
+SHIFT = 16
 RESULT_SCHEMA = T.StructType(
     [
         T.StructField("term", T.StringType()),

@@ -27,9 +27,11 @@ def attach(
     """Join one row of ``facts`` per key back onto the rows; a null key meets a null key.
 
     Used with facts that were aggregated first, instead of a window over the rows: a subject that
-    owns a large share of the rows then never has to be sorted by one task.
+    owns a large share of the rows then never has to be sorted by one task. A fact replaces a column
+    of the same name.
     """
     keys = as_list(keys)
+    df = df.drop(*[c for c in facts.columns if c not in keys])
     right = facts.select(
         *[F.col(k).alias(f"__{k}") for k in keys],
         *[c for c in facts.columns if c not in keys],
