@@ -53,7 +53,7 @@ def n_rows(df: DataFrame, name: str = "n_rows") -> DataFrame:
     return df.agg(F.count("*").alias(name))
 
 
-def share(part: Column, whole: Column) -> Column:
+def ratio(part: Column, whole: Column) -> Column:
     """Ratio of two counts; null when the whole is zero."""
     return F.try_divide(part.cast("double"), whole.cast("double"))
 

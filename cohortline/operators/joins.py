@@ -3,6 +3,11 @@
 No join carries a broadcast hint. Lists and reference tables are broadcast by Spark itself when
 their size is below its threshold (AQE checks the measured size), and shuffled beyond it, where
 AQE splits the partitions of hot keys.
+
+Keys are compared null-safe throughout, and where a null must not match, null keys are removed from
+the right side first. The plain comparison would let an aggregated or ranked right side keep the
+partitioning it already has, and AQE splits hot keys only where both sides were shuffled for the
+join.
 """
 
 from __future__ import annotations
@@ -66,10 +71,7 @@ def annotate(
     )
     if not null_safe:
         right = right.dropna(subset=[f"__{r}" for r in pairs.values()])
-    conditions = [
-        df[left].eqNullSafe(right[f"__{r}"]) if null_safe else df[left] == right[f"__{r}"]
-        for left, r in pairs.items()
-    ]
+    conditions = [df[left].eqNullSafe(right[f"__{r}"]) for left, r in pairs.items()]
     joined = df.join(right, reduce(and_, conditions), "left").drop(
         *[f"__{r}" for r in pairs.values()]
     )
@@ -83,10 +85,9 @@ def _matching(
 ) -> DataFrame:
     on = as_list(on)
     keys = keys_df.select(*[F.col(k).alias(f"__{k}") for k in on]).distinct()
-    tests = [
-        df[k].eqNullSafe(keys[f"__{k}"]) if null_safe else df[k] == keys[f"__{k}"] for k in on
-    ]
-    return df.join(keys, reduce(and_, tests), how)
+    if not null_safe:
+        keys = keys.dropna()
+    return df.join(keys, reduce(and_, [df[k].eqNullSafe(keys[f"__{k}"]) for k in on]), how)
 
 
 def semi_join(
@@ -133,7 +134,7 @@ def flag_membership_independent(
     return df.withColumn(name, reduce(and_, [F.col(f) for f in flags])).drop(*flags)
 
 
-def flag_lists(
+def flag_gene_lists(
     df: DataFrame,
     lists: DataFrame,
     column: str,

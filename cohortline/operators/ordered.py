@@ -16,7 +16,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RANGES = 64  # a power of two
+MIN_RANGES, MAX_RANGES = 16, 4096
+
+
+def _ranges(df: DataFrame) -> int:
+    """As many ranges as the session shuffles partitions, rounded up to a power of two."""
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = MIN_RANGES
+    while ranges < min(wanted, MAX_RANGES):
+        ranges *= 2
+    return ranges
 
 
 def _cut_points(df: DataFrame, order: str, measures: Sequence[str], ranges: int) -> Column:
@@ -39,7 +48,6 @@ def running_totals(
     order: str,
     measures: Sequence[str],
     by: Sequence[str] = (),
-    ranges: int = RANGES,
 ) -> DataFrame:
     """Add ``cum_<m>`` (inclusive, ascending ``order``) and ``total_<m>`` for every measure.
 
@@ -47,6 +55,7 @@ def running_totals(
     """
     by = list(by)
     columns = df.columns
+    ranges = _ranges(df)
     cuts = _cut_points(df, order, measures, ranges)
     # binary search for the number of cuts below the value; absent cuts compare as not below
     ranged = df.withColumns({"__cuts": cuts, "__range": F.lit(0)})

@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortline.operators.aggregates import count_by, having, share, unique_count
-from cohortline.operators.joins import annotate, as_list, flag_lists, flag_membership
+from cohortline.operators.aggregates import count_by, having, ratio, unique_count
+from cohortline.operators.joins import annotate, as_list, flag_gene_lists, flag_membership
 from cohortline.operators.keyed import first_per_key, with_group_id, with_group_max
+from cohortline.session import durable
 
 
 def cohort_funnel(
@@ -34,7 +35,7 @@ def cohort_funnel(
     return reduce(DataFrame.unionByName, rows).select(
         "*",
         *[
-            share(F.col(name), F.first(name).over(base)).alias(f"{name}_share")
+            ratio(F.col(name), F.first(name).over(base)).alias(f"{name}_share")
             for name in measures
         ],
     )
@@ -92,8 +93,8 @@ def classify_genes(
 
     ``either`` names list columns of which one suffices for the ``chip`` flag.
     """
-    flagged = flag_lists(counts, lists, gene, [germline], "__germline", "any")
-    flagged = flag_lists(flagged, lists, gene, [somatic], "__somatic", "any")
+    flagged = flag_gene_lists(counts, lists, gene, [germline], "__germline", "any")
+    flagged = flag_gene_lists(flagged, lists, gene, [somatic], "__somatic", "any")
     known = (
         F.when(F.col("__germline") & F.col("__somatic"), "Germline Somatic")
         .when(F.col("__germline"), "Germline")
@@ -102,7 +103,7 @@ def classify_genes(
     )
     labelled = flagged.withColumn("known", known).drop("__germline", "__somatic")
     if either:
-        labelled = flag_lists(labelled, lists, gene, list(either), "chip", "any")
+        labelled = flag_gene_lists(labelled, lists, gene, list(either), "chip", "any")
     if inheritance:
         labelled = annotate(labelled, lists, {gene: germline}, [inheritance])
     return labelled
@@ -127,11 +128,11 @@ def class_summary(
     return classified.agg(
         F.coalesce(F.sum(F.when(inside, F.col(count))), F.lit(0)).alias("class_variants"),
         F.coalesce(F.sum(count), F.lit(0)).alias("all_variants"),
-        share(F.sum(F.when(inside, F.col(count)).otherwise(0)), F.sum(count)).alias("variant_share"),
+        ratio(F.sum(F.when(inside, F.col(count)).otherwise(0)), F.sum(count)).alias("variant_share"),
         F.count_if(inside).alias("class_genes"),
         F.count("*").alias("all_genes"),
-        share(F.count_if(inside), F.count("*")).alias("gene_share"),
-    ).withColumn("expected_share", share(listed.scalar(), sequenced.scalar()))
+        ratio(F.count_if(inside), F.count("*")).alias("gene_share"),
+    ).withColumn("expected_share", ratio(listed.scalar(), sequenced.scalar()))
 
 
 def gene_substudy(
@@ -174,5 +175,8 @@ def variant_report(
 ) -> DataFrame:
     """Variant table of a report: one row per subject and variant, subjects numbered, by number."""
     chosen = df.filter(F.col(grade).isin(*grades) & inheritance_predicate)
-    single = first_per_key(chosen, [subject, variant], as_list(order_by) or [subject, variant])
+    # numbering reads the rows twice, so what led to these few is not to be repeated
+    single = durable(
+        first_per_key(chosen, [subject, variant], as_list(order_by) or [subject, variant])
+    )
     return with_group_id(single, subject, "id").select("id", *columns).orderBy("id", *columns)

@@ -13,7 +13,7 @@ from cohortline.functions.significance import normalize_significance
 from cohortline.functions.text import blank_to, compact, empty_to, strip_from
 from cohortline.operators.aggregates import distinct_per_key, union_extracts
 from cohortline.operators.grading import stability_profile
-from cohortline.operators.joins import annotate, attach, flag_lists
+from cohortline.operators.joins import annotate, attach, flag_gene_lists
 from cohortline.operators.keyed import first_per_key
 from cohortline.operators.recurrence import candidates_broad, recurrent_broad
 from cohortline.operators.report import cohort_funnel
@@ -59,7 +59,7 @@ def clean_broad(
         .withColumn("time_point", days_between("first_date", "date"))
         .drop("first_date")
     )
-    flagged = flag_lists(graded, genes, "gene", list(chip_lists), "chip", "all")
+    flagged = flag_gene_lists(graded, genes, "gene", list(chip_lists), "chip", "all")
     sizes = distinct_per_key(measured, "sample", "g_nomen", "number_variants")
     return attach(flagged, sizes, "sample")
 
@@ -104,11 +104,14 @@ def broad_study(
     genes: DataFrame,
     preset: str = "B",
 ) -> dict[str, DataFrame]:
-    """Extracts to enriched rows, recurrent rows, candidates and the funnel over them."""
-    enriched = enrich_broad(
-        clean_broad(extracts, genes, preset), clean_clinical(clinical_extracts), genes
+    """Extracts to enriched rows, recurrent rows, candidates and the funnel over them.
+
+    Each stage is written once, as the next one and the funnel read it.
+    """
+    enriched = durable(
+        enrich_broad(clean_broad(extracts, genes, preset), clean_clinical(clinical_extracts), genes)
     )
-    recurrent = recurrent_broad(enriched)
+    recurrent = durable(recurrent_broad(enriched))
     candidates = candidates_broad(recurrent)
     funnel = cohort_funnel(
         [

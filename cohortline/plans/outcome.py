@@ -12,6 +12,7 @@ from cohortline.operators.report import validation_frame, variant_report
 from cohortline.operators.roc import auc_ci, class_moments, cutoff_metrics, ks_stat, roc_binormal
 from cohortline.operators.subjects import build_subjects, exposure_groups, parse_subjects
 from cohortline.operators.survival import km_at, km_curve, logrank, risk_table
+from cohortline.session import durable
 
 EXPOSURES = ("Grade_345", "Grade_12_AD", "Grade_12")
 
@@ -26,8 +27,8 @@ def outcome_study(
 ) -> dict[str, DataFrame]:
     """Subjects with exposure groups, and their curves, risk table and log-rank test."""
     subjects = build_subjects(parse_subjects(survival), enriched, clinical)
-    grouped = exposure_groups(
-        subjects, candidates, in_scope=enriched.filter(F.col("in_blood"))
+    grouped = durable(
+        exposure_groups(subjects, candidates, in_scope=enriched.filter(F.col("in_blood")))
     )
     cohort = grouped.filter(F.col("in_blood"))
     curve = km_curve(cohort, "landmark", "event", "exposure_ad")
@@ -60,7 +61,7 @@ def validation_study(
     labels: DataFrame, grades: DataFrame, order_by: Sequence[str] = ("p_nom",)
 ) -> dict[str, DataFrame]:
     """Labelled variants, shares per grade, and how well low grades predict germline origin."""
-    frame = validation_frame(labels, grades, order_by=order_by)
+    frame = durable(validation_frame(labels, grades, order_by=order_by))
     score, label = "grade_new", "cohort_status"
     return {
         "frame": frame,

@@ -14,6 +14,7 @@ from cohortline.operators.joins import annotate, attach
 from cohortline.operators.keyed import with_time_offset
 from cohortline.operators.recurrence import candidates_panel, recurrent_panel
 from cohortline.operators.report import cohort_funnel
+from cohortline.session import durable
 
 LAST_DATE = "2021-12-31"
 ASSEMBLY = "GRCh37"
@@ -80,7 +81,9 @@ def annotate_variants(
         calls, known, "name", ["clinical_significance", "origin_simple", "phenotype_list"],
         fill={"clinical_significance": NOT_IN_CLINVAR, "origin_simple": NOT_IN_CLINVAR},
     )
-    keyed = frequency.withColumn("gene_snv", variant_key("gene", "s_nom"))
+    # a key with a missing part names no variant; such rows would pile up under one key
+    named = frequency.dropna(subset=["gene", "s_nom"])
+    keyed = named.withColumn("gene_snv", variant_key("gene", "s_nom"))
     calls = annotate(calls, keyed, "gene_snv", list(FREQUENCY_COLUMNS))
     return annotate(
         calls, genes, {"gene": "germline_blood"}, ["inheritance_blood"],
@@ -91,9 +94,12 @@ def annotate_variants(
 def panel_study(
     calls: DataFrame, clinvar: DataFrame, frequency: DataFrame, genes: DataFrame, preset: str = "B"
 ) -> dict[str, DataFrame]:
-    """Raw calls to graded rows, recurrent rows, candidates and the funnel over the three."""
-    graded = annotate_variants(grade_panel(calls, preset), clinvar, frequency, genes)
-    recurrent = recurrent_panel(graded)
+    """Raw calls to graded rows, recurrent rows, candidates and the funnel over the three.
+
+    Each stage is written once, as the next one and the funnel read it.
+    """
+    graded = durable(annotate_variants(grade_panel(calls, preset), clinvar, frequency, genes))
+    recurrent = durable(recurrent_panel(graded))
     candidates = candidates_panel(recurrent)
     funnel = cohort_funnel(
         [("all", graded), ("recurrent", recurrent), ("candidates", candidates)],

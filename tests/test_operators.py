@@ -204,8 +204,8 @@ def test_independent_membership_is_not_pair_membership(frame):
 def test_list_flags(frame):
     lists = frame([("x", "x"), ("y", None), (None, "z")], "a string, b string")
     df = frame([("x",), ("y",), ("z",), ("w",), (None,)], "g string")
-    both = joins.flag_lists(df, lists, "g", ["a", "b"], "f", "all")
-    any_ = joins.flag_lists(df, lists, "g", ["a", "b"], "f", "any")
+    both = joins.flag_gene_lists(df, lists, "g", ["a", "b"], "f", "all")
+    any_ = joins.flag_gene_lists(df, lists, "g", ["a", "b"], "f", "any")
     assert dict(rows(both, "g", "f")) == {"x": True, "y": False, "z": False, "w": False, None: False}
     assert dict(rows(any_, "g", "f")) == {"x": True, "y": True, "z": True, "w": False, None: False}
 

@@ -175,8 +175,8 @@ def gene_list_flags(t):
         "c_custkey", "n_name"
     )
     columns = ["list_a", "list_b"]
-    flagged = joins.flag_lists(rows, nation_lists(t), "n_name", columns, "in_all", "all")
-    return joins.flag_lists(flagged, nation_lists(t), "n_name", columns, "in_any", "any")
+    flagged = joins.flag_gene_lists(rows, nation_lists(t), "n_name", columns, "in_all", "all")
+    return joins.flag_gene_lists(flagged, nation_lists(t), "n_name", columns, "in_any", "any")
 
 
 def tagged_sql(rules: list[tuple[str, str]], source: str, key: str) -> str:

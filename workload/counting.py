@@ -42,7 +42,7 @@ def count_ratio(t):
     chosen = (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 250000)
     part = F.count_distinct(F.when(chosen, F.col("o_custkey")))
     return rounded(
-        t.orders.agg(agg.share(part, F.count_distinct("o_custkey")).alias("patient_share")),
+        t.orders.agg(agg.ratio(part, F.count_distinct("o_custkey")).alias("patient_share")),
         "patient_share",
     )
 
@@ -112,10 +112,10 @@ def describe_by(t):
     return described.withColumns({c: F.round(c, 4) for c in coarse})
 
 
-@query("""SELECT o_orderpriority, count(*) AS count FROM orders WHERE o_totalprice > 490000
-GROUP BY 1 HAVING count(*) > 3 ORDER BY count DESC, o_orderpriority""")
+@query("""SELECT o_custkey, count(*) AS count FROM orders
+GROUP BY 1 HAVING count(*) > 12 ORDER BY count DESC, o_custkey""")
 def top_categories(t):
-    return agg.top_categories(t.orders.filter(F.col("o_totalprice") > 490000), "o_orderpriority", floor=3)
+    return agg.top_categories(t.orders, "o_custkey", floor=12)
 
 
 @query("""SELECT l_partkey, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1

@@ -73,8 +73,8 @@ def box_outliers(t):
 
 @query("""SELECT p_brand, count, kind FROM (
   SELECT p_brand, count(*) AS count, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'known' ELSE 'other' END AS kind
-  FROM part WHERE p_size = 28 GROUP BY 1) WHERE count > 1 ORDER BY count DESC, p_brand""")
+  FROM part GROUP BY 1) WHERE count > 3 ORDER BY count DESC, p_brand""")
 def ranked_bars(t):
-    counts = count_by(t.part.filter(F.col("p_size") == 28), "p_brand")
     known = F.when(F.col("p_brand").isin("Brand#1", "Brand#2"), "known").otherwise("other")
-    return charts.ranked_bars(counts.withColumn("kind", known), "p_brand", "kind", floor=1)
+    counts = count_by(t.part, "p_brand").withColumn("kind", known)
+    return charts.ranked_bars(counts, "p_brand", "kind")
