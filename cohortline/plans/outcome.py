@@ -4,17 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.operators.joins import difference
-from cohortline.operators.report import validation_frame, variant_report
-from cohortline.operators.roc import auc_ci, class_moments, cutoff_metrics, ks_stat, roc_binormal
-from cohortline.operators.subjects import build_subjects, exposure_groups, parse_subjects
-from cohortline.operators.survival import km_at, km_curve, logrank, risk_table
+from cohortline.operators.aggregates import count_with_parent_total
+from cohortline.operators.charts import box_summary, shares
+from cohortline.operators.cox import cox_ph
+from cohortline.operators.joins import annotate, difference, semi_join
+from cohortline.operators.keyed import first_per_key
+from cohortline.operators.ranktests import kruskal_wallis
+from cohortline.operators.report import confusion_rows, gene_substudy, validation_frame, variant_report
+from cohortline.operators.roc import auc_ci, class_moments, cutoff_metrics, ks_stat, roc_binormal, roc_ci
+from cohortline.operators.subjects import (
+    build_subjects,
+    collapse_tags,
+    exposure_groups,
+    gene_tags,
+    grade_tags,
+    parse_subjects,
+    subject_inheritance,
+)
+from cohortline.operators.survival import km_at, km_cumhaz, km_curve, logrank, risk_table
 from cohortline.session import durable
 
 EXPOSURES = ("Grade_345", "Grade_12_AD", "Grade_12")
+GENES_OF_INTEREST = ("DDX41", "CHEK2", "RUNX1")
+MONTHS_PER_YEAR = 12
+REPORT_COLUMNS = ("gene", "c_nomen", "p_nomen", "grade", "inheritance_blood")
 
 
 def outcome_study(
@@ -23,52 +39,129 @@ def outcome_study(
     candidates: DataFrame,
     clinical: DataFrame,
     months: Sequence[int] = (24,),
+    years_of_age: Sequence[int] = (75,),
     grid: Sequence[int] = tuple(range(0, 61, 12)),
+    genes: Sequence[str] = GENES_OF_INTEREST,
 ) -> dict[str, DataFrame]:
-    """Subjects with exposure groups, and their curves, risk table and log-rank test."""
+    """Subjects with exposure groups and tags; for those in scope their curves from the first test
+    and by age, risk table, log-rank test, and the curves by gene of interest."""
     subjects = build_subjects(parse_subjects(survival), enriched, clinical)
-    grouped = durable(
-        exposure_groups(subjects, candidates, in_scope=enriched.filter(F.col("in_blood")))
-    )
-    cohort = grouped.filter(F.col("in_blood"))
+    grouped = exposure_groups(subjects, candidates, in_scope=enriched.filter(F.col("in_blood")))
+    tagged = gene_tags(grade_tags(grouped, enriched), candidates, genes)
+    tagged = durable(subject_inheritance(tagged, candidates))
+    cohort = tagged.filter(F.col("in_blood"))
     curve = km_curve(cohort, "landmark", "event", "exposure_ad")
+    by_age = km_curve(cohort, "age_months", "event", "exposure_ad")
+    by_gene = km_curve(cohort, "landmark", "event", ["in_gene", "exposure"])
     return {
-        "subjects": grouped,
+        "subjects": tagged,
         "curve": curve,
         "survival_at": km_at(curve, months, "exposure_ad"),
         "risk_table": risk_table(cohort, "landmark", grid, "exposure_ad"),
         "logrank": logrank(cohort, "landmark", "event", "exposure_ad", EXPOSURES),
+        "hazard_by_age": km_cumhaz(by_age, "exposure_ad"),
+        "survival_at_age": km_at(
+            by_age, [y * MONTHS_PER_YEAR for y in years_of_age], "exposure_ad"
+        ),
+        "curve_by_gene": by_gene,
     }
 
 
-def dominant_report(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Variant tables of inheritance other than recessive, and of recessive or unknown."""
+def hazard_ratios(
+    subjects: DataFrame, time: str = "landmark", covariates: Sequence[str] = ("exposure_ad",)
+) -> DataFrame:
+    """Hazard ratios of the in-scope subjects, unexposed ones being the reference."""
+    return cox_ph(
+        subjects.filter(F.col("in_blood")), time, "event", list(covariates),
+        reference={"exposure_ad": EXPOSURES[0], "path_review": ""},
+    )
+
+
+def _inheritance_predicates() -> tuple[Column, Column]:
     pattern = F.col("inheritance_blood")
+    return pattern.isNotNull() & (pattern != "AR"), (pattern == "AR") | pattern.isNull()
+
+
+def inheritance_reports(
+    candidates: DataFrame, subjects: DataFrame, columns: Sequence[str] = REPORT_COLUMNS
+) -> tuple[DataFrame, DataFrame]:
+    """Variant tables of followed subjects: inheritance other than recessive, and the rest."""
+    followed = semi_join(candidates, subjects, "mrn")
+    dominant, rest = _inheritance_predicates()
     return (
-        variant_report(candidates, pattern.isNotNull() & (pattern != "AR"), order_by=["c_nomen"]),
-        variant_report(candidates, (pattern == "AR") | pattern.isNull(), order_by=["c_nomen"]),
+        variant_report(followed, dominant, columns=columns, order_by=["c_nomen", "p_nomen"]),
+        variant_report(followed, rest, columns=columns, order_by=["c_nomen", "p_nomen"]),
     )
 
 
-def unshared_subjects(grouped: DataFrame, candidates: DataFrame, exposure: str = "Grade_12_AD") -> DataFrame:
-    """Subjects of an exposure group that no candidate variant accounts for; should be none."""
+def review_study(
+    candidates: DataFrame, subjects: DataFrame, reviewed: DataFrame
+) -> dict[str, DataFrame]:
+    """Manually reviewed variants: their levels counted, each subject's most serious level, and the
+    curves by level among the dominant exposure group."""
+    table, _ = inheritance_reports(candidates, subjects, ("mrn", *REPORT_COLUMNS))
+    variants = annotate(
+        table, reviewed, ["id", "gene", "p_nomen"], ["clin_var", "varsome", "path_level"]
+    )
+    rated = durable(collapse_tags(subjects, variants))
+    dominant = rated.filter(F.col("in_blood") & (F.col("exposure_ad") == "Grade_12_AD"))
+    return {
+        "variants": variants,
+        "levels": count_with_parent_total(variants, [], "path_level"),
+        "subjects": rated,
+        "curve": km_curve(dominant, "landmark", "event", ["path_review", "exposure_ad"]),
+    }
+
+
+def unshared_subjects(
+    subjects: DataFrame, variants: DataFrame, exposure: str = "Grade_12_AD"
+) -> DataFrame:
+    """Subjects of an exposure group that no variant accounts for; should be none."""
     return difference(
-        grouped.filter(F.col("exposure_ad") == exposure).select("mrn"), candidates.select("mrn")
+        subjects.filter(F.col("exposure_ad") == exposure).select("mrn"), variants.select("mrn")
     )
 
 
 def validation_study(
     labels: DataFrame, grades: DataFrame, order_by: Sequence[str] = ("p_nom",)
 ) -> dict[str, DataFrame]:
-    """Labelled variants, shares per grade, and how well low grades predict germline origin."""
+    """Labelled variants, shares per grade, the misjudged ones, and how well low grades predict
+    germline origin."""
     frame = durable(validation_frame(labels, grades, order_by=order_by))
     score, label = "grade_new", "cohort_status"
     return {
         "frame": frame,
+        "shares": shares(frame, "grade_new", "etiology"),
+        "confusion": confusion_rows(frame),
         "auc": auc_ci(class_moments(frame, score, label, higher_is_positive=False)),
         "curve": roc_binormal(frame, score, label, higher_is_positive=False),
+        "band": roc_ci(frame, score, label, higher_is_positive=False),
         "ks": ks_stat(frame, score, label, higher_is_positive=False, method="binormal"),
         "metrics": cutoff_metrics(frame, score, label, higher_is_positive=False),
     }
 
 
+def single_gene_study(
+    graded: DataFrame, gene: str, status: DataFrame, germline: str = "Germline"
+) -> dict[str, DataFrame]:
+    """One gene's recurrent variants: stability by confirmed origin, with box, counts, rank test and
+    separation by the CV. ``status`` has ``s_nom``, ``p_nom_r`` and ``cohort_status``."""
+    groups, rows = gene_substudy(graded, gene, status, status)
+    confirmed = durable(
+        first_per_key(
+            rows.filter(F.col("reocc") & F.col("cohort_status").isNotNull()),
+            ["mrn", "gene_snv"],
+            ["request_date", "variance", "cohort_status"],
+        ).select("mrn", "gene_snv", "max_af", "variance", "cohort_status")
+    )
+    scored = groups.filter(F.col("cohort_status").isNotNull()).withColumn(
+        "somatic", F.when(F.col("cohort_status") == germline, 0).otherwise(1)
+    )
+    return {
+        "rows": confirmed,
+        "box": box_summary(confirmed, "variance", "cohort_status"),
+        "counts": count_with_parent_total(confirmed, [], "cohort_status"),
+        "kruskal": kruskal_wallis(confirmed, "variance", "cohort_status"),
+        "metrics": cutoff_metrics(scored, "variance", "somatic"),
+        "auc": auc_ci(class_moments(scored, "variance", "somatic")),
+    }

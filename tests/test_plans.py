@@ -1,7 +1,6 @@
 """The studies end to end, from delimited files with known answers."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from cohortline.plans import broad, outcome, panel
 from cohortline.sources import schemas
@@ -125,10 +124,52 @@ def test_outcome_study(spark, tmp_path, broad_parts, genes):
     assert people[11].age_months == 66 * 12 + 5 and people[11].in_blood and not people[22].in_blood
     assert people[11].in_pathogenic and people[11].sex == "F"
     assert [(r.exposure_ad, r.survival) for r in result["survival_at"].collect()] == [("Grade_12_AD", 1.0)]
+    assert people[11].in_grade == "1 5" and people[11].inheritance == "AD" and people[11].in_gene == ""
+    assert people[22].inheritance is None
+    assert [(r.in_gene, r.exposure, r.time) for r in result["curve_by_gene"].collect()] == [("", "Grade_12", 35)]
+    assert [(r.time, r.cumhaz) for r in result["hazard_by_age"].collect()] == [(66 * 12 + 5, 0.0)]
+    assert result["survival_at_age"].count() == 0  # nobody followed to 75 years
     assert outcome.unshared_subjects(result["subjects"], study["candidates"]).count() == 0
-    dominant, other = outcome.dominant_report(study["candidates"])
+    dominant, other = outcome.inheritance_reports(study["candidates"], result["subjects"])
     assert [(r.id, r.gene, r.c_nomen, r.grade) for r in dominant.collect()] == [(1, "G1", "c.1", 1)]
     assert other.count() == 0
+    reviewed = put(tmp_path, "rev.csv", "ID,gene,pNomen,ClinVar,varsome,path.level\n1,G1,p.1,x,y,P\n2,G9,p.9,x,y,B\n")
+    review = outcome.review_study(
+        study["candidates"], result["subjects"], read_delimited(spark, reviewed, schemas.REVIEWED)
+    )
+    assert {r.mrn: r.path_review for r in review["subjects"].collect()} == {11: "P", 22: ""}
+    assert [(r.path_level, r["count"], r.freq) for r in review["levels"].collect()] == [("P", 1, 1)]
+    assert [(r.path_review, r.time) for r in review["curve"].collect()] == [("P", 35)]
+
+
+def test_hazard_ratios_use_the_unexposed_as_reference(frame):
+    rows = [
+        (i % 11 + 1, i % 4 != 0, outcome.EXPOSURES[i % 3], True) for i in range(90)
+    ] + [(1, True, "Grade_12", False)] * 50
+    df = frame(rows, "landmark int, event boolean, exposure_ad string, in_blood boolean")
+    table = outcome.hazard_ratios(df).collect()
+    assert [(r.level, r.n) for r in table] == [("Grade_12", 90), ("Grade_12_AD", 90)]
+    assert all(r.lower < r.hazard_ratio < r.upper for r in table)
+
+
+def test_single_gene_study(frame):
+    data = []
+    for mrn in range(12):
+        steady = mrn % 2 == 0
+        for visit in range(3):
+            change = "1" if steady else "2"
+            data.append((f"P{mrn}", mrn, "G", f"c.{change}", f"p.{change}", f"m{change}", f"k{change}",
+                         0.02 + mrn / 1000 if steady else 0.3 + mrn / 100, 0.4 + visit / 10, visit))
+    graded = frame(data, "patient string, mrn int, gene string, s_nom string, p_nom string, mutation string,"
+                   " gene_snv string, variance double, af double, request_date int")
+    status = frame([("c.1", "p.1", "Germline"), ("c.2", "p.2", "Somatic")], "s_nom string, p_nom_r string, cohort_status string")
+    study = outcome.single_gene_study(graded, "G", status)
+    assert {(r.cohort_status, r["count"], r.freq) for r in study["counts"].collect()} == {("Germline", 6, 12), ("Somatic", 6, 12)}
+    # two groups of six without overlap: H = 12/(12*13) * (21²+57²)/6 - 39
+    assert study["kruskal"].first().h == pytest.approx(12 / 156 * (21**2 + 57**2) / 6 - 39)
+    assert study["auc"].first().auc > 0.99
+    assert study["rows"].filter("max_af <> 0.6").count() == 0
+    assert study["box"].count() == 2 and study["metrics"].count() == 12
 
 
 def test_validation_study(spark, tmp_path, frame):
@@ -153,10 +194,9 @@ def test_validation_study(spark, tmp_path, frame):
     assert frame_rows[0].grade_new == 1
     auc = study["auc"].first()
     assert 0.5 < auc.auc < 1 and auc.lower < auc.auc < auc.upper and (auc.n_pos, auc.n_neg) == (3, 5)
-    from cohortline.operators.report import confusion_rows
-
-    kinds = {(r.mrn, r.kind) for r in confusion_rows(study["frame"]).collect()}
+    kinds = {(r.mrn, r.kind) for r in study["confusion"].collect()}
     assert kinds == {(2, "false_negative"), (3, "false_positive")}
+    assert sum(r["count"] for r in study["shares"].collect()) == 8 and study["band"].count() == 99
     assert study["ks"].first().ks > 0 and study["metrics"].count() == 5 and study["curve"].count() == 99
 
 
