@@ -60,7 +60,6 @@ def pivot_year(date: Column | str, reference_year: int = 2018) -> Column:
     date = as_column(date)
     short = F.year(date)
     century = F.when(short > reference_year % 100, F.lit(1900)).otherwise(F.lit(2000))
-    full = F.try_make_date(century + short, F.month(date), F.dayofmonth(date)) if hasattr(
-        F, "try_make_date"
-    ) else F.make_date(century + short, F.month(date), F.dayofmonth(date))
+    # the parsed short year and the full one are leap years alike, so the day always exists
+    full = F.make_date(century + short, F.month(date), F.dayofmonth(date))
     return F.when(short < 100, full).otherwise(date)

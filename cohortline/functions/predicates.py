@@ -20,7 +20,8 @@ def rare_or_unknown(c: Column | str, max_freq: float = MAX_POPULATION_FREQUENCY)
 
 
 def on_or_before(c: Column | str, date: str) -> Column:
-    return as_column(c) <= F.lit(date).cast("date")
+    """True up to the end of the day, for dates and timestamps alike; reaches the file scan."""
+    return as_column(c) < F.date_add(F.lit(date).cast("date"), 1)
 
 
 def drop_incomplete(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ import importlib
 from workload.base import QUERIES, Query
 
 for _module in (
-    "grading", "rows", "combining", "counting", "wording", "cohorts", "outcomes", "scores", "drawing",
+    "grading", "rows", "combining", "counting", "wording", "cohorts", "outcomes", "scores", "drawing", "files",
 ):
     importlib.import_module(f"workload.{_module}")
 
