@@ -91,7 +91,8 @@ def km_at(
     strata: str | Sequence[str] = (),
     extend: bool = False,
 ) -> DataFrame:
-    """Survival at requested times: the last step at or before each, 1 before the first step.
+    """Survival at requested times: the last step at or before each; certain (1, error 0) before the
+    first step.
 
     ``n_risk`` counts those followed at least that long. A time beyond a group's follow-up gives no
     row unless ``extend``.
@@ -100,15 +101,16 @@ def km_at(
     asked = curve.withColumn("horizon", F.explode(F.array(*[F.lit(t) for t in times])))
     passed = F.col("time") <= F.col("horizon")
 
-    def last(c: str) -> Column:
-        return F.max_by(F.when(passed, F.col(c)), F.when(passed, F.col("time")))
+    def last(c: str, before: float) -> Column:
+        reached = F.max_by(F.when(passed, F.col(c)), F.when(passed, F.col("time")))
+        return F.when(F.count_if(passed) > 0, reached).otherwise(F.lit(before)).alias(c)
 
     waiting = F.when(F.col("time") >= F.col("horizon"), F.col("time"))
     result = asked.groupBy(*strata, "horizon").agg(
-        F.coalesce(last("survival"), F.lit(1.0)).alias("survival"),
-        last("std_err").alias("std_err"),
-        last("lower").alias("lower"),
-        last("upper").alias("upper"),
+        last("survival", 1.0),
+        last("std_err", 0.0),
+        last("lower", 1.0),
+        last("upper", 1.0),
         F.coalesce(F.min_by("n_risk", waiting), F.lit(0)).alias("n_risk"),
         F.max("time").alias("__last"),
     )

@@ -36,7 +36,7 @@ def test_km_at(small):
     curve = survival.km_curve(small, "t", "e")
     got = {r.horizon: r for r in survival.km_at(curve, [0, 2, 3, 9]).collect()}
     assert sorted(got) == [0, 2, 3]
-    assert (got[0].survival, got[0].n_risk) == (1.0, 5)
+    assert (got[0].survival, got[0].std_err, got[0].lower, got[0].n_risk) == (1.0, 0.0, 1.0, 5)
     assert (got[2].survival, got[2].n_risk) == (pytest.approx(0.6), 4)
     extended = {r.horizon: r for r in survival.km_at(curve, [9], extend=True).collect()}
     assert (extended[9].survival, extended[9].n_risk) == (pytest.approx(0.3), 0)

@@ -29,11 +29,13 @@ def km_curve(t):
 
 
 @query(f"""{CURVE}, asked AS (SELECT arm, horizon FROM (SELECT DISTINCT arm FROM curve) CROSS JOIN (VALUES (24), (48), (72)) v(horizon)),
-last AS (SELECT a.arm, a.horizon, max(c.time) AS time FROM asked a JOIN curve c ON a.arm = c.arm AND c.time <= a.horizon GROUP BY 1, 2)
-SELECT l.arm, l.horizon, round(c.survival, 6) AS survival, round(c.std_err, 6) AS std_err, round(c.lower, 6) AS lower,
-  round(c.upper, 6) AS upper,
+last AS (SELECT a.arm, a.horizon, max(c.time) AS time FROM asked a LEFT JOIN curve c ON a.arm = c.arm AND c.time <= a.horizon GROUP BY 1, 2)
+SELECT l.arm, l.horizon, CASE WHEN l.time IS NULL THEN 1.0 ELSE round(c.survival, 6) END AS survival,
+  CASE WHEN l.time IS NULL THEN 0.0 ELSE round(c.std_err, 6) END AS std_err,
+  CASE WHEN l.time IS NULL THEN 1.0 ELSE round(c.lower, 6) END AS lower,
+  CASE WHEN l.time IS NULL THEN 1.0 ELSE round(c.upper, 6) END AS upper,
   (SELECT count(*) FROM followed f WHERE f.arm = l.arm AND f.months >= l.horizon) AS n_risk
-FROM last l JOIN curve c ON l.arm = c.arm AND l.time = c.time
+FROM last l LEFT JOIN curve c ON l.arm = c.arm AND l.time = c.time
 WHERE l.horizon <= (SELECT max(time) FROM curve m WHERE m.arm = l.arm)""")
 def km_at(t):
     curve = survival.km_curve(followed(t), "months", "died", "arm")
