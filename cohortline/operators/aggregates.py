@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.operators.joins import as_list, attach
+from cohortline.operators.keys import as_list, attach
 from cohortline.operators.ordered import (
     exact_quantiles,
     quantile_columns,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortline.functions.dates import plotted_months
 from cohortline.functions.text import variant_key
 from cohortline.operators.aggregates import count_with_parent_total
-from cohortline.operators.joins import as_list, attach
+from cohortline.operators.keys import as_list, attach
 from cohortline.operators.ordered import quantile_columns, running_totals, value_counts
 
 

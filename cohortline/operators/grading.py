@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortline.functions.text import as_column
 from cohortline.operators.aggregates import cv
-from cohortline.operators.joins import as_list, attach
+from cohortline.operators.keys import as_list, attach
 
 SINGLETON_CV = 1.0  # fixed value: a measurement seen once (or all zero) counts as unstable
 

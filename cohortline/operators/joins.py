@@ -20,29 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.operators.keyed import first_per_key
-
-
-def as_list(names: str | Sequence[str]) -> list[str]:
-    return [names] if isinstance(names, str) else list(names)
-
-
-def attach(
-    df: DataFrame, facts: DataFrame, keys: str | Sequence[str], how: str = "left"
-) -> DataFrame:
-    """Join one row of ``facts`` per key back onto the rows; a null key meets a null key.
-
-    Used with facts that were aggregated first, instead of a window over the rows: a subject that
-    owns a large share of the rows then never has to be sorted by one task. A fact replaces a column
-    of the same name.
-    """
-    keys = as_list(keys)
-    df = df.drop(*[c for c in facts.columns if c not in keys])
-    right = facts.select(
-        *[F.col(k).alias(f"__{k}") for k in keys],
-        *[c for c in facts.columns if c not in keys],
-    )
-    same = reduce(and_, [df[k].eqNullSafe(right[f"__{k}"]) for k in keys])
-    return df.join(right, same, how).drop(*[f"__{k}" for k in keys])
+from cohortline.operators.keys import as_list, attach
 
 
 def annotate(

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortline.operators.keys import attach
+from cohortline.operators.ordered import running_totals
+
 
 def _list(names) -> list:
     return [names] if isinstance(names, (str, Column)) else list(names)
@@ -30,8 +33,6 @@ def first_per_key(
 
 def keep_earliest(df: DataFrame, key: str | Sequence[str], date: str) -> DataFrame:
     """All rows at their group's smallest date (ties stay)."""
-    from cohortline.operators.joins import attach
-
     first = df.groupBy(*_list(key)).agg(F.min(date).alias("__first"))
     return attach(df, first, key, "inner").filter(F.col(date) == F.col("__first")).drop("__first")
 
@@ -40,8 +41,6 @@ def with_time_offset(
     df: DataFrame, key: str | Sequence[str], date: str, name: str = "time_point"
 ) -> DataFrame:
     """Days since the group's first date; null dates neither count nor get an offset."""
-    from cohortline.operators.joins import attach
-
     first = df.groupBy(*_list(key)).agg(F.min(date).alias("__first"))
     return (
         attach(df, first, key)
@@ -54,8 +53,6 @@ def with_distinct_count(
     df: DataFrame, key: str | Sequence[str], col: str, name: str, count_null: bool = True
 ) -> DataFrame:
     """Number of distinct values of ``col`` in the row's group, a missing value being one."""
-    from cohortline.operators.joins import attach
-
     counted = F.struct(col) if count_null else F.col(col)
     facts = df.groupBy(*_list(key)).agg(F.count_distinct(counted).alias(name))
     return attach(df, facts, key)
@@ -64,8 +61,6 @@ def with_distinct_count(
 def with_group_max(
     df: DataFrame, key: str | Sequence[str], measure: str, name: str
 ) -> DataFrame:
-    from cohortline.operators.joins import attach
-
     return attach(df, df.groupBy(*_list(key)).agg(F.max(measure).alias(name)), key)
 
 
@@ -74,15 +69,12 @@ def with_group_id(df: DataFrame, key: str, name: str = "id") -> DataFrame:
 
     The distinct keys are ranked range by range (see ``running_totals``), so no task sorts them all.
     """
-    from cohortline.operators.joins import attach
-    from cohortline.operators.ordered import running_totals
-
-    keys = df.groupBy(key).agg(F.lit(1).alias("__one"))
-    numbered = running_totals(keys.dropna(subset=[key]), key, ["__one"]).select(
+    keys = df.groupBy(key).agg(F.lit(1).alias("__one")).dropna(subset=[key])
+    numbered = running_totals(keys, key, ["__one"]).select(
         key, F.col("cum___one").cast("bigint").alias(name)
     )
     # sorted group numbering puts the missing key last
-    total = numbered.agg(F.coalesce(F.max(name), F.lit(0)) + 1).scalar()
+    total = keys.agg(F.count("*") + 1).scalar()
     return attach(df, numbered, key).withColumn(
         name, F.when(F.col(key).isNull(), total).otherwise(F.col(name))
     )

@@ -14,7 +14,8 @@ from cohortline.functions.predicates import (
     rare_or_unknown,
 )
 from cohortline.operators.aggregates import distinct_per_key, having
-from cohortline.operators.joins import attach, semi_join
+from cohortline.operators.joins import semi_join
+from cohortline.operators.keys import attach
 from cohortline.session import durable
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortline.operators.aggregates import count_by, having, ratio, unique_count
-from cohortline.operators.joins import annotate, as_list, flag_gene_lists, flag_membership
+from cohortline.operators.joins import annotate, flag_gene_lists, flag_membership
+from cohortline.operators.keys import as_list
 from cohortline.operators.keyed import first_per_key, with_group_id, with_group_max
 from cohortline.session import durable
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortline.functions.tails import chi_square_tail
-from cohortline.operators.joins import as_list
+from cohortline.operators.keys import as_list
 
 MAX_LEVELS = 64
 

@@ -13,7 +13,8 @@ from cohortline.functions.significance import normalize_significance
 from cohortline.functions.text import blank_to, compact, empty_to, strip_from
 from cohortline.operators.aggregates import distinct_per_key, union_extracts
 from cohortline.operators.grading import stability_profile
-from cohortline.operators.joins import annotate, attach, flag_gene_lists
+from cohortline.operators.joins import annotate, flag_gene_lists
+from cohortline.operators.keys import attach
 from cohortline.operators.keyed import first_per_key
 from cohortline.operators.recurrence import candidates_broad, recurrent_broad
 from cohortline.operators.report import cohort_funnel

@@ -10,7 +10,8 @@ from cohortline.functions.dates import days_between
 from cohortline.functions.predicates import on_or_before
 from cohortline.functions.text import split_pair, unescape_gt, variant_key, variant_name
 from cohortline.operators.grading import repaired_measure, stability_profile
-from cohortline.operators.joins import annotate, attach
+from cohortline.operators.joins import annotate
+from cohortline.operators.keys import attach
 from cohortline.operators.keyed import with_time_offset
 from cohortline.operators.recurrence import candidates_panel, recurrent_panel
 from cohortline.operators.report import cohort_funnel

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortline.operators import aggregates, grading, joins, keyed, ordered, recurrence
+from cohortline.operators.keys import attach
 
 
 @pytest.fixture
@@ -44,7 +45,7 @@ def final_plan(df):
 
 
 JOINS = {
-    "attach": lambda df: joins.attach(df, df.groupBy("k").agg(F.max("x").alias("m")), "k"),
+    "attach": lambda df: attach(df, df.groupBy("k").agg(F.max("x").alias("m")), "k"),
     "count": lambda df: joins.attach_group_count(df, "k"),
     "offset": lambda df: keyed.with_group_max(df, "k", "x", "m"),
     "grade": lambda df: grading.with_grade(

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from cohortline.operators import recurrence, report, subjects
 from cohortline.operators.aggregates import count_by
 from cohortline.operators.grading import stability_profile
-from cohortline.operators.joins import annotate, attach
+from cohortline.operators.joins import annotate
+from cohortline.operators.keys import attach
 from cohortline.plans import broad, panel
 from workload.base import OBSERVATIONS, months_sql, observations, profile_sql, query, r6, rounded
 from workload.rows import FREQUENCY_SQL, part_frequency
