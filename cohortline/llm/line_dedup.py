@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cohortline.llm.common import ASCII_SPACE, pack_row
 
 #: A line on more than this share of its site's pages is boilerplate ...
-MAX_RATIO = 0.05
+MAX_RATIO = 0.1
 #: ... if it is on at least so many of them: on a site of few pages a share says nothing.
 MIN_PAGES = 20
 

@@ -2,11 +2,61 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
+
 from cohortline.llm.common import table
 from cohortline.llm.line_dedup import MAX_RATIO, MIN_PAGES, line_dedup
+from cohortline.llm.line_quality import MAX_SHARE, MIN_DOCS, MIN_LEFT, line_quality
+from cohortline.llm.nbsvm import quality_scores
+from cohortline.llm.packing import pack
 from cohortline.llm.simhash import simhash_groups
 
 
+def op4_line_quality(spark, folder):
+    return line_quality(table(spark, folder, "documents"))
+
+
+OP4_SQL = f"""
+WITH w AS (
+  SELECT doc_id, source, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+lines AS (
+  SELECT doc_id, source, u.line, regexp_extract_all(translate(u.line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS ws FROM w, LATERAL (SELECT unnest(string_split(t, chr(10))) AS line) u),
+solid AS (SELECT doc_id, source, line, len(ws) AS n, array_to_string(ws, ' ') AS k FROM lines WHERE len(ws) > 0),
+hosts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+bad AS (SELECT s.source, s.k FROM (SELECT source, k, count(DISTINCT doc_id) AS c FROM solid GROUP BY source, k) s
+  JOIN hosts h ON s.source IS NOT DISTINCT FROM h.source WHERE s.c >= {MIN_DOCS} AND s.c > {MAX_SHARE}::DOUBLE * h.n),
+per AS (SELECT s.doc_id, count(*) - count(DISTINCT s.line) AS dup, sum(CASE WHEN b.k IS NULL THEN 0 ELSE s.n END) AS gone
+  FROM solid s LEFT JOIN bad b ON s.source IS NOT DISTINCT FROM b.source AND s.k = b.k GROUP BY s.doc_id),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 6)) AS i) r),
+twice AS (SELECT doc_id, k FROM win GROUP BY doc_id, k HAVING count(*) > 1),
+cov AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + o AS p FROM win JOIN twice USING (doc_id, k), range(8) r(o)) GROUP BY doc_id),
+base AS (
+  SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(per.dup, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
+    len(ws) - CAST(coalesce(per.gone, 0) AS BIGINT) AS left_words
+  FROM w LEFT JOIN per USING (doc_id) LEFT JOIN cov USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND left_words >= {MIN_LEFT}::DOUBLE * n_words AS kept FROM base"""
+
+
+def op5_nbsvm(spark, folder):
+    scored = quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.select("row.doc_id", "held_out", "score", "predicted")
+
+
+def packing_ranks() -> bytes:
+    """The ranks that byte_bpe_50k.json has as its vocabulary."""
+    return Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes()
+
+
+def op6_packing(spark, folder):
+    return pack(table(spark, folder, "documents"), packing_ranks(), public_tokenizers.PATTERN)
+
+
 def op8_simhash(spark, folder):
     return simhash_groups(table(spark, folder, "documents"))
 
@@ -30,8 +80,11 @@ SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE b.bare IS NOT NULL)
 FROM lines l LEFT JOIN bad b ON l.source IS NOT DISTINCT FROM b.source AND l.bare = b.bare GROUP BY l.doc_id"""
 
 QUERIES = {
+    "op4_line_quality": op4_line_quality,
+    "op5_nbsvm": op5_nbsvm,
+    "op6_packing": op6_packing,
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
 }
 
-SQL = {"op9_line_dedup": OP9_SQL}
+SQL = {"op4_line_quality": OP4_SQL, "op9_line_dedup": OP9_SQL}
