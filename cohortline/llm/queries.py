@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from cohortline.llm.common import table
 from cohortline.llm.line_dedup import MAX_RATIO, MIN_PAGES, line_dedup
@@ -12,6 +13,36 @@ from cohortline.llm.line_quality import MAX_SHARE, MIN_DOCS, MIN_LEFT, line_qual
 from cohortline.llm.nbsvm import quality_scores
 from cohortline.llm.packing import pack
 from cohortline.llm.simhash import simhash_groups
+from cohortline.llm.suffix_dedup import suffix_dedup
+from cohortline.llm.url_filter import host_and_path, judge_urls
+
+
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+             ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+#: A host with one of these words in its name, cut at dots and hyphens, goes on the list of blocked hosts.
+BLOCKED_WORDS = ("casino", "malware", "phishing", "porn", "spam", "xxx")
+
+
+def op3_url_filter(spark, folder):
+    """Pages against the rules and, where none fits, the list of the corpus's hosts with a blocked word in their name."""
+    pages = table(spark, folder, "pages")
+    hosts = pages.select(host_and_path(pages["url"])[0].alias("host")).distinct()
+    listed = hosts.filter(F.col("host").rlike(f"(^|[.-])({'|'.join(BLOCKED_WORDS)})([.-]|$)"))
+    return judge_urls(pages, URL_RULES, listed)
+
+
+OP3_SQL = f"""
+WITH r AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN url[strpos(url, '://') + 3:] END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM r),
+p AS (SELECT page_id, coalesce(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(rest[length(raw) + 1:], '^[^?#]*'), '') AS path FROM h),
+rules(verdict, rh, rp) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+fits AS (SELECT page_id, rh || rp AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC) AS k
+  FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, CASE WHEN EXISTS (SELECT 1 FROM p q
+    WHERE (p.host = q.host OR ends_with(p.host, '.' || q.host)) AND regexp_matches(q.host, '(^|[.-])({'|'.join(BLOCKED_WORDS)})([.-]|$)'))
+  THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1"""
 
 
 def op4_line_quality(spark, folder):
@@ -79,12 +110,19 @@ SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE b.bare IS NOT NULL)
   coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE b.bare IS NULL), '') AS text
 FROM lines l LEFT JOIN bad b ON l.source IS NOT DISTINCT FROM b.source AND l.bare = b.bare GROUP BY l.doc_id"""
 
+def op10_suffix_dedup(spark, folder):
+    found = suffix_dedup(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op3_url_filter": op3_url_filter,
     "op4_line_quality": op4_line_quality,
     "op5_nbsvm": op5_nbsvm,
     "op6_packing": op6_packing,
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-SQL = {"op4_line_quality": OP4_SQL, "op9_line_dedup": OP9_SQL}
+SQL = {"op3_url_filter": OP3_SQL, "op4_line_quality": OP4_SQL, "op9_line_dedup": OP9_SQL}
