@@ -14,9 +14,22 @@ from cohortline.llm.nbsvm import quality_scores
 from cohortline.llm.packing import pack
 from cohortline.llm.simhash import simhash_groups
 from cohortline.llm.suffix_dedup import suffix_dedup
+from cohortline.llm.topk import top_k
 from cohortline.llm.url_filter import host_and_path, judge_urls
 
 
+def op2_topk(spark, folder):
+    return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
              ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 #: A host with one of these words in its name, cut at dots and hyphens, goes on the list of blocked hosts.
@@ -116,6 +129,7 @@ def op10_suffix_dedup(spark, folder):
 
 
 QUERIES = {
+    "op2_topk": op2_topk,
     "op3_url_filter": op3_url_filter,
     "op4_line_quality": op4_line_quality,
     "op5_nbsvm": op5_nbsvm,
@@ -125,4 +139,4 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-SQL = {"op3_url_filter": OP3_SQL, "op4_line_quality": OP4_SQL, "op9_line_dedup": OP9_SQL}
+SQL = {"op2_topk": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_line_quality": OP4_SQL, "op9_line_dedup": OP9_SQL}
