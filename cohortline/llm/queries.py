@@ -7,6 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from cohortline.llm.bpe import Vocabulary, encode, read_ranks
 from cohortline.llm.common import table
 from cohortline.llm.line_dedup import MAX_RATIO, MIN_PAGES, line_dedup
 from cohortline.llm.line_quality import MAX_SHARE, MIN_DOCS, MIN_LEFT, line_quality
@@ -18,6 +19,17 @@ from cohortline.llm.topk import top_k
 from cohortline.llm.url_filter import host_and_path, judge_urls
 
 
+def op1_byte_bpe(spark, folder):
+    vocabulary = Vocabulary(spark, read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    coded = encode(table(spark, folder, "documents"), vocabulary)
+    return coded.select(
+        "row.doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(vocabulary.decoded(F.col("ids")), 256).alias("decoded_sha256"),
+    )
+
+
 def op2_topk(spark, folder):
     return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -129,6 +141,7 @@ def op10_suffix_dedup(spark, folder):
 
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op2_topk": op2_topk,
     "op3_url_filter": op3_url_filter,
     "op4_line_quality": op4_line_quality,
