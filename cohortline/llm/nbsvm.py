@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cohortline.llm.common import pack_row, ship
 
 #: Labelled rows that the model is fitted on, those of the least hashes; more are left out of the fit, never of the scores.
-TRAINING_ROWS = 8000
+TRAINING_ROWS = 4000
 #: n-grams of bytes, and of equal neighbours among words and lines, are hashed into so many indicators.
 DIMENSIONS = 1 << 18
 LONGEST = 4
@@ -174,15 +174,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & (remainder(F.col("_id")) != 0))
     chosen = usable.orderBy(F.xxhash64("_id"), "_id", "_label").limit(rows)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def indicators(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t) for t in texts])
+        return pd.Series([features(t).astype("<i4").tobytes() for t in texts])
 
     given = docs.select(docs[id_col].alias("_doc"), docs[text].alias("_text"))
     met = given.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
     taught = met.select("_id", "_label", indicators("_text").alias("_found"))
     got = taught.orderBy(F.xxhash64("_id"), "_id", "_label", F.xxhash64("_found")).limit(rows).toPandas()
-    return fit([np.asarray(x, np.int32) for x in got["_found"]], got["_label"].to_numpy(dtype=int))
+    return fit([np.frombuffer(x, "<i4") for x in got["_found"]], got["_label"].to_numpy(dtype=int))
 
 
 def score_column(docs: DataFrame, model: Model, text: str = "text") -> Column:
