@@ -13,6 +13,7 @@ from cohortline.llm.line_dedup import MAX_RATIO, MIN_PAGES, line_dedup
 from cohortline.llm.line_quality import MAX_SHARE, MIN_DOCS, MIN_LEFT, line_quality
 from cohortline.llm.nbsvm import quality_scores
 from cohortline.llm.packing import pack
+from cohortline.llm.secrets import scan_secrets
 from cohortline.llm.simhash import simhash_groups
 from cohortline.llm.suffix_dedup import suffix_dedup
 from cohortline.llm.topk import top_k
@@ -113,6 +114,11 @@ def op6_packing(spark, folder):
     return pack(table(spark, folder, "documents"), packing_ranks(), public_tokenizers.PATTERN)
 
 
+def op7_secrets(spark, folder):
+    found = scan_secrets(table(spark, folder, "documents"))
+    return found.select("row.doc_id", "n_candidates", F.size("secrets").alias("n_secrets"), "secrets", "row.text")
+
+
 def op8_simhash(spark, folder):
     return simhash_groups(table(spark, folder, "documents"))
 
@@ -147,6 +153,7 @@ QUERIES = {
     "op4_line_quality": op4_line_quality,
     "op5_nbsvm": op5_nbsvm,
     "op6_packing": op6_packing,
+    "op7_secrets": op7_secrets,
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
