@@ -99,22 +99,45 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, paired: int = PAIRED) -> D
     return by_pairs.union(by_points)
 
 
+def _groups(prints: DataFrame, least: Column, max_bits: int) -> DataFrame:
+    """``_fp`` and ``_first``, the least value of ``least`` in its group, for every fingerprint of ``prints``."""
+    nodes = durable(prints.groupBy("_fp").agg(F.min(least).alias("_least"))
+                    .select("_fp", "_least", F.monotonically_increasing_id().alias("_node")))
+    linked = components(links(nodes, max_bits))
+    member = nodes.join(linked, nodes["_node"] == linked["node"], "left").select(
+        "_fp", "_least", F.coalesce("component", "_node").alias("_group"))
+    first = member.groupBy("_group").agg(F.min("_least").alias("_first"))
+    return member.join(first, "_group").select("_fp", "_first")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS,
                    max_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 lowercase hex digits) and ``component_id`` of every row.
 
     A-Z is lower-cased, words are cut at ASCII white space, shingles hashed by XXH64 with seed 42. Null, empty and blank
-    texts have fingerprint zero and link like any other. Rows with one fingerprint are one node, whose name is the
-    least id, so groups of copies never form pairs; repeated rows come back as often as they were given. Rows
-    without an id take part like others; a group of such rows only has component null.
+    texts have fingerprint zero and link like any other. Rows with one fingerprint are one node, so groups of copies
+    never form pairs; repeated rows come back as often as they were given. A component is named by its least id; rows
+    without an id take part like others, and a component of such rows only has none.
     """
     ship(docs.sparkSession)
     prints = durable(docs.select(docs[id_col].cast("long").alias("doc_id"), fingerprints(docs[text], words).alias("_fp")))
-    # a node needs a name even where no row of it has an id
-    nodes = durable(prints.groupBy("_fp").agg(F.min("doc_id").alias("_least")).select("_fp", "_least", F.monotonically_increasing_id().alias("_node")))
-    linked = components(links(nodes, max_bits))
-    member = nodes.join(linked, nodes["_node"] == linked["node"], "left").select(
-        "_fp", "_least", F.coalesce("component", "_node").alias("_group"))
-    least = member.groupBy("_group").agg(F.min("_least").alias("component_id"))
-    named = member.join(least, "_group").select("_fp", "component_id")
-    return prints.join(named, "_fp").select("doc_id", hex_digits(F.col("_fp")).alias("fingerprint"), "component_id")
+    named = _groups(prints, F.col("doc_id"), max_bits)
+    return prints.join(named, "_fp").select("doc_id", hex_digits(F.col("_fp")).alias("fingerprint"), F.col("_first").alias("component_id"))
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS,
+                  max_bits: int = MAX_BITS) -> DataFrame:
+    """All columns of one row of each group: that of the least id (rows without one come last), then of the least hash.
+
+    Of repeated rows with that id and text one stays.
+    """
+    ship(docs.sparkSession)
+
+    def name(of: DataFrame) -> list[Column]:
+        return [F.xxhash64(of[text]).alias("_t"), F.xxhash64(of[id_col], F.lit("id"), of[text]).alias("_u")]
+
+    prints = durable(docs.select(docs[id_col].alias("_id"), *name(docs), fingerprints(docs[text], words).alias("_fp")))
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_t").alias("_t"), F.col("_u").alias("_u"))
+    chosen = _groups(prints, order, max_bits).select("_first._t", "_first._u").distinct()
+    packed = docs.select(F.struct("*").alias("_row"), *name(docs))
+    return packed.join(chosen, ["_t", "_u"], "left_semi").dropDuplicates(["_t", "_u"]).select("_row.*")
