@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortline.operators.survival import MAX_LEVELS, level_values, risk_sets
-from cohortline.session import durable
+from cohortline.operators.survival import MAX_GROUPS, level_values, risk_sets
+from cohortline.session import durable, ship
 
-FEW_TIES = 32
 SHIFT = 16
+#: A coefficient beyond this means that a level separates events from survivors: it is infinite.
+INFINITE = 25.0
 RESULT_SCHEMA = T.StructType(
     [
         T.StructField("term", T.StringType()),
@@ -40,6 +41,7 @@ RESULT_SCHEMA = T.StructType(
         T.StructField("n", T.LongType()),
         T.StructField("events", T.LongType()),
         T.StructField("iterations", T.IntegerType()),
+        T.StructField("converged", T.BooleanType()),
     ]
 )
 
@@ -82,24 +84,11 @@ def tie_sums(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sums over l = 0 … d-1 of 1/r_l, 1/r_l² and log r_l, with r_l = risk - l/d * dying.
 
-    A handful of ties is summed as it stands; many ties use the closed form by gamma functions, so
-    a time at which millions die costs no more than one at which two do.
+    By gamma functions, so a time at which millions die costs no more than one at which two do.
     """
     step = dying / deaths
-    first, second, logs = (np.zeros_like(risk) for _ in range(3))
-    few = deaths <= FEW_TIES
-    for i in range(int(deaths[few].max(initial=0))):
-        on = few & (deaths > i)
-        r = risk[on] - i * step[on]
-        first[on] += 1 / r
-        second[on] += 1 / r**2
-        logs[on] += np.log(r)
-    many = ~few
-    if many.any():
-        s, d = step[many], deaths[many]
-        g1, g2, g3 = _gamma_steps(risk[many] / s + 1, d)
-        first[many], second[many], logs[many] = g1 / s, g2 / s**2, d * np.log(s) + g3
-    return first, second, logs
+    g1, g2, g3 = _gamma_steps(risk / step + 1, deaths)
+    return g1 / step, g2 / step**2, deaths * np.log(step) + g3
 
 
 def _contributions(
@@ -160,6 +149,17 @@ def _newton_sums(
     return row[0], np.array(row[1 : k + 1]), np.array(row[k + 1 :]).reshape(k, k)
 
 
+def independent_terms(information: np.ndarray, tolerance: float = 1e-9) -> list[int]:
+    """Terms that those before them do not determine, by elimination in the order of the terms."""
+    left, kept = information.copy(), []
+    scale = np.diag(information).copy()
+    for i in range(len(left)):
+        if left[i, i] > tolerance * max(scale[i], 1e-300):
+            kept.append(i)
+            left -= np.outer(left[:, i], left[i]) / left[i, i]
+    return kept
+
+
 def cox_ph(
     df: DataFrame,
     time: str,
@@ -171,15 +171,19 @@ def cox_ph(
     conf: float = 0.95,
     max_steps: int = 20,
     tolerance: float = 1e-9,
+    max_combinations: int = MAX_GROUPS,
 ) -> DataFrame:
     """One row per non-reference covariate level: coefficient, hazard ratio, interval, p.
 
-    ``time`` is in whole units (the partial likelihood uses only its order). ``reference`` names the
-    level each covariate is compared with (the first by default). Rows with a missing value are left
-    out. Steps that lower the likelihood are halved; diverging coefficients raise.
+    Runs when called. ``reference`` names the level each covariate is compared with (the first by default). Rows with a
+    missing value are left out; levels that are not listed raise. A term that the terms before it determine has
+    no coefficient (null), the others are fitted. Steps that lower the likelihood are halved; if ten halvings don't
+    help, that raises. ``converged`` is false after ``max_steps`` and where a level separates events from survivors;
+    such a coefficient is infinite. ``max_combinations`` bounds the combinations of levels, one pair of counts each.
     """
     if ties not in ("efron", "breslow"):
         raise ValueError("ties must be 'efron' or 'breslow'")
+    ship(df.sparkSession)
     complete = df.dropna(subset=[time, event, *covariates])
     ordered: dict[str, list] = {}
     for c in covariates:
@@ -188,50 +192,60 @@ def cox_ph(
         ordered[c] = [base, *[v for v in values if v != base]]
     terms = [(c, v) for c in covariates for v in ordered[c][1:]]
     combinations = list(itertools.product(*ordered.values()))
-    if len(combinations) > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} combinations of covariate levels")
-    design = np.array(
+    if len(combinations) > max_combinations:
+        raise ValueError(f"more than {max_combinations} combinations of covariate levels")
+    full = np.array(
         [[1.0 if dict(zip(covariates, combo))[c] == v else 0.0 for c, v in terms] for combo in combinations]
     )
     groups = [
         reduce(and_, [F.col(c) == F.lit(v) for c, v in zip(covariates, combo)])
         for combo in combinations
     ]
-    sets = risk_sets(complete, time, event, groups)
+    sets = risk_sets(complete, time, event, groups, F.lit(True))
     deaths = reduce(lambda a, b: a + b, [F.col(f"d{p}") for p in range(len(groups))])
     subjects = reduce(lambda a, b: a + b, [F.col(f"n{p}") for p in range(len(groups))])
     sets = durable(sets.withColumns({"deaths": deaths, "subjects": subjects}))
-    size = sets.agg(F.max("subjects"), F.sum("deaths")).first()
+    size = sets.agg(F.max("subjects"), F.sum("deaths"), F.sum("strays")).first()
+    if size[2]:
+        raise ValueError(f"{size[2]} rows have a level that is not listed")
     eventful = sets.filter(F.col("deaths") > 0)
 
-    beta = np.zeros(len(terms))
-    loglik, score, information = _newton_sums(eventful, design, beta, ties)
-    steps = 0
-    while steps < max_steps:
+    kept = independent_terms(_newton_sums(eventful, full, np.zeros(len(terms)), ties)[2]) if size[1] else []
+    design = full[:, kept]
+    beta, steps, converged, infinite = np.zeros(len(kept)), 0, not kept, np.zeros(len(kept), bool)
+    if kept:
+        loglik, score, information = _newton_sums(eventful, design, beta, ties)
+    while kept and steps < max_steps and not converged and not infinite.any():
         steps += 1
-        move = np.linalg.solve(information, score)
-        for _ in range(10):
+        move = np.linalg.pinv(information) @ score
+        for _ in range(11):
             candidate = beta + move
             trial = _newton_sums(eventful, design, candidate, ties)
             if trial[0] >= loglik - 1e-12 * abs(loglik):
                 break
             move = move / 2
+        else:
+            raise ArithmeticError("no step raises the likelihood")
         gain, beta = abs(trial[0] - loglik), candidate
         loglik, score, information = trial
-        if np.max(np.abs(beta)) > 25:
-            raise ArithmeticError("a covariate level separates events from survivors")
-        if gain <= tolerance * (abs(loglik) + tolerance) and np.max(np.abs(move)) < 1e-7:
-            break
-    else:
-        raise ArithmeticError("no convergence")
-    std_err = np.sqrt(np.diag(np.linalg.inv(information)))
+        infinite = np.abs(beta) > INFINITE
+        converged = gain <= tolerance * (abs(loglik) + tolerance) and np.max(np.abs(move)) < 1e-7
+    # a likelihood that still rises towards an infinite coefficient is flat: its information vanishes
+    std_err = np.sqrt(np.maximum(np.diag(np.linalg.pinv(information)), 0)) if kept else np.zeros(0)
+    flat = infinite | (np.abs(beta) > 10) & (std_err > 50) if kept else infinite
     z = NormalDist().inv_cdf(0.5 + conf / 2)
-    rows = [
-        (
-            c, str(v), float(b), math.exp(b), float(s), float(b / s),
-            math.erfc(abs(b / s) / math.sqrt(2)), math.exp(b - z * s), math.exp(b + z * s),
-            int(size[0] or 0), int(size[1] or 0), steps,
-        )
-        for (c, v), b, s in zip(terms, beta, std_err)
-    ]
+    rows = []
+    for i, (c, v) in enumerate(terms):
+        values = [None] * 7
+        if i in kept:
+            at = kept.index(i)
+            b, s = float(beta[at]), float(std_err[at])
+            if flat[at]:
+                b = math.copysign(math.inf, b)
+                values = [b, math.exp(b), None, None, None, None, None]
+            elif s > 0:
+                values = [b, math.exp(b), s, b / s, math.erfc(abs(b / s) / math.sqrt(2)), math.exp(b - z * s), math.exp(b + z * s)]
+            else:
+                values = [b, math.exp(b), None, None, None, None, None]
+        rows.append((c, str(v), *values, int(size[0] or 0), int(size[1] or 0), steps, bool(converged and not flat.any())))
     return df.sparkSession.createDataFrame(rows, RESULT_SCHEMA)

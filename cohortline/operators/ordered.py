@@ -14,32 +14,29 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-MIN_RANGES, MAX_RANGES = 16, 4096
+MIN_RANGES = 16
 
 
 def _ranges(df: DataFrame) -> int:
     """As many ranges as the session shuffles partitions, rounded up to a power of two."""
     wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = MIN_RANGES
-    while ranges < min(wanted, MAX_RANGES):
+    while ranges < wanted:
         ranges *= 2
     return ranges
 
 
-def _cut_points(df: DataFrame, order: str, measures: Sequence[str], ranges: int) -> Column:
-    """Sorted cut values as a scalar subquery (at most ``ranges`` - 1 of them)."""
+def _cut_points(df: DataFrame, order: str, measures: Sequence[str], by: Sequence[str], ranges: int) -> Column:
+    """Sorted cut values as a scalar subquery (at most ``ranges`` - 1 of them).
+
+    The rows with the smallest hashes of group and value are an even, repeatable sample; every task sends no more than are
+    asked for.
+    """
     # the measures are referenced so that this branch keeps the same exchange as the main one,
     # which Spark then reuses instead of scanning the input a second time
     untouched = reduce(and_, [F.max(m).isNotNull() for m in measures])
-    kind = df.schema[order].dataType
-    if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        steps = [i / ranges for i in range(1, ranges)]
-        cuts = F.percentile_approx(order, steps, 100 * ranges)
-        return df.agg(F.when(untouched, cuts)).scalar()
-    # other types: the keys with the smallest hashes are an even, repeatable sample
-    sample = df.select(order, *measures).orderBy(F.xxhash64(order)).limit(ranges - 1)
+    sample = df.select(order, *by, *measures).orderBy(F.xxhash64(*by, order)).limit(ranges - 1)
     return sample.agg(F.when(untouched, F.array_sort(F.collect_set(order)))).scalar()
 
 
@@ -56,7 +53,7 @@ def running_totals(
     by = list(by)
     columns = df.columns
     ranges = _ranges(df)
-    cuts = _cut_points(df, order, measures, ranges)
+    cuts = _cut_points(df, order, measures, by, ranges)
     # binary search for the number of cuts below the value; absent cuts compare as not below
     ranged = df.withColumns({"__cuts": cuts, "__range": F.lit(0)})
     step = ranges // 2

@@ -42,6 +42,12 @@ def cohort_funnel(
     )
 
 
+def _total_order(first: str | Sequence[str], df: DataFrame) -> list[str]:
+    """The given columns, then all others, so that which row comes first doesn't depend on the order of files."""
+    first = as_list(first)
+    return [*first, *[c for c in df.columns if c not in first]]
+
+
 def validation_frame(
     labels: DataFrame,
     grades: DataFrame,
@@ -55,12 +61,12 @@ def validation_frame(
     """Labelled variants beside their new grade: consented and tested only, one row per variant,
     ``cohort_status`` 1 for germline and 0 otherwise, ``id`` numbering the subjects.
 
-    ``order_by`` completes the order in which the first label row of a variant wins.
+    ``order_by`` says which label row of a variant wins; the other columns, in turn, settle ties.
     """
     keys = list(keys)
     # a variant's label rows and grade rows are reduced first, so the join cannot fan out
     tested = labels.filter((F.col(consent) != "No") & (F.col(etiology) != "not tested"))
-    tested = first_per_key(tested, keys, [*order_by] or keys)
+    tested = first_per_key(tested, keys, _total_order(order_by, tested))
     joined = annotate(
         tested, grades, keys, [grade], rename={grade: "grade_new"}, dedupe_by=[F.col(grade)]
     )
@@ -178,6 +184,6 @@ def variant_report(
     chosen = df.filter(F.col(grade).isin(*grades) & inheritance_predicate)
     # numbering reads the rows twice, so what led to these few is not to be repeated
     single = durable(
-        first_per_key(chosen, [subject, variant], as_list(order_by) or [subject, variant])
+        first_per_key(chosen, [subject, variant], _total_order(order_by, chosen))
     )
     return with_group_id(single, subject, "id").select("id", *columns).orderBy("id", *columns)

@@ -75,7 +75,7 @@ def auc_empirical(
     """Area under the empirical curve (tied scores count half), with the class sizes."""
     table = running_totals(score_counts(df, score, label), "cutoff", ["pos", "neg"])
     below = F.col("cum_neg") - F.col("neg") + F.col("neg") / 2.0
-    area = F.try_divide(F.sum(F.col("pos") * below), F.max("total_pos") * F.max("total_neg") * 1.0)
+    area = F.try_divide(F.sum(F.col("pos").cast("double") * below), F.max("total_pos").cast("double") * F.max("total_neg").cast("double"))
     return table.agg(
         (area if higher_is_positive else 1.0 - area).alias("auc"),
         F.max("total_pos").alias("n_pos"),
@@ -135,7 +135,7 @@ def auc_ci(model: DataFrame, level: float = 0.95) -> DataFrame:
         auc * (1.0 - auc)
         + (F.col("n_pos") - 1) * (q1 - square)
         + (F.col("n_neg") - 1) * (q2 - square),
-        F.col("n_pos") * F.col("n_neg") * 1.0,
+        F.col("n_pos").cast("double") * F.col("n_neg").cast("double"),
     )
     z = NormalDist().inv_cdf(0.5 + level / 2)
     return model.select("auc", F.sqrt(variance).alias("std_err"), "n_pos", "n_neg").select(

@@ -1,37 +1,40 @@
 """Kaplan-Meier curves, risk tables and the log-rank test.
 
-Follow-up is measured in whole units (completed months or days), so however many subjects there
-are, one row per group and time remains after the first aggregation: at most a few thousand time
-points. The running products and sums go over that table. Fractional time is refused for the same
-reason: pass months and divide the reported time.
+One row per group and time remains after the first aggregation. Time may have any scale, fractional too, so there may be
+as many time points as subjects: running sums over them are cut into ranges (``running_totals``) and never
+sorted in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortline.functions.tails import chi_square_tail
 from cohortline.operators.keys import as_list
+from cohortline.operators.ordered import running_totals
 
-MAX_LEVELS = 64
+#: Groups of a test, by default: it has a system of as many equations, solved on the driver.
+MAX_GROUPS = 64
 
 
-def _require_whole_time(df: DataFrame, time: str) -> None:
-    if not isinstance(df.schema[time].dataType, T.IntegralType):
-        raise TypeError(f"{time} must be whole months or days; scale the result instead")
+def _at_risk(counts: DataFrame, measures: Sequence[str], strata: Sequence[str] = ()) -> DataFrame:
+    """The measures replaced by their sums from each time on."""
+    totals = running_totals(counts, "time", list(measures), strata)
+    later = {m: F.col(f"total_{m}") - F.col(f"cum_{m}") + F.col(m) for m in measures}
+    return totals.withColumns(later).select(*counts.columns)
 
 
 def life_table(
     df: DataFrame, time: str, event: str, strata: str | Sequence[str] = ()
 ) -> DataFrame:
     """One row per group and time: ``n_event``, ``n_censor``, ``n_risk``. Null times are left out."""
-    _require_whole_time(df, time)
     strata = as_list(strata)
     happened = F.coalesce(F.col(event).cast("boolean"), F.lit(False))
     counts = (
@@ -39,12 +42,7 @@ def life_table(
         .groupBy(*strata, F.col(time).alias("time"))
         .agg(F.count_if(happened).alias("n_event"), F.count_if(~happened).alias("n_censor"))
     )
-    later = (
-        Window.partitionBy(*strata)
-        .orderBy(F.desc("time"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return counts.withColumn("n_risk", F.sum(F.col("n_event") + F.col("n_censor")).over(later))
+    return _at_risk(counts.withColumn("n_risk", F.col("n_event") + F.col("n_censor")), ["n_risk"], strata)
 
 
 def km_curve(
@@ -53,28 +51,24 @@ def km_curve(
     """Kaplan-Meier curve per group, with Greenwood's standard error and a confidence interval on
     the log scale. Error and limits are null once survival has reached 0."""
     strata = as_list(strata)
-    table = life_table(df, time, event, strata)
-    running = (
-        Window.partitionBy(*strata)
-        .orderBy("time")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
     d, n = F.col("n_event").cast("double"), F.col("n_risk").cast("double")
     z = NormalDist().inv_cdf(0.5 + conf / 2)
+    # survival is the exponential of summed logs, and 0 from the first time on at which all die
+    steps = life_table(df, time, event, strata).withColumns(
+        {
+            "__log": F.when(d < n, F.log1p(-d / n)).otherwise(0.0),
+            "__end": F.when(d < n, 0).otherwise(1),
+            "__greenwood": F.when(d < n, d / (n * (n - d))).otherwise(0.0),
+        }
+    )
+    summed = running_totals(steps, "time", ["__log", "__end", "__greenwood"], strata)
     alive = F.col("survival") > 0
-    half_width = z * F.sqrt("__greenwood")
+    half_width = z * F.sqrt("cum___greenwood")
     return (
-        table.withColumns(
-            {
-                "survival": F.product(1.0 - d / n).over(running),
-                "__greenwood": F.sum(F.coalesce(F.try_divide(d, n * (n - d)), F.lit(0.0))).over(
-                    running
-                ),
-            }
-        )
+        summed.withColumn("survival", F.when(F.col("cum___end") > 0, 0.0).otherwise(F.exp("cum___log")))
         .withColumns(
             {
-                "std_err": F.when(alive, F.col("survival") * F.sqrt("__greenwood")),
+                "std_err": F.when(alive, F.col("survival") * F.sqrt("cum___greenwood")),
                 "lower": F.when(alive, F.col("survival") * F.exp(-half_width)),
                 "upper": F.when(alive, F.least(F.lit(1.0), F.col("survival") * F.exp(half_width))),
             }
@@ -121,23 +115,18 @@ def km_at(
 
 def km_cumhaz(curve: DataFrame, strata: str | Sequence[str] = (), nelson_aalen: bool = False) -> DataFrame:
     """Cumulative hazard, -log of survival (null at 0), or the Nelson-Aalen sum."""
+    strata = as_list(strata)
     if not nelson_aalen:
         hazard = F.when(F.col("survival") > 0, -F.log("survival"))
-    else:
-        running = (
-            Window.partitionBy(*as_list(strata))
-            .orderBy("time")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        hazard = F.sum(F.col("n_event") / F.col("n_risk")).over(running)
-    return curve.select(*as_list(strata), "time", hazard.alias("cumhaz"))
+        return curve.select(*strata, "time", hazard.alias("cumhaz"))
+    steps = curve.select(*strata, "time", (F.col("n_event") / F.col("n_risk")).alias("hazard"))
+    return running_totals(steps, "time", ["hazard"], strata).select(*strata, "time", F.col("cum_hazard").alias("cumhaz"))
 
 
 def risk_table(
     df: DataFrame, time: str, grid: Sequence[int], strata: str | Sequence[str] = ()
 ) -> DataFrame:
     """Number still followed at each grid time, per group (0 where nobody is)."""
-    _require_whole_time(df, time)
     strata = as_list(strata)
     counts = (
         df.filter(F.col(time).isNotNull())
@@ -151,54 +140,65 @@ def risk_table(
     )
 
 
-def level_values(df: DataFrame, strata: str) -> list:
-    """Sorted group values; a test over more than a few dozen groups is refused."""
-    found = (
-        df.filter(F.col(strata).isNotNull()).select(strata).distinct().limit(MAX_LEVELS + 1).collect()
-    )
-    if len(found) > MAX_LEVELS:
-        raise ValueError(f"{strata} has more than {MAX_LEVELS} levels")
-    return sorted(row[0] for row in found)
+def level_values(df: DataFrame, strata: str | Sequence[str], most: int = MAX_GROUPS) -> list:
+    """Sorted values of a column, or tuples of several; more than ``most`` raise."""
+    columns = as_list(strata)
+    found = df.dropna(subset=columns).select(*columns).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{', '.join(columns)} has more than {most} levels")
+    values = [tuple(row) for row in found]
+    return sorted(values if len(columns) > 1 else [v for v, in values])
 
 
-def risk_sets(df: DataFrame, time: str, event: str, groups: Sequence[Column]) -> DataFrame:
-    """One row per time: deaths ``d0``, ``d1``, … and at-risk counts ``n0``, ``n1``, … per group.
+def group_conditions(strata: str | Sequence[str], levels: Sequence) -> list[Column]:
+    """One condition per level: a value of the column, or a tuple of the columns' values."""
+    columns = as_list(strata)
+    return [
+        reduce(and_, [F.col(c) == F.lit(v) for c, v in zip(columns, level if len(columns) > 1 else (level,))])
+        for level in levels
+    ]
+
 
-    ``groups`` are boolean columns, one per group. A single pass; the window runs over time points.
+def risk_sets(df: DataFrame, time: str, event: str, groups: Sequence[Column], known: Column | None = None) -> DataFrame:
+    """One row per time: deaths ``d0``, ``d1``, … and at-risk counts ``n0``, ``n1``, … per group, and
+    ``strays``, rows with a ``known`` level that is in no group.
+
+    ``groups`` are conditions that exclude one another, one per group. A single pass over the rows.
     """
-    _require_whole_time(df, time)
     happened = F.coalesce(F.col(event).cast("boolean"), F.lit(False))
+    listed = reduce(or_, [F.coalesce(g, F.lit(False)) for g in groups])
+    stray = (known if known is not None else F.lit(False)) & ~listed
     per_time = (
         df.filter(F.col(time).isNotNull())
         .groupBy(F.col(time).alias("time"))
         .agg(
             *[F.count_if(g & happened).alias(f"d{i}") for i, g in enumerate(groups)],
-            *[F.count_if(g).alias(f"m{i}") for i, g in enumerate(groups)],
+            *[F.count_if(g).alias(f"n{i}") for i, g in enumerate(groups)],
+            F.count_if(stray).alias("strays"),
         )
     )
-    later = Window.orderBy(F.desc("time")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    return per_time.select(
-        "time",
-        *[f"d{i}" for i in range(len(groups))],
-        *[F.sum(f"m{i}").over(later).alias(f"n{i}") for i in range(len(groups))],
-    )
+    return _at_risk(per_time, [f"n{i}" for i in range(len(groups))])
 
 
 def logrank(
-    df: DataFrame, time: str, event: str, strata: str, levels: Sequence | None = None
+    df: DataFrame, time: str, event: str, strata: str | Sequence[str], levels: Sequence | None = None,
+    max_groups: int = MAX_GROUPS,
 ) -> DataFrame:
     """Log-rank test across groups: one row with ``n``, ``events``, ``chi2``, ``df``, ``p``.
 
-    With ``levels`` given and at most three of them the result is one lazy plan. More groups need a
-    small matrix inverse, done on the driver with the (k-1)² sums Spark computed.
+    Groups are the levels of one column, or the combinations of several (``levels`` are then tuples). A row with a missing level is
+    left out; one with a level that is not listed fails the test when it runs. With ``levels`` given and at
+    most three of them the result is one lazy plan. More groups need a small matrix inverse, done
+    on the driver with the (k-1)² sums Spark computed; ``max_groups`` bounds it.
     """
-    levels = list(levels) if levels is not None else level_values(df, strata)
+    levels = list(levels) if levels is not None else level_values(df, strata, max_groups)
     if len(levels) < 2:
         raise ValueError("at least two groups are needed")
+    if len(levels) > max_groups:
+        raise ValueError(f"more than {max_groups} groups")
     k = len(levels)
-    sets = risk_sets(df, time, event, [F.col(strata) == F.lit(v) for v in levels])
+    known = reduce(and_, [F.col(c).isNotNull() for c in as_list(strata)])
+    sets = risk_sets(df, time, event, group_conditions(strata, levels), known)
     d = sum((F.col(f"d{i}") for i in range(1, k)), F.col("d0")).cast("double")
     n = sum((F.col(f"n{i}") for i in range(1, k)), F.col("n0")).cast("double")
     sets = sets.withColumns({"d": d, "n": n}).withColumn(
@@ -218,7 +218,9 @@ def logrank(
         if i <= j
     ]
     stats = sets.agg(
-        F.max("n").cast("bigint").alias("n"), F.sum("d").cast("bigint").alias("events"), *sums
+        F.when(F.sum("strays") > 0, F.raise_error(F.concat(F.sum("strays").cast("string"), F.lit(" rows have a level that is not listed"))))
+        .otherwise(F.max("n")).cast("bigint").alias("n"),
+        F.sum("d").cast("bigint").alias("events"), *sums
     )
     if k == 2:
         chi2 = F.try_divide(F.col("u0") * F.col("u0"), F.col("v00"))

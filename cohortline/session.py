@@ -1,10 +1,14 @@
-"""Session settings the operators rely on, and durable cuts of a long lineage."""
+"""Session settings the operators rely on, the package on the executors, and durable cuts of a long lineage."""
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,12 +36,36 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="shared-")
 
 
+_shipped: set[str] = set()
+_written: list[str] = []
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the executors' Python import this package, wherever the driver was started; once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, f"{root.name}/{path.relative_to(root)}")
+    # Spark serves this file to the executors; its folder belongs to the driver's Spark
+    target = os.path.join(context._temp_dir, f"{root.name}-package.zip")
+    Path(target).write_bytes(packed.getvalue())
+    context.addPyFile(target)
+    _shipped.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
+    """The folder all executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given.
 
     Only a local session that names none (tests) gets a temporary folder of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = given.get() if given.isDefined() else None
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
@@ -49,9 +77,21 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage by writing the rows to the shared folder and reading them back.
 
     For rows that several later steps use: a lost executor costs no recomputation of what led here,
-    and each of the steps reads only the columns it needs.
+    and each of the steps reads only the columns it needs. Runs when called. The rows stay until ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/cohortline-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what ``durable`` has written so far; results that were not written elsewhere can't be read after that."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _written:
+        path = paths(_written.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone

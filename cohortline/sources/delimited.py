@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,20 @@ def _typed(text: Column, kind: T.DataType) -> Column:
     return text.try_cast(kind)
 
 
+def _first_line(spark: SparkSession, path: str) -> str:
+    """A file's first line, read on the driver through the file system and codec that Spark would use."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(conf).open(place)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+    plain = codec.createInputStream(stream) if codec is not None else stream
+    lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8"))
+    try:
+        return lines.readLine() or ""
+    finally:
+        lines.close()
+
+
 def read_delimited(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -39,28 +54,47 @@ def read_delimited(
     sep: str = ",",
     null_tokens: Sequence[str] = ("NA",),
     ragged: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read delimited text with a header; columns are found by (normalised) name, in any order.
 
-    Columns the schema does not name are not read. Text in ``null_tokens`` is missing; an empty cell
+    Every file has its own header: files with the same one are read together, and the parts are united. Quotes inside
+    quoted cells are doubled. With ``multi_line`` quoted cells may hold line breaks, for which a file can't be
+    split among tasks. Columns the schema does not name are not read. Text in ``null_tokens`` is missing; an empty cell
     is the empty text in a text column unless ``""`` is such a token, and missing elsewhere.
     Unreadable numbers and dates become null. With ``ragged`` short rows are padded with nulls.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    reader = spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
-    headers = reader.csv(paths).columns
+
+    def reader():
+        options = {"header": True, "sep": sep, "mode": "PERMISSIVE", "escape": '"', "multiLine": multi_line}
+        return spark.read.options(**options)
+
+    by_header: dict[str, list[str]] = {}
+    for file in sorted(spark.read.text(paths).inputFiles()):
+        if line := _first_line(spark, file):
+            by_header.setdefault(line, []).append(file)
+    parts = [_read_alike(reader, files, schema, null_tokens, ragged) for files in by_header.values()]
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _read_alike(reader, files: list[str], schema: T.StructType, null_tokens: Sequence[str], ragged: bool) -> DataFrame:
+    """Files that share a header."""
+    headers = reader().csv(files[0]).columns
     by_name = {snake_case(h): h for h in headers}
     absent = [f.name for f in schema if f.name not in by_name]
     if absent:
-        raise ValueError(f"no column {', '.join(absent)} among {', '.join(by_name)}")
+        raise ValueError(f"no column {', '.join(absent)} among {', '.join(by_name)} in {files[0]}")
 
     raw_schema = T.StructType([T.StructField(h, T.StringType()) for h in headers])
-    short = F.lit(False)
+    short, rows = F.lit(False), reader()
     if ragged:
         raw_schema = raw_schema.add(CORRUPT, T.StringType())
-        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
+        rows = rows.option("columnNameOfCorruptRecord", CORRUPT)
         short = F.col(CORRUPT).isNotNull()
-    raw = reader.schema(raw_schema).csv(paths)
+    raw = rows.schema(raw_schema).csv(files)
 
     tokens = list(null_tokens)
 
@@ -86,4 +120,4 @@ def write_table(
     Rows are range-partitioned, so part files follow one another in order and a large table is not
     squeezed through one task; a small one ends up in a single part.
     """
-    df.orderBy(*order_by).write.mode(mode).option("header", True).csv(path)
+    df.orderBy(*order_by).write.mode(mode).option("header", True).option("escape", '"').csv(path)

@@ -1,5 +1,9 @@
 import math
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -48,9 +52,41 @@ def test_risk_table(small):
     ]
 
 
-def test_fractional_time_is_refused(frame):
-    with pytest.raises(TypeError):
-        survival.km_curve(frame([(1.5, True)], "t double, e boolean"), "t", "e")
+def test_fractional_time(frame):
+    rng = random.Random(8)
+    whole = [(rng.randrange(1, 40), rng.random() < 0.6, rng.choice("ab")) for _ in range(200)]
+    parts = [(t / 12, e, g) for t, e, g in whole]
+    a = survival.km_curve(frame(whole, "t int, e boolean, g string"), "t", "e", "g").orderBy("g", "time").collect()
+    b = survival.km_curve(frame(parts, "t double, e boolean, g string"), "t", "e", "g").orderBy("g", "time").collect()
+    assert [r.n_risk for r in a] == [r.n_risk for r in b]
+    assert [r.survival for r in a] == pytest.approx([r.survival for r in b])
+    tests = [survival.logrank(frame(rows, f"t {kind}, e boolean, g string"), "t", "e", "g").first() for rows, kind in ((whole, "int"), (parts, "double"))]
+    assert tests[0].chi2 == pytest.approx(tests[1].chi2)
+
+
+def test_survival_plans_have_no_window_over_all_times(frame):
+    df = frame([(1.5, True, "a"), (2.5, False, "b")], "t double, e boolean, g string")
+    for result in (survival.km_curve(df, "t", "e"), survival.logrank(df, "t", "e", "g", ["a", "b"])):
+        plan = result._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Window" in line and "specifiedwindowframe" in line and "time" in line.split("windowspecdefinition(")[-1].split(",")[0]]
+
+
+def test_unlisted_levels_raise(frame):
+    df = frame([(i % 7, i % 2 == 0, "abcd"[i % 4]) for i in range(60)], "t int, e boolean, g string")
+    with pytest.raises(Exception, match="30 rows have a level that is not listed"):
+        survival.logrank(df, "t", "e", "g", ["a", "b"]).collect()
+    with pytest.raises(ValueError, match="30 rows"):
+        cox.cox_ph(df, "t", "e", ["g"], levels={"g": ["a", "b"]})
+    assert survival.logrank(df.filter("g IN ('a', 'b')"), "t", "e", "g", ["a", "b"]).first().n == 30
+
+
+def test_logrank_over_several_columns(frame):
+    rng = random.Random(3)
+    data = [(rng.randrange(1, 9), rng.random() < 0.6, rng.choice("ab"), rng.choice([0, 1, None])) for _ in range(150)]
+    df = frame(data, "t int, e boolean, g string, h int")
+    one = df.filter("h IS NOT NULL").selectExpr("t", "e", "concat(g, h) AS gh")
+    got, want = survival.logrank(df, "t", "e", ["g", "h"]).first(), survival.logrank(one, "t", "e", "gh").first()
+    assert got.df == 3 and got.n == want.n and got.chi2 == pytest.approx(want.chi2)
 
 
 def test_logrank_small(frame):
@@ -128,7 +164,7 @@ def test_cox_equals_brute_force(frame, ties):
     assert got[keys[0]].p == pytest.approx(math.erfc(abs(beta[0] / se[0]) / math.sqrt(2)))
 
 
-@pytest.mark.parametrize("risk, dying, deaths", [(100.0, 40.0, 40), (1e9, 50.0, 50), (60.0, 60.0, 60), (500.0, 3.7, 33)])
+@pytest.mark.parametrize("risk, dying, deaths", [(100.0, 40.0, 40), (1e9, 50.0, 50), (60.0, 60.0, 60), (500.0, 3.7, 33), (7.0, 2.0, 1), (9.0, 5.0, 2)])
 def test_tie_sums_closed_form(risk, dying, deaths):
     r = [risk - i / deaths * dying for i in range(deaths)]
     got = cox.tie_sums(np.array([risk]), np.array([dying]), np.array([float(deaths)]))
@@ -138,8 +174,34 @@ def test_tie_sums_closed_form(risk, dying, deaths):
 
 def test_cox_reports_separation(frame):
     data = [(1, True, "a"), (2, True, "a"), (5, False, "b"), (6, False, "b")]
-    with pytest.raises(ArithmeticError):
-        cox.cox_ph(frame(data, "t int, e boolean, g string"), "t", "e", ["g"])
+    row = cox.cox_ph(frame(data, "t int, e boolean, g string"), "t", "e", ["g"]).first()
+    assert not row.converged and row.coef == -math.inf and row.std_err is None
+
+
+def test_cox_leaves_aliased_terms_empty(frame):
+    rng = random.Random(6)
+    data = [(rng.randrange(1, 30), rng.random() < 0.6, rng.choice("ab")) for _ in range(200)]
+    data = [(t, e, g, "yes" if g == "b" else "no") for t, e, g in data]
+    df = frame(data, "t int, e boolean, g string, h string")
+    alone = cox.cox_ph(df, "t", "e", ["g"]).first()
+    both = {r.term: r for r in cox.cox_ph(df, "t", "e", ["g", "h"]).collect()}
+    assert both["g"].coef == pytest.approx(alone.coef) and both["g"].converged
+    assert both["h"].coef is None and both["h"].p is None
+
+
+def test_cox_runs_outside_the_repository(tmp_path):
+    code = (
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '1').getOrCreate()\n"
+        "from cohortline.operators.cox import cox_ph\n"
+        "df = spark.createDataFrame([(1, True, 'a'), (2, True, 'b'), (3, True, 'a'), (4, False, 'b')], 't int, e boolean, g string')\n"
+        "print('coefficient', cox_ph(df, 't', 'e', ['g']).first().coef)\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    root = str(Path(__file__).resolve().parent.parent)
+    done = subprocess.run([sys.executable, "-c", code, root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "coefficient" in done.stdout, done.stderr[-2000:]
 
 
 def test_kruskal_small(frame):
@@ -204,3 +266,9 @@ def test_binormal_against_the_normal_distribution(frame):
     assert ci.std_err == pytest.approx(se, abs=1e-6) and ci.upper <= 1.0
     band = roc.roc_ci(df, "s", "l").collect()
     assert all(0 <= r.lower <= r.tpr <= r.upper <= 1 for r in band)
+
+
+def test_auc_of_very_many(frame):
+    model = frame([(0.8, 4_000_000_000, 4_000_000_000)], "auc double, n_pos long, n_neg long")
+    row = roc.auc_ci(model).first()
+    assert 0 < row.std_err < 1e-4

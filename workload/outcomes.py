@@ -127,7 +127,7 @@ def fitted(t, ties):
         {"volume": ["few", "many"]}, ties=ties,
     )
     wide = ["coef", "hazard_ratio", "std_err", "lower", "upper"]
-    return table.drop("z", "p", "iterations").withColumns({c: F.round(c, 5) for c in wide})
+    return table.drop("z", "p", "iterations", "converged").withColumns({c: F.round(c, 5) for c in wide})
 
 
 @query(newton_sql("efron"))
@@ -146,4 +146,4 @@ def cox_two_covariates(t):
         followed(t), "months", "died", ["arm", "volume"], {"arm": "O", "volume": "few"},
         {"arm": ARMS, "volume": ["few", "many"]},
     )
-    return table.drop("iterations")
+    return table.drop("iterations", "converged")
