@@ -22,11 +22,14 @@ from cohortline.llm.common import durable, ship
 
 WIDTH = 200
 GRAM = 32
-#: Entries of one trigger whose suffixes one task sorts together; a trigger with more is settled by window hashes.
+#: Entries of one trigger whose suffixes one task sorts together; those of a fuller one are cut up first,
 SORTED = 512
+#: into parts of so many windows, and again where need be.
+STEPS = (16, 1)
 #: Window starts that are parsed at once, to bound memory on very long texts.
 _SEGMENT = 1 << 20
 _ROWS = 20_000
+_ENTRY = ["_key", "_t", "_u", "_s", "_n", "_body", "_times"]
 
 
 def _encode(text: str | None) -> bytes:
@@ -161,7 +164,7 @@ def _edges_sorted(entries: DataFrame, width: int) -> DataFrame:
 
         for frame in frames:
             spans = []
-            for row in zip(*[frame[c] for c in ("_key", "_t", "_u", "_s", "_n", "_body", "_times")]):
+            for row in zip(*[frame[c] for c in _ENTRY]):
                 if held and held[0][0] != row[0]:
                     spans += settled(held)
                     held = []
@@ -174,21 +177,53 @@ def _edges_sorted(entries: DataFrame, width: int) -> DataFrame:
     return dealt.mapInPandas(settle, "_t long, _u long, _a int, _b int")
 
 
-def _edges_counted(entries: DataFrame, width: int) -> DataFrame:
-    """The same from entries whose trigger has many: windows are counted by trigger and hash, map-side first."""
+def _cut_at_trigger(entries: DataFrame, step: int, width: int, gram: int) -> DataFrame:
+    """Entries cut into parts of at most ``step`` windows, at fixed distances from their trigger.
 
-    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest = xxhash.xxh3_64_intdigest
+    All windows that could lie in a part share its core, the bytes that every one of them has; equal windows are thus in
+    parts of one core, which is the parts' new key.
+    """
+    digest = xxhash.xxh3_64_intdigest
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at in range(0, len(frame), 200):
-                rows = [(k, digest(body[o:o + width]) - (1 << 63), t, u, s + o, times)
-                        for k, t, u, s, n, body, times in zip(*[frame[c].iloc[at:at + 200] for c in (
-                            "_key", "_t", "_u", "_s", "_n", "_body", "_times")]) for o in range(n)]
-                yield pd.DataFrame(rows, columns=["_key", "_h", "_t", "_u", "_a", "_times"])
+            rows = []
+            for key, t, u, s, n, body, times in zip(*[frame[c] for c in _ENTRY]):
+                x = int(_rolling(np.frombuffer(body[:width], np.uint8), gram).argmin())
+                for number in range((x - n + 1) // step, x // step + 1):
+                    first, last = x - (number + 1) * step + 1, x - number * step
+                    a, b = max(first, 0), min(last, n - 1)
+                    core = digest(b"%d %d " % (key, number) + body[last:first + width])
+                    part = body[a:b + width]
+                    rows.append((core - (1 << 63), digest(b"%d " % (a - first) + part) - (1 << 63), t, u, s + a, b - a + 1, part, times))
+                if len(rows) > _ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
+
+    names = ["_key", "_full", *_ENTRY[1:]]
+    return entries.select(*_ENTRY).mapInPandas(cut, "_key long, _full long, _t long, _u long, _s int, _n int, _body binary, _times long")
+
 
-    windows = durable(entries.mapInPandas(spread, "_key long, _h long, _t long, _u long, _a int, _times long"))
-    twice = windows.groupBy("_key", "_h").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_key", "_h")
-    return windows.filter("_times = 1").join(twice, ["_key", "_h"]).select("_t", "_u", "_a", (F.col("_a") + 1).alias("_b"))
+def _edges(entries: DataFrame, width: int, gram: int, together: int, steps: tuple[int, ...] = STEPS) -> DataFrame:
+    """Spans of window starts from entries that share their trigger with other ones.
+
+    Up to ``together`` entries of a trigger are sorted in one task. Those of a fuller one are cut into short parts, and
+    these are counted: equal parts are copies; different ones of one core go the same way again, with shorter parts. At one
+    window nothing is left, so a trigger that a third of all texts have costs a few rows for each of its entries.
+    """
+    spans = _edges_sorted(entries.filter(F.col("_entries") <= together), width)
+    if not steps:
+        return spans
+    parts = durable(_cut_at_trigger(entries.filter(F.col("_entries") > together), steps[0], width, gram))
+    counts = durable(parts.groupBy("_key", "_full").agg(F.count(F.lit(1)).alias("_c")))
+    whole = parts.filter("_times = 1").join(counts.filter("_c > 1"), ["_key", "_full"]).select(
+        "_t", "_u", F.col("_s").alias("_a"), (F.col("_s") + F.col("_n")).alias("_b"))
+    several = counts.groupBy("_key").agg(F.count(F.lit(1)).alias("_entries")).filter("_entries > 1")
+    # one of each kind of part stands for all; it asks for spans only if it is the only one
+    left = (parts.join(several, "_key").join(counts, ["_key", "_full"])
+            .withColumn("_times", F.greatest("_times", "_c")).dropDuplicates(["_key", "_full"]))
+    return spans.unionByName(whole).unionByName(_edges(left, width, gram, together, steps[1:]))
 
 
 def repeated_spans(named: DataFrame, width: int = WIDTH, gram: int = GRAM, together: int = SORTED) -> DataFrame:
@@ -222,9 +257,7 @@ def repeated_spans(named: DataFrame, width: int = WIDTH, gram: int = GRAM, toget
     kinds = "_key long, _t long, _u long, _s int, _n int, _body binary, _times long, _entries long"
     # rows of one name have one text: any of them serves, dropped before the shuffle that the join needs anyway
     bodies = durable(texts.dropDuplicates(["_t", "_u"]).join(wanted, ["_t", "_u"]).mapInPandas(fetch, kinds))
-    few = _edges_sorted(bodies.filter(F.col("_entries") <= together), width)
-    many = _edges_counted(bodies.filter(F.col("_entries") > together), width)
-    spans = whole.unionByName(few).unionByName(many)
+    spans = whole.unionByName(_edges(bodies, width, gram, together))
     return spans.groupBy("_t", "_u").agg(F.collect_set(F.struct("_a", "_b")).alias("_spans"))
 
 
