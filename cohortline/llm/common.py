@@ -2,45 +2,20 @@
 
 from __future__ import annotations
 
-import io
-import os
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.session import durable
+from cohortline.session import durable, ship
 
-__all__ = ["ASCII_SPACE", "durable", "pack_row", "ship", "sixty_four_bits", "table", "unpack_row"]
+__all__ = ["ASCII_SPACE", "durable", "pack_row", "ship", "table", "unpack_row"]
 
 #: Space and U+0009 to U+000D, the only characters that separate words here; bytes.split() cuts at the same ones.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
-_shipped: set[str] = set()
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Let the executors' Python import this package, wherever the driver was started; once per application."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
-        for path in sorted(root.rglob("*.py")):
-            archive.write(path, f"{root.name}/{path.relative_to(root)}")
-    # SparkFiles serves this file to the executors; its folder belongs to the driver's Spark
-    target = os.path.join(context._temp_dir, f"{root.name}-package.zip")
-    Path(target).write_bytes(packed.getvalue())
-    context.addPyFile(target)
-    _shipped.add(context.applicationId)
-
-
 def pack_row(df: DataFrame, **columns: Column) -> DataFrame:
     """The whole row as one struct ``_row`` beside internal columns, so that no column of the input can clash."""
     return df.select(F.struct("*").alias("_row"), *[c.alias(f"_{name}") for name, c in columns.items()])
@@ -49,7 +24,3 @@ def pack_row(df: DataFrame, **columns: Column) -> DataFrame:
 def unpack_row(df: DataFrame, names: list[str], **replaced: Column) -> DataFrame:
     """The packed columns again, some of them replaced."""
     return df.select(*[replaced.get(n, F.col("_row").getField(n)).alias(n) for n in names])
-
-
-def sixty_four_bits(*columns: Column) -> Column:
-    return F.xxhash64(*columns)
