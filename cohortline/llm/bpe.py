@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from cohortline.llm.common import pack_row, ship
 
 #: The most frequent words of the corpus; their ids are found once and sent along with the plan.
-FREQUENT_WORDS = 1 << 14
+FREQUENT_WORDS = 1 << 18
 #: Words of more bytes are merged by a heap, as the number of fold steps grows with a word's length and each looks at all pairs.
 LONG_BYTES = 128
 #: A map is searched from its start, so the entries are dealt over many small maps by hash.
-BUCKETS = 1 << 14
-_NONE = 2147483647
+BUCKETS = 1 << 16
+_PLACES = 1 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -64,6 +64,8 @@ class Vocabulary:
         missing = [i for i in range(256) if bytes([i]) not in ranks]
         if missing:
             raise ValueError(f"ranks lack the single bytes {missing}")
+        # the text of a plan would repeat the literals below
+        spark.conf.set("spark.sql.maxPlanStringLength", 1 << 20)
         self.spark, self.raw, self.pattern = spark, ranks, spark_pattern(pattern)
         self.ranks = LiteralMap(spark, {token.hex().upper(): rank for token, rank in ranks.items()}, "int")
         names = [""] * (max(ranks.values()) + 1)
@@ -77,22 +79,24 @@ class Vocabulary:
     def merged(self, word: Column) -> Column:
         """Ids of one word: a token as a whole, or its bytes, of which the leftmost pair of least rank is joined until none is left."""
 
-        def join(state: Column) -> Column:
-            pieces = state["pieces"]
-            ranked = F.transform(F.sequence(F.lit(0), F.size(pieces) - 2), lambda i: F.struct(
-                F.coalesce(self.ranks[F.concat(F.get(pieces, i), F.get(pieces, i + 1))], F.lit(_NONE)).alias("rank"), i.alias("i")))
-            joined = _let(F.array_min(ranked), lambda least: F.when(
-                least["rank"] == _NONE, F.struct(pieces.alias("pieces"), F.lit(True).alias("done"))).otherwise(F.struct(
-                    F.concat(F.slice(pieces, 1, least["i"]),
-                             F.array(F.concat(F.get(pieces, least["i"]), F.get(pieces, least["i"] + 1))),
-                             F.slice(pieces, least["i"] + 3, F.size(pieces))).alias("pieces"), F.lit(False).alias("done"))))
-            return F.when(state["done"] | (F.size(pieces) < 2), state).otherwise(joined)
+        def step(pieces: Column) -> Column:
+            # rank and place of each pair in one number, the rank above; null for pairs that are no token
+            ranked = F.transform(F.sequence(F.lit(0), F.size(pieces) - 2), lambda i: self.ranks[
+                F.concat(F.get(pieces, i), F.get(pieces, i + 1))].cast("long") * _PLACES + i)
+            return _let(F.array_min(ranked), lambda least: F.when(least.isNull(), pieces).otherwise(_let(
+                (least % _PLACES).cast("int"), lambda k: F.concat(
+                    F.slice(pieces, 1, k),
+                    F.array(F.concat(F.get(pieces, k), F.get(pieces, k + 1))),
+                    F.slice(pieces, k + 3, F.size(pieces))))))
 
         def fold(digits: Column) -> Column:
             n = (F.length(digits) / 2).cast("int")
             singles = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(digits, 2 * i + 1, F.lit(2)))
-            start = F.struct(singles.alias("pieces"), F.lit(False).alias("done"))
-            done = F.aggregate(F.sequence(F.lit(1), n), start, lambda state, _: join(state))
+            # a step that changes nothing leaves as many pieces as before: the rest of the steps are skipped
+            start = F.struct(singles.alias("pieces"), F.lit(0).alias("before"))
+            done = F.aggregate(F.sequence(F.lit(1), n), start, lambda state, _: F.when(
+                (state["before"] == F.size(state["pieces"])) | (F.size(state["pieces"]) < 2), state).otherwise(
+                    F.struct(step(state["pieces"]).alias("pieces"), F.size(state["pieces"]).alias("before"))))
             return F.transform(done["pieces"], lambda x: self.ranks[x])
 
         return _let(F.hex(F.encode(word, "UTF-8")), lambda digits: _let(
