@@ -89,7 +89,7 @@ def test_profile_scans_once(spark, hot):
 def test_running_ranges_share_out_a_hot_group(spark, hot):
     """No range of the running sums holds much more than its share of the distinct values."""
     counts = ordered.value_counts(hot, "x", ["v"])
-    cuts = ordered._cut_points(counts, "value", ["n"], 16)
+    cuts = ordered._cut_points(counts, "value", ["n"], ["v"], 16)
     ranged = counts.withColumn("c", cuts).select(
         F.size(F.filter("c", lambda c: c < F.col("value"))).alias("r")
     )
@@ -117,3 +117,14 @@ def test_recurrence_joins_the_rows_once(spark, hot):
     )
     plan = final_plan(recurrence.recurrent_panel(calls))
     assert len(re.findall(r"FileScan parquet [^\n]*\bx#", plan)) == 1
+
+
+def test_ranges_follow_the_session(spark):
+    from cohortline.operators.ordered import _ranges
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "20000")
+        assert _ranges(spark.range(1)) == 32768
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import types as T
@@ -6,6 +7,7 @@ from pyspark.sql import types as T
 from cohortline.session import durable
 from cohortline.sources import schemas
 from cohortline.sources.delimited import read_delimited, snake_case, write_table
+from cohortline.sources.schemas import NUMBER, TEXT, WHOLE
 
 
 def put(folder, name, text):
@@ -87,3 +89,35 @@ def test_durable_rows_read_back_from_the_shared_folder(spark):
     assert sorted(cut.collect()) == sorted(df.collect())
     folder = spark.conf.get("spark.checkpoint.dir")
     assert all(folder.rstrip("/") in f for f in cut.inputFiles())
+
+
+def test_doubled_quotes_commas_and_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,name,x\n1,"say ""hi"", you",5\n2,"two\nlines",6\n3,plain,7\n', encoding="utf-8")
+    kinds = schema(id=WHOLE, name=TEXT, x=NUMBER)
+    got = read_delimited(spark, str(tmp_path), kinds, multi_line=True).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, 'say "hi", you', 5.0), (2, "two\nlines", 6.0), (3, "plain", 7.0)]
+
+
+def test_each_file_has_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name,x\n1,one,10\n")
+    (tmp_path / "b.csv").write_text("x,extra,id,name\n20,-,2,two\n")
+    kinds = schema(id=WHOLE, name=TEXT, x=NUMBER)
+    for path in (str(tmp_path), [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]):
+        got = read_delimited(spark, path, kinds).orderBy("id").collect()
+        assert [tuple(r) for r in got] == [(1, "one", 10.0), (2, "two", 20.0)]
+
+
+def test_written_quotes_are_doubled(spark, frame, tmp_path):
+    path = str(tmp_path / "out")
+    write_table(frame([(1, 'say "hi", you')], "id long, name string"), path, ["id"])
+    text = "".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
+    assert '"say ""hi"", you"' in text
+    assert read_delimited(spark, path, schema(id=WHOLE, name=TEXT)).first().name == 'say "hi", you'
+
+
+def test_release_deletes_what_was_written(spark, frame):
+    from cohortline.session import durable, release
+
+    kept = durable(frame([(1,)], "a int"))
+    folder = kept.inputFiles()[0].rpartition("/")[0].removeprefix("file:")
+    assert release(spark) >= 1 and not os.path.exists("/" + folder.lstrip("/"))

@@ -49,3 +49,19 @@ def delimited_ragged(t):
     ).write.option("header", True).option("sep", "\x01").option("quote", "").csv(folder)
     kinds = schema(o_orderkey=WHOLE, o_orderstatus=TEXT, o_orderpriority=TEXT, o_orderdate=DATE)
     return read_delimited(t.spark, folder, kinds, sep="\t", ragged=True)
+
+
+@query("""SELECT c_custkey, 'say "' || c_name || '", ' || c_mktsegment AS said, c_acctbal FROM customer""")
+def delimited_quoted(t):
+    """Lines as other tools write them: quoted cells with commas and doubled quotes; two files of different column order."""
+    said = F.concat(F.lit('"say ""'), "c_name", F.lit('"", '), "c_mktsegment", F.lit('"'))
+    folder = new_folder(t)
+    halves = (
+        (F.col("c_custkey") % 2 == 0, "c_custkey,said,c_acctbal", ["c_custkey", said, "c_acctbal"]),
+        (F.col("c_custkey") % 2 == 1, "c_acctbal,c_custkey,said", ["c_acctbal", "c_custkey", said]),
+    )
+    for number, (chosen, header, cells) in enumerate(halves):
+        lines = t.customer.filter(chosen).select(F.concat_ws(",", *cells).alias(header))
+        lines.write.option("header", True).option("sep", "\x01").option("quote", "").csv(f"{folder}/{number}")
+    kinds = schema(c_custkey=WHOLE, said=TEXT, c_acctbal=NUMBER)
+    return read_delimited(t.spark, [f"{folder}/0", f"{folder}/1"], kinds)
