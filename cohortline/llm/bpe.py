@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,9 +15,11 @@ from cohortline.llm.common import pack_row, ship
 FREQUENT_WORDS = 1 << 18
 #: Words of more bytes are merged by a heap, as the number of fold steps grows with a word's length and each looks at all pairs.
 LONG_BYTES = 128
-#: A map is searched from its start, so the entries are dealt over many small maps by hash.
+#: A literal map is dealt over as many texts by hash, each searched from its start.
 BUCKETS = 1 << 16
-_PLACES = 1 << 16
+# around keys, before values and between buckets; keys hold none of them
+_ENTRY, _VALUE, _BUCKET = "\x01", "\x02", "\x03"
+MARKS = f"[{_ENTRY}{_VALUE}{_BUCKET}]"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -32,29 +33,36 @@ def spark_pattern(pattern: str) -> str:
     return pattern.replace("\\s", "\\p{IsWhite_Space}").replace("\\S", "\\P{IsWhite_Space}")
 
 
-class LiteralMap:
-    """A map from strings in the plan itself: an array of small maps, dealt by hash, folded into one literal."""
+def _let(value: Column, body) -> Column:
+    """body(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def __init__(self, spark: SparkSession, entries: dict[str, object], kind: str, buckets: int = BUCKETS):
-        self.buckets = buckets
-        keys = list(entries)
-        frame = spark.createDataFrame(pd.DataFrame({"k": keys}), "k string") if keys else spark.createDataFrame([], "k string")
-        dealt: list[dict] = [{} for _ in range(buckets)]
-        for key, at in frame.select("k", self._bucket(F.col("k"))).toPandas().itertuples(index=False):
-            dealt[at][key] = entries[key]
-        text = json.dumps(dealt, separators=(",", ":"), ensure_ascii=False)
-        self.literal = F.from_json(F.lit(text), f"array<map<string,{kind}>>")
 
-    def _bucket(self, key: Column) -> Column:
-        return F.pmod(F.hash(key), F.lit(self.buckets))
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.hash(key), F.lit(BUCKETS))
 
-    def __getitem__(self, key: Column) -> Column:
-        return F.try_element_at(F.get(self.literal, self._bucket(key)), key)
 
+class LiteralMap:
+    """A map between strings in the plan itself: an array of short texts, dealt by hash, as one literal.
 
-def _let(value: Column, body) -> Column:
-    """body(value), with the value worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    A text per bucket is read by each task much faster than maps would be. Keys must be free of MARKS, values not empty.
+    """
+
+    def __init__(self, entries: DataFrame):
+        dealt = [""] * BUCKETS
+        for key, value, at in entries.toDF("k", "v").select("k", "v", _bucket(F.col("k"))).toPandas().itertuples(index=False):
+            dealt[at] = f"{dealt[at] or _ENTRY}{key}{_VALUE}{value}{_ENTRY}"
+        self.literal = F.split(F.lit(_BUCKET.join(dealt)), _BUCKET)
+
+    def bind(self, body) -> Column:
+        """body(find), with the literal once in the expression: each further copy would be read again by every task."""
+        return _let(self.literal, lambda table: body(lambda key: self._find(table, key)))
+
+    @staticmethod
+    def _find(table: Column, key: Column) -> Column:
+        # without the key the whole text is left, of which nothing lies before its first mark
+        after = F.call_function("substring_index", F.get(table, _bucket(key)), F.concat(F.lit(_ENTRY), key, F.lit(_VALUE)), F.lit(-1))
+        return F.nullif(F.substring_index(after, _ENTRY, 1), F.lit(""))
 
 
 class Vocabulary:
@@ -67,7 +75,8 @@ class Vocabulary:
         # the text of a plan would repeat the literals below
         spark.conf.set("spark.sql.maxPlanStringLength", 1 << 20)
         self.spark, self.raw, self.pattern = spark, ranks, spark_pattern(pattern)
-        self.ranks = LiteralMap(spark, {token.hex().upper(): rank for token, rank in ranks.items()}, "int")
+        tokens = pd.DataFrame({"k": [t.hex().upper() for t in ranks], "v": [str(r) for r in ranks.values()]})
+        self.ranks = LiteralMap(spark.createDataFrame(tokens))
         names = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             names[rank] = token.hex().upper()
@@ -77,34 +86,47 @@ class Vocabulary:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), 0)
 
     def merged(self, word: Column) -> Column:
-        """Ids of one word: a token as a whole, or its bytes, of which the leftmost pair of least rank is joined until none is left."""
-
-        def step(pieces: Column) -> Column:
-            # rank and place of each pair in one number, the rank above; null for pairs that are no token
-            ranked = F.transform(F.sequence(F.lit(0), F.size(pieces) - 2), lambda i: self.ranks[
-                F.concat(F.get(pieces, i), F.get(pieces, i + 1))].cast("long") * _PLACES + i)
-            return _let(F.array_min(ranked), lambda least: F.when(least.isNull(), pieces).otherwise(_let(
-                (least % _PLACES).cast("int"), lambda k: F.concat(
-                    F.slice(pieces, 1, k),
-                    F.array(F.concat(F.get(pieces, k), F.get(pieces, k + 1))),
-                    F.slice(pieces, k + 3, F.size(pieces))))))
+        """Ids of one word, joined by commas: a token as a whole, or its bytes, of which the leftmost pair of least rank is
+        joined until none is left."""
+        return self.ranks.bind(lambda find: self.merge(word, find))
+
+    def merge(self, word: Column, find) -> Column:
+        """The same with the bound ranks."""
+
+        def rank(digits: Column) -> Column:
+            return find(digits).cast("int")
+
+        def step(state: Column) -> Column:
+            pieces, ranked = state["pieces"], state["ranked"]
+
+            def join(k: Column, joined: Column) -> Column:
+                # pair k, counted from 1, becomes one piece; only the ranks of the pairs beside it change
+                before = F.when(k > 1, F.concat(F.slice(ranked, 1, k - 2), F.array(rank(F.concat(F.get(pieces, k - 2), joined)))))
+                after = F.when(k < F.size(ranked), F.concat(
+                    F.array(rank(F.concat(joined, F.get(pieces, k + 1)))), F.slice(ranked, k + 2, F.size(ranked))))
+                none = F.array().cast("array<int>")
+                return F.struct(
+                    F.concat(F.slice(pieces, 1, k - 1), F.array(joined), F.slice(pieces, k + 2, F.size(pieces))).alias("pieces"),
+                    F.concat(F.coalesce(before, none), F.coalesce(after, none)).alias("ranked"))
+
+            return _let(F.array_min(ranked), lambda least: F.when(least.isNull(), state).otherwise(_let(
+                F.array_position(ranked, least).cast("int"), lambda k: _let(
+                    F.concat(F.get(pieces, k - 1), F.get(pieces, k)), lambda joined: join(k, joined)))))
 
         def fold(digits: Column) -> Column:
+            # words of one byte are tokens, so there are two bytes at least
             n = (F.length(digits) / 2).cast("int")
             singles = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(digits, 2 * i + 1, F.lit(2)))
-            # a step that changes nothing leaves as many pieces as before: the rest of the steps are skipped
-            start = F.struct(singles.alias("pieces"), F.lit(0).alias("before"))
-            done = F.aggregate(F.sequence(F.lit(1), n), start, lambda state, _: F.when(
-                (state["before"] == F.size(state["pieces"])) | (F.size(state["pieces"]) < 2), state).otherwise(
-                    F.struct(step(state["pieces"]).alias("pieces"), F.size(state["pieces"]).alias("before"))))
-            return F.transform(done["pieces"], lambda x: self.ranks[x])
+            pairs = F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(F.substring(digits, 2 * i + 1, F.lit(4))))
+            start = F.struct(singles.alias("pieces"), pairs.alias("ranked"))
+            done = F.aggregate(F.sequence(F.lit(2), n), start, lambda state, _: step(state))
+            return F.array_join(F.transform(done["pieces"], find), ",")
 
-        return _let(F.hex(F.encode(word, "UTF-8")), lambda digits: _let(
-            self.ranks[digits], lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(fold(digits))))
+        return _let(F.hex(F.encode(word, "UTF-8")), lambda digits: F.coalesce(find(digits), fold(digits)))
 
     def decoded(self, ids: Column) -> Column:
         """The bytes of the ids' tokens, one after another."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.tokens, i)), ""))
+        return _let(self.tokens, lambda tokens: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(tokens, i)), "")))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -140,9 +162,9 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 def _long_ids(vocabulary: Vocabulary, words: Column) -> Column:
     shared = vocabulary.spark.sparkContext.broadcast(vocabulary.raw)
 
-    @F.pandas_udf("array<array<int>>")
+    @F.pandas_udf("array<string>")
     def merge(lists: pd.Series) -> pd.Series:
-        return pd.Series([[merge_long(w.encode("utf-8"), shared.value) for w in x] for x in lists])
+        return pd.Series([[",".join(map(str, merge_long(w.encode("utf-8"), shared.value))) for w in x] for x in lists])
 
     return merge(words)
 
@@ -150,9 +172,10 @@ def _long_ids(vocabulary: Vocabulary, words: Column) -> Column:
 def frequent(docs: DataFrame, text: str, vocabulary: Vocabulary, count: int = FREQUENT_WORDS) -> LiteralMap:
     """Ids of the ``count`` most frequent words that aren't tokens as they stand, over all documents (ties: by the word)."""
     words = docs.select(F.explode(vocabulary.words(docs[text])).alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
-    short = words.filter(F.octet_length("_w") <= LONG_BYTES).orderBy(F.desc("_n"), "_w").limit(count)
-    found = short.select("_w", vocabulary.merged(F.col("_w")).alias("ids")).toPandas()
-    return LiteralMap(docs.sparkSession, {w: [int(i) for i in ids] for w, ids in found.itertuples(index=False)}, "array<int>")
+    short = words.filter((F.octet_length("_w") <= LONG_BYTES) & ~F.col("_w").rlike(MARKS)).orderBy(F.desc("_n"), "_w").limit(count)
+    # the limit leaves one partition
+    dealt = short.repartition(docs.sparkSession.sparkContext.defaultParallelism, "_w")
+    return LiteralMap(dealt.select("_w", vocabulary.merged(F.col("_w"))))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", frequent_words: int = FREQUENT_WORDS) -> DataFrame:
@@ -164,12 +187,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", frequent
     """
     ship(docs.sparkSession)
     known = frequent(docs, text, vocabulary, frequent_words)
-    split = pack_row(docs, words=vocabulary.words(docs[text]))
+    split = pack_row(docs, words=vocabulary.words(docs[text]), marked=F.coalesce(docs[text].rlike(MARKS), F.lit(False)))
     split = split.withColumn("_long", F.array_distinct(F.filter("_words", lambda w: F.octet_length(w) > LONG_BYTES)))
     split = split.withColumn("_long_ids", _long_ids(vocabulary, F.col("_long")))
 
-    def ids(word: Column) -> Column:
+    def ids(word: Column, look_up, find) -> Column:
+        seen = F.when(~F.col("_marked"), look_up(word))
         return F.when(F.octet_length(word) > LONG_BYTES, F.get(F.col("_long_ids"), F.array_position("_long", word).cast("int") - 1)).otherwise(
-            F.coalesce(known[word], vocabulary.merged(word)))
+            F.coalesce(seen, vocabulary.merge(word, find)))
 
-    return split.select(F.col("_row").alias("row"), F.flatten(F.transform("_words", ids)).alias("ids"))
+    joined = known.bind(lambda look_up: vocabulary.ranks.bind(lambda find: F.array_join(
+        F.transform("_words", lambda word: ids(word, look_up, find)), ",")))
+    return split.select(F.col("_row").alias("row"), F.when(joined == "", F.array()).otherwise(F.split(joined, ",")).cast("array<int>").alias("ids"))

@@ -33,6 +33,14 @@ def test_ids_and_bytes_equal_the_library(spark, vocabulary, library):
         assert r.sha == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_marks_of_the_literal_maps_in_texts(spark, vocabulary, library):
+    words = ["ereinauie", "Thenndes"]
+    texts = [*words * 2, "ereinauie\x01Thenndes\x02 \x03", "\x01ereinauie\x02", "Thenndes\x011,2\x01ereinauie", "\x03"]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in encode(docs, vocabulary).select("row.doc_id", "ids").collect()}
+    assert got == {i: library.encode_ordinary(x) for i, x in enumerate(texts)}
+
+
 def test_empty_table(spark, vocabulary):
     assert encode(none(spark), vocabulary).count() == 0
 
