@@ -140,10 +140,76 @@ def cox_breslow(t):
     return fitted(t, "breslow")
 
 
-@query()
+#: the groups of arm and volume, each with its indicators of the three terms
+COMBINATIONS = [(arm, volume) for arm in ARMS for volume in ("few", "many")]
+
+
+def newton_three_sql(steps: int = 8) -> str:
+    """Newton steps for three indicators with Efron's ties, unrolled; the 3×3 information is inverted by its adjugate."""
+    marks = [[int(arm == "F"), int(arm == "P"), int(volume == "many")] for arm, volume in COMBINATIONS]
+    groups = range(len(COMBINATIONS))
+    counted = ", ".join(
+        f"count(*) FILTER (arm = '{arm}' AND volume = '{volume}') AS m{g},"
+        f" count(*) FILTER (died AND arm = '{arm}' AND volume = '{volume}') AS d{g}"
+        for g, (arm, volume) in enumerate(COMBINATIONS)
+    )
+    at_risk = ", ".join(f"sum(m{g}) OVER w AS n{g}" for g in groups)
+    weight = [f"(n{g} - f * d{g}) * exp({' + '.join(f'{x} * b{j}' for j, x in enumerate(marks[g]))})" for g in groups]
+    pairs = [(j, k) for j in range(3) for k in range(j, 3)]
+
+    def total(keep) -> str:
+        return " + ".join(weight[g] for g in groups if keep(marks[g]))
+
+    parts = [
+        f"""WITH {FOLLOWED}, times AS (
+  SELECT months AS time, count(*) FILTER (died) AS d, {counted} FROM followed WHERE arm IN ('F', 'O', 'P') GROUP BY 1),
+risk AS (SELECT d, {", ".join(f"d{g}" for g in groups)}, {at_risk} FROM times WINDOW w AS (ORDER BY time DESC)),
+spread AS (SELECT i / d AS f, * FROM risk, range(d) r(i) WHERE d > 0),
+observed AS (SELECT sum(d) AS events, max({" + ".join(f"n{g}" for g in groups)}) AS n,
+  {", ".join(f"sum({' + '.join(f'd{g}' for g in groups if marks[g][j])}) AS o{j}" for j in range(3))} FROM risk),
+s0 AS (SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2)"""
+    ]
+    for i in range(steps):
+        sums = ", ".join(
+            [f"({total(lambda x: True)}) AS t"]
+            + [f"({total(lambda x, j=j: x[j])}) AS t{j}" for j in range(3)]
+            + [f"({total(lambda x, j=j, k=k: x[j] and x[k]) or '0.0'}) AS t{j}{k}" for j, k in pairs]
+        )
+        moments = ", ".join(
+            [f"sum(t{j} / t) AS e{j}" for j in range(3)]
+            + [f"sum(t{j}{k} / t - t{j} * t{k} / t / t) AS v{j}{k}" for j, k in pairs]
+        )
+        parts.append(
+            f"w{i} AS (SELECT b0, b1, b2, {sums} FROM spread, s{i}),\n"
+            f"m{i} AS (SELECT max(b0) AS b0, max(b1) AS b1, max(b2) AS b2, {moments} FROM w{i}),\n"
+            f"a{i} AS (SELECT *, v11 * v22 - v12 * v12 AS c00, v02 * v12 - v01 * v22 AS c01, v01 * v12 - v02 * v11 AS c02,"
+            f" v00 * v22 - v02 * v02 AS c11, v01 * v02 - v00 * v12 AS c12, v00 * v11 - v01 * v01 AS c22,"
+            f" o0 - e0 AS u0, o1 - e1 AS u1, o2 - e2 AS u2 FROM m{i}, observed),\n"
+            f"i{i} AS (SELECT *, v00 * c00 + v01 * c01 + v02 * c02 AS det FROM a{i}),\n"
+            f"s{i + 1} AS (SELECT b0 + (c00 * u0 + c01 * u1 + c02 * u2) / det AS b0, b1 + (c01 * u0 + c11 * u1 + c12 * u2) / det AS b1,"
+            f" b2 + (c02 * u0 + c12 * u1 + c22 * u2) / det AS b2,"
+            f" sqrt(c00 / det) AS se0, sqrt(c11 / det) AS se1, sqrt(c22 / det) AS se2 FROM i{i})"
+        )
+    rows = " UNION ALL ".join(
+        f"SELECT '{term}' AS term, '{level}' AS level, b{j} AS b, se{j} AS se FROM s{steps}"
+        for j, (term, level) in enumerate((("arm", "F"), ("arm", "P"), ("volume", "many")))
+    )
+    return (
+        ",\n".join(parts)
+        + f""", terms AS ({rows})
+SELECT term, level, round(b, 5) AS coef, round(exp(b), 5) AS hazard_ratio, round(se, 5) AS std_err,
+  round(b / se, 4) AS z, round({erfc_sql("abs(b / se) / sqrt(2.0)")}, 5) AS p,
+  round(exp(b - {Z95} * se), 5) AS lower, round(exp(b + {Z95} * se), 5) AS upper,
+  CAST(n AS BIGINT) AS n, CAST(events AS BIGINT) AS events FROM terms, observed"""
+    )
+
+
+@query(newton_three_sql())
 def cox_two_covariates(t):
     table = cox.cox_ph(
         followed(t), "months", "died", ["arm", "volume"], {"arm": "O", "volume": "few"},
         {"arm": ARMS, "volume": ["few", "many"]},
     )
-    return table.drop("iterations", "converged")
+    wide = ["coef", "hazard_ratio", "std_err", "lower", "upper"]
+    rounding = {c: F.round(c, 5) for c in [*wide, "p"]} | {"z": F.round("z", 4)}
+    return table.drop("iterations", "converged").withColumns(rounding)
