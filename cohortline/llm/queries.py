@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortline.llm.bpe import Vocabulary, encode, read_ranks
 from cohortline.llm.common import table
+from cohortline.llm.filter_audit import text_filter_audit
 from cohortline.llm.line_dedup import MAX_RATIO, MIN_PAGES, line_dedup
 from cohortline.llm.line_quality import MAX_SHARE, MIN_DOCS, MIN_LEFT, line_quality
 from cohortline.llm.nbsvm import quality_scores
@@ -146,6 +147,34 @@ def op10_suffix_dedup(spark, folder):
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_filter_audit(spark, folder):
+    return text_filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+OP11_SQL = """
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM t),
+told AS (SELECT doc_id AS id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, good, toxic, [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws),
+    100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] AS fails
+  FROM w LEFT JOIN told ON doc_id = id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY part, fails),
+l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT o, CAST(s AS INTEGER) AS step, list_transform(string_split(o, ''), lambda x: ascii(x) - 64) AS k FROM orders, range(1, 6) r(s)),
+hit AS (SELECT part, o, step, k[step] AS mine, n, good, toxic, fails[k[step]] AS fails_it,
+    len(list_filter(k[:step - 1], lambda i: fails[i])) > 0 AS gone, len(list_filter(fails, lambda x: x)) = 1 AS once FROM c, steps),
+per AS (SELECT part, o AS filter_order, step, mine,
+    coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fails_it), 0) AS kept, coalesce(sum(n) FILTER (WHERE NOT gone AND fails_it), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE gone AND fails_it), 0) AS redundant, coalesce(sum(n) FILTER (WHERE fails_it AND once), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE NOT gone AND fails_it), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE NOT gone AND fails_it), 0) AS toxic_lost FROM hit GROUP BY part, o, step, mine)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, mine))::BIGINT AS shapley FROM per"""
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_topk": op2_topk,
@@ -157,6 +186,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_filter_audit": op11_filter_audit,
 }
 
-SQL = {"op2_topk": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_line_quality": OP4_SQL, "op9_line_dedup": OP9_SQL}
+SQL = {"op2_topk": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_line_quality": OP4_SQL, "op9_line_dedup": OP9_SQL,
+       "op11_filter_audit": OP11_SQL}

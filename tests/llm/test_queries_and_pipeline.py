@@ -29,7 +29,7 @@ def test_query_has_a_row_per_document(spark, name):
 
 def test_registered():
     names = contract.queries()
-    assert sum(n.startswith("op") and n[2].isdigit() for n in names) == 10 and "pipeline" in names
+    assert sum(n.startswith("op") and n[2].isdigit() for n in names) == 13 and "pipeline" in names
 
 
 def test_stages_keep_the_columns_and_do_their_work(spark):
