@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortline.llm.bpe import Vocabulary, encode, read_ranks
 from cohortline.llm.common import table
+from cohortline.llm.divergence import source_divergence
 from cohortline.llm.filter_audit import text_filter_audit
 from cohortline.llm.line_dedup import MAX_RATIO, MIN_PAGES, line_dedup
 from cohortline.llm.line_quality import MAX_SHARE, MIN_DOCS, MIN_LEFT, line_quality
@@ -175,6 +176,34 @@ SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS remove
   (sum(removed) OVER (PARTITION BY part, mine))::BIGINT AS shapley FROM per"""
 
 
+def op13_source_divergence(spark, folder):
+    return source_divergence(table(spark, folder, "documents"))
+
+
+OP13_SQL = """
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+kept AS (SELECT lang, w FROM (SELECT lang, unnest(list_distinct(ws)) AS w FROM d) GROUP BY lang, w HAVING count(*) >= 30),
+occ AS (SELECT lang, source, w, count(*) AS c FROM (SELECT lang, source, unnest(ws) AS w FROM d) JOIN kept USING (lang, w) GROUP BY lang, source, w),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+gn AS (SELECT g.lang, g.source, v.v, coalesce(sum(occ.c), 0) AS n FROM g JOIN v USING (lang) LEFT JOIN occ USING (lang, source) GROUP BY g.lang, g.source, v.v),
+ln AS (SELECT lang, sum(n) AS n FROM gn GROUP BY lang),
+gp AS (SELECT gn.lang, gn.source, kept.w, coalesce(occ.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(occ.c, 0) + 5)) // (gn.n + 5 * gn.v) AS p
+  FROM gn JOIN kept USING (lang) LEFT JOIN occ ON occ.lang = gn.lang AND occ.source = gn.source AND occ.w = kept.w),
+lp AS (SELECT o.lang, o.w, 1 + (1000000000::HUGEINT * (o.c + 5)) // (ln.n + 5 * v.v) AS q
+  FROM (SELECT lang, w, sum(c) AS c FROM occ GROUP BY lang, w) o JOIN ln USING (lang) JOIN v USING (lang)),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM gp a JOIN gp b ON a.lang = b.lang AND a.w = b.w AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(far.f, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+terms AS (SELECT gp.lang, gp.source, 'term' AS part, gp.w AS item, (gp.p - lp.q)::BIGINT AS value FROM gp JOIN lp ON gp.lang = lp.lang AND gp.w = lp.w
+  WHERE gp.c > 0 AND gp.p > lp.q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (FROM pairs UNION ALL FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_topk": op2_topk,
@@ -187,7 +216,8 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_filter_audit": op11_filter_audit,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 SQL = {"op2_topk": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_line_quality": OP4_SQL, "op9_line_dedup": OP9_SQL,
-       "op11_filter_audit": OP11_SQL}
+       "op11_filter_audit": OP11_SQL, "op13_source_divergence": OP13_SQL}
