@@ -67,8 +67,11 @@ def test_many_blocks_slices_and_vectorizers(given, monkeypatch):
     docs, rows = given
     monkeypatch.setattr(divergence, "BLOCK_SOURCES", 4)
     monkeypatch.setattr(divergence, "BLOCK_TERMS", 50)
-    monkeypatch.setattr(divergence, "PROBED", 2)
-    assert divergence.vectorizers(docs.fillna("", ["text", "lang", "source"]), 4, 200) > 1
+    monkeypatch.setattr(divergence, "TASK_TERMS", 100)
+    monkeypatch.setattr(divergence, "TASK_CELLS", 100)
+    given = docs.fillna("", ["text", "lang", "source"])
+    kept = divergence.kept_terms(given, 4)
+    assert kept.count() > 400 and len(divergence.source_counts(given, kept, 200)[0].inputFiles()) > 2
     assert {tuple(r) for r in source_divergence(docs, min_docs=4, vocabulary=200).collect()} == plain(rows, 4)
 
 
