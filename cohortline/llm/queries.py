@@ -15,6 +15,7 @@ from cohortline.llm.line_dedup import MAX_RATIO, MIN_PAGES, line_dedup
 from cohortline.llm.line_quality import MAX_SHARE, MIN_DOCS, MIN_LEFT, line_quality
 from cohortline.llm.nbsvm import quality_scores
 from cohortline.llm.packing import pack
+from cohortline.llm.pii import KINDS, find_pii
 from cohortline.llm.secrets import scan_secrets
 from cohortline.llm.simhash import simhash_groups
 from cohortline.llm.suffix_dedup import suffix_dedup
@@ -176,6 +177,17 @@ SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS remove
   (sum(removed) OVER (PARTITION BY part, mine))::BIGINT AS shapley FROM per"""
 
 
+def op12_pii(spark, folder):
+    found = find_pii(table(spark, folder, "documents"))
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    return found.select(
+        "row.doc_id", *[F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS],
+        F.sha2(written("base").cast("binary"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
 def op13_source_divergence(spark, folder):
     return source_divergence(table(spark, folder, "documents"))
 
@@ -216,6 +228,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_filter_audit": op11_filter_audit,
+    "op12_pii": op12_pii,
     "op13_source_divergence": op13_source_divergence,
 }
 
