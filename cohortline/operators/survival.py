@@ -1,48 +1,70 @@
 """Kaplan-Meier curves, risk tables and the log-rank test.
 
 One row per group and time remains after the first aggregation. Time may have any scale, fractional too, so there may be
-as many time points as subjects: running sums over them are cut into ranges (``running_totals``) and never
-sorted in one task.
+as many time points as subjects: sums over them are prefix scans over ranges (``prefix_scans``), never sorted in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import and_, or_
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortline.functions.tails import chi_square_tail
 from cohortline.operators.keys import as_list
-from cohortline.operators.ordered import running_totals
+from cohortline.operators.ordered import prefix_scans, running_totals
 
 #: Groups of a test, by default: it has a system of as many equations, solved on the driver.
 MAX_GROUPS = 64
 
 
+def _still(n: str) -> Column:
+    """The sum from the row's time on: all but what is earlier."""
+    return F.col(f"total_{n}") - F.col(f"cum_{n}") + F.col(n)
+
+
 def _at_risk(counts: DataFrame, measures: Sequence[str], strata: Sequence[str] = ()) -> DataFrame:
     """The measures replaced by their sums from each time on."""
     totals = running_totals(counts, "time", list(measures), strata)
-    later = {m: F.col(f"total_{m}") - F.col(f"cum_{m}") + F.col(m) for m in measures}
-    return totals.withColumns(later).select(*counts.columns)
+    return totals.withColumns({m: _still(m) for m in measures}).select(*counts.columns)
 
 
-def life_table(
-    df: DataFrame, time: str, event: str, strata: str | Sequence[str] = ()
-) -> DataFrame:
-    """One row per group and time: ``n_event``, ``n_censor``, ``n_risk``. Null times are left out."""
-    strata = as_list(strata)
+def _event_counts(df: DataFrame, time: str, event: str, strata: Sequence[str]) -> DataFrame:
+    """``n_event``, ``n_censor`` and their sum ``n`` per group and time. Null times are left out."""
     happened = F.coalesce(F.col(event).cast("boolean"), F.lit(False))
     counts = (
         df.filter(F.col(time).isNotNull())
         .groupBy(*strata, F.col(time).alias("time"))
         .agg(F.count_if(happened).alias("n_event"), F.count_if(~happened).alias("n_censor"))
     )
-    return _at_risk(counts.withColumn("n_risk", F.col("n_event") + F.col("n_censor")), ["n_risk"], strata)
+    return counts.withColumn("n", F.col("n_event") + F.col("n_censor"))
+
+
+def _scanned(
+    df: DataFrame, time: str, event: str, strata: Sequence[str], steps: Mapping[str, Callable[[Column, Column], Column]]
+) -> DataFrame:
+    """The life table with the running sums of ``steps``, functions of the deaths and those at risk.
+
+    The first scan finds who is at risk, the second sums what depends on it, over one deal of the rows by range.
+    """
+    counts = _event_counts(df, time, event, strata)
+    d, n = F.col("n_event").cast("double"), _still("n").cast("double")
+    levels = [{"n": F.col("n")}, {m: step(d, n) for m, step in steps.items()}]
+    found = prefix_scans(counts, "time", strata, ["n_event", "n_censor", "n"], *[x for x in levels if x])
+    return found.withColumn("n_risk", _still("n"))
+
+
+def life_table(
+    df: DataFrame, time: str, event: str, strata: str | Sequence[str] = ()
+) -> DataFrame:
+    """One row per group and time: ``n_event``, ``n_censor``, ``n_risk``. Null times are left out."""
+    strata = as_list(strata)
+    return _scanned(df, time, event, strata, {}).select(*strata, "time", "n_event", "n_censor", "n_risk")
 
 
 def km_curve(
@@ -51,24 +73,20 @@ def km_curve(
     """Kaplan-Meier curve per group, with Greenwood's standard error and a confidence interval on
     the log scale. Error and limits are null once survival has reached 0."""
     strata = as_list(strata)
-    d, n = F.col("n_event").cast("double"), F.col("n_risk").cast("double")
     z = NormalDist().inv_cdf(0.5 + conf / 2)
     # survival is the exponential of summed logs, and 0 from the first time on at which all die
-    steps = life_table(df, time, event, strata).withColumns(
-        {
-            "__log": F.when(d < n, F.log1p(-d / n)).otherwise(0.0),
-            "__end": F.when(d < n, 0).otherwise(1),
-            "__greenwood": F.when(d < n, d / (n * (n - d))).otherwise(0.0),
-        }
-    )
-    summed = running_totals(steps, "time", ["__log", "__end", "__greenwood"], strata)
+    summed = _scanned(df, time, event, strata, {
+        "log": lambda d, n: F.when(d < n, F.log1p(-d / n)).otherwise(0.0),
+        "end": lambda d, n: F.when(d < n, 0).otherwise(1),
+        "greenwood": lambda d, n: F.when(d < n, d / (n * (n - d))).otherwise(0.0),
+    })
     alive = F.col("survival") > 0
-    half_width = z * F.sqrt("cum___greenwood")
+    half_width = z * F.sqrt("cum_greenwood")
     return (
-        summed.withColumn("survival", F.when(F.col("cum___end") > 0, 0.0).otherwise(F.exp("cum___log")))
+        summed.withColumn("survival", F.when(F.col("cum_end") > 0, 0.0).otherwise(F.exp("cum_log")))
         .withColumns(
             {
-                "std_err": F.when(alive, F.col("survival") * F.sqrt("cum___greenwood")),
+                "std_err": F.when(alive, F.col("survival") * F.sqrt("cum_greenwood")),
                 "lower": F.when(alive, F.col("survival") * F.exp(-half_width)),
                 "upper": F.when(alive, F.least(F.lit(1.0), F.col("survival") * F.exp(half_width))),
             }
@@ -79,6 +97,34 @@ def km_curve(
     )
 
 
+def _points_before(value: Column, points: Sequence, included: bool) -> Column:
+    """How many of the sorted points are below the value, or not above it if ``included``, by bisection."""
+    given = F.array(*[F.lit(p) for p in points])
+    low, size = F.lit(0), 1
+    while size <= len(points):
+        size *= 2
+
+    def further(at: Column, step: int) -> Column:
+        point = F.get(given, at + (step - 1))
+        return at + F.when(point <= value if included else point < value, step).otherwise(0)
+
+    while size > 1:
+        size //= 2
+        # in an array of one, so that it is worked out once
+        low = F.get(F.transform(F.array(low), lambda at: further(at, size)), F.lit(0))
+    return low
+
+
+def _by_horizon(found: DataFrame, points: Sequence, strata: Sequence[str]) -> DataFrame:
+    """A row per group of ``found``, number ``i`` and its ``horizon``, with the columns of ``found`` whose ``__interval`` it is
+    (null where there is none), and one without a horizon for the interval after the last point."""
+    columns = [c for c in found.columns if c not in (*strata, "__interval")]
+    groups = found.select(*strata).distinct() if strata else found.sparkSession.range(1).select()
+    asked = groups.select(*strata, F.posexplode(F.array(*[F.lit(p) for p in points], F.lit(None))).alias("i", "horizon"))
+    right = found.select(F.struct(*strata, F.col("__interval").alias("i")).alias("__key"), *columns)
+    return asked.join(right, F.struct(*strata, "i") == F.col("__key"), "left").drop("__key")
+
+
 def km_at(
     curve: DataFrame,
     times: Sequence[int],
@@ -89,38 +135,46 @@ def km_at(
     first step.
 
     ``n_risk`` counts those followed at least that long. A time beyond a group's follow-up gives no
-    row unless ``extend``.
+    row unless ``extend``. Every step goes to the interval between two requested times it is in, so that one row
+    per group and interval is left, whatever the number of either.
     """
     strata = as_list(strata)
-    asked = curve.withColumn("horizon", F.explode(F.array(*[F.lit(t) for t in times])))
-    passed = F.col("time") <= F.col("horizon")
-
-    def last(c: str, before: float) -> Column:
-        reached = F.max_by(F.when(passed, F.col(c)), F.when(passed, F.col("time")))
-        return F.when(F.count_if(passed) > 0, reached).otherwise(F.lit(before)).alias(c)
-
-    waiting = F.when(F.col("time") >= F.col("horizon"), F.col("time"))
-    result = asked.groupBy(*strata, "horizon").agg(
-        last("survival", 1.0),
-        last("std_err", 0.0),
-        last("lower", 1.0),
-        last("upper", 1.0),
-        F.coalesce(F.min_by("n_risk", waiting), F.lit(0)).alias("n_risk"),
-        F.max("time").alias("__last"),
+    points = sorted(set(times))
+    values = {"survival": 1.0, "std_err": 0.0, "lower": 1.0, "upper": 1.0}
+    at = F.get(F.array(*[F.lit(p) for p in points]), "__interval")
+    found = curve.withColumn("__interval", _points_before(F.col("time"), points, included=False)).groupBy(*strata, "__interval").agg(
+        *[F.max_by(c, "time").alias(f"__{c}") for c in values],
+        F.max("time").alias("__time"),
+        F.max(F.when(F.col("time") == at, F.col("n_risk"))).alias("__here"),
+        F.min_by("n_risk", "time").alias("__next"),
     )
+    rows = _by_horizon(found, points, strata)
+    order = Window.partitionBy(*strata).orderBy("i")  # as many rows per group as times are asked for
+    later = order.rowsBetween(1, Window.unboundedFollowing)
+    last_step = F.when(F.col("__time").isNotNull(), F.struct(*[F.col(f"__{c}").alias(c) for c in values]))
+    rows = rows.withColumns({
+        "__step": F.last(last_step, ignorenulls=True).over(order),
+        "n_risk": F.coalesce("__here", F.first("__next", ignorenulls=True).over(later), F.lit(0)),
+        "__followed": F.max("__time").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    }).filter(F.col("horizon").isNotNull())
     if not extend:
-        result = result.filter(F.col("horizon") <= F.col("__last"))
-    return result.drop("__last")
+        rows = rows.filter(F.col("horizon") <= F.col("__followed"))
+    reached = F.col("__step").isNotNull()
+    return rows.select(
+        *strata, "horizon", *[F.when(reached, F.col(f"__step.{c}")).otherwise(F.lit(before)).alias(c) for c, before in values.items()], "n_risk"
+    )
 
 
-def km_cumhaz(curve: DataFrame, strata: str | Sequence[str] = (), nelson_aalen: bool = False) -> DataFrame:
-    """Cumulative hazard, -log of survival (null at 0), or the Nelson-Aalen sum."""
+def km_cumhaz(curve: DataFrame, strata: str | Sequence[str] = ()) -> DataFrame:
+    """Cumulative hazard, -log of survival (null at 0)."""
+    hazard = F.when(F.col("survival") > 0, -F.log("survival"))
+    return curve.select(*as_list(strata), "time", hazard.alias("cumhaz"))
+
+
+def nelson_aalen(df: DataFrame, time: str, event: str, strata: str | Sequence[str] = ()) -> DataFrame:
+    """Cumulative hazard per group, the running sum of deaths by those at risk."""
     strata = as_list(strata)
-    if not nelson_aalen:
-        hazard = F.when(F.col("survival") > 0, -F.log("survival"))
-        return curve.select(*strata, "time", hazard.alias("cumhaz"))
-    steps = curve.select(*strata, "time", (F.col("n_event") / F.col("n_risk")).alias("hazard"))
-    return running_totals(steps, "time", ["hazard"], strata).select(*strata, "time", F.col("cum_hazard").alias("cumhaz"))
+    return _scanned(df, time, event, strata, {"hazard": lambda d, n: d / n}).select(*strata, "time", F.col("cum_hazard").alias("cumhaz"))
 
 
 def risk_table(
@@ -128,16 +182,13 @@ def risk_table(
 ) -> DataFrame:
     """Number still followed at each grid time, per group (0 where nobody is)."""
     strata = as_list(strata)
-    counts = (
-        df.filter(F.col(time).isNotNull())
-        .groupBy(*strata, F.col(time).alias("time"))
-        .agg(F.count("*").alias("n"))
-    )
-    return (
-        counts.withColumn("horizon", F.explode(F.array(*[F.lit(g) for g in grid])))
-        .groupBy(*strata, "horizon")
-        .agg(F.sum(F.when(F.col("time") >= F.col("horizon"), F.col("n")).otherwise(0)).alias("n_risk"))
-    )
+    points = sorted(set(grid))
+    # the last point that a time reaches: it counts there and at those before
+    reached = (_points_before(F.col(time), points, included=True) - 1).alias("__interval")
+    found = df.filter(F.col(time).isNotNull()).groupBy(*strata, reached).agg(F.count("*").alias("n"))
+    onward = Window.partitionBy(*strata).orderBy("i").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    at_risk = F.coalesce(F.sum("n").over(onward), F.lit(0)).alias("n_risk")
+    return _by_horizon(found, points, strata).select(*strata, "horizon", at_risk).filter(F.col("horizon").isNotNull())
 
 
 def level_values(df: DataFrame, strata: str | Sequence[str], most: int = MAX_GROUPS) -> list:

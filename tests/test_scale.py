@@ -2,10 +2,11 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortline.operators import aggregates, grading, joins, keyed, ordered, recurrence
+from cohortline.operators import aggregates, grading, joins, keyed, ordered, recurrence, survival
 from cohortline.operators.keys import attach
 
 
@@ -39,9 +40,19 @@ def hot(spark, tmp_path):
 
 
 def final_plan(df):
+    return executed(df).split("== Initial Plan ==")[0]
+
+
+def executed(df):
+    """The plan after it ran; what it was before, and its subqueries, are printed too."""
     df.write.format("noop").mode("overwrite").save()
     df.collect()
-    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def scans(plan):
+    """Scans that ran, those of subqueries too: only they were made part of a stage."""
+    return len(re.findall(r"\*\(\d+\) ColumnarToRow\n[^\n]*FileScan", plan))
 
 
 JOINS = {
@@ -77,8 +88,8 @@ def test_no_window_runs_over_raw_rows(spark, hot):
 
 
 def test_quantiles_scan_once(spark, hot):
-    plan = final_plan(ordered.exact_quantiles(hot, "x", {"m": 0.5}, ["v"]))
-    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+    plan = executed(ordered.exact_quantiles(hot, "x", {"m": 0.5}, ["v"]))
+    assert scans(plan) == 1 and "ReusedExchange" in plan
 
 
 def test_profile_scans_once(spark, hot):
@@ -86,15 +97,30 @@ def test_profile_scans_once(spark, hot):
     assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
 
 
-def test_running_ranges_share_out_a_hot_group(spark, hot):
+@pytest.mark.parametrize("ranges", [16, 64, 1024])
+def test_running_ranges_share_out_a_hot_group(spark, hot, ranges):
     """No range of the running sums holds much more than its share of the distinct values."""
-    counts = ordered.value_counts(hot, "x", ["v"])
-    cuts = ordered._cut_points(counts, "value", ["n"], ["v"], 16)
-    ranged = counts.withColumn("c", cuts).select(
-        F.size(F.filter("c", lambda c: c < F.col("value"))).alias("r")
-    )
-    sizes = [r[0] for r in ranged.groupBy("r").count().select("count").collect()]
-    assert len(sizes) == 16 and max(sizes) < 1.5 * sum(sizes) / 16
+    rows = hot if ranges < 1000 else spark.range(600_000).select((F.col("id") % 3).alias("v"), F.rand(5).alias("x"))
+    counts = ordered.value_counts(rows, "x", ["v"])
+    cuts = counts.select(ordered._cut_points(counts, "value", ["n"], ["v"], ranges).alias("c")).first().c
+    values = sorted(r[0] for r in counts.select("value").collect())
+    sizes = np.diff([0, *np.searchsorted(values, cuts, side="right"), len(values)])
+    assert len(sizes) == ranges and max(sizes) < 1.5 * len(values) / ranges
+
+
+def test_no_task_gathers_the_whole_sample(spark):
+    """Parts of the sample, and what they pass on, stay within 64 rows per range."""
+    counts = ordered.value_counts(spark.range(200_000).select((F.col("id") * 7 % 100_003).alias("x")), "x")
+    plan = counts.select(ordered._cut_points(counts, "value", ["n"], [], 16).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and "Sort" not in plan
+    assert ordered.OVERSAMPLE // ordered.SORTED_IN <= 64 and 2 * ordered.KEPT <= 64
+
+
+def test_scans_of_a_curve_deal_rows_once(spark, hot):
+    """Survival takes two scans, the second over the results of the first: rows are dealt by range once, for both."""
+    hot = hot.withColumn("died", F.col("v") > 3)
+    plan = executed(survival.km_curve(hot, "id", "died", "k"))
+    assert scans(plan) == 1 and len(set(re.findall(r"ShuffleQueryStage \d+\n[^\n]*- Exchange hashpartitioning\(__place[^\n]*REPARTITION_BY_COL, \[plan_id=(\d+)", plan))) == 1
 
 
 def test_filters_and_columns_reach_the_files(spark, hot):

@@ -29,11 +29,12 @@ def test_km_small(small):
 
 
 def test_km_reaches_zero(frame):
-    curve = survival.km_curve(frame([(1, True), (2, True)], "t int, e boolean"), "t", "e").orderBy("time")
+    df = frame([(1, True), (2, True)], "t int, e boolean")
+    curve = survival.km_curve(df, "t", "e").orderBy("time")
     last = curve.collect()[-1]
     assert (last.survival, last.std_err, last.lower, last.upper) == (0.0, None, None, None)
     assert survival.km_cumhaz(curve).orderBy("time").collect()[-1].cumhaz is None
-    assert survival.km_cumhaz(curve, nelson_aalen=True).orderBy("time").collect()[-1].cumhaz == 1.5
+    assert survival.nelson_aalen(df, "t", "e").orderBy("time").collect()[-1].cumhaz == 1.5
 
 
 def test_km_at(small):
@@ -52,6 +53,33 @@ def test_risk_table(small):
     ]
 
 
+def test_many_horizons(frame):
+    """Every horizon as a loop over the curve would find it, groups that end early and missing groups included."""
+    rng = random.Random(2)
+    df = frame([(rng.choice([1.5, 2.0, 3.25, 7.0, 11.5, 30.0]) + (g == "b"), rng.random() < 0.5, g) for g in ("a", "b", None) for _ in range(60)],
+               "t double, e boolean, g string")
+    curve = survival.km_curve(df, "t", "e", "g")
+    steps, times = curve.collect(), [r.t for r in df.collect()]
+    horizons = sorted({rng.uniform(-1, 35) for _ in range(300)} | {2.0, 3.0, 7.0, 31.0})
+    for extend in (False, True):
+        got = {(r.g, r.horizon): r for r in survival.km_at(curve, horizons, "g", extend).collect()}
+        for g in ("a", "b", None):
+            mine = sorted((r for r in steps if r.g == g), key=lambda r: r.time)
+            for h in horizons:
+                before = [r for r in mine if r.time <= h]
+                if h > mine[-1].time and not extend:
+                    assert (g, h) not in got
+                    continue
+                want = (before[-1].survival, before[-1].std_err, before[-1].lower, before[-1].upper) if before else (1.0, 0.0, 1.0, 1.0)
+                after = [r.n_risk for r in mine if r.time >= h]
+                assert tuple(got[g, h])[2:] == (*want, after[0] if after else 0)
+    table = {(r.g, r.horizon): r.n_risk for r in survival.risk_table(df, "t", horizons, "g").collect()}
+    followed = [(r.g, r.t) for r in df.collect()]
+    assert table == {(g, h): sum(x == g and t >= h for x, t in followed) for g in ("a", "b", None) for h in horizons}
+    plan = survival.km_at(curve, horizons, "g")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan.split("max_by")[-1]  # no step is multiplied
+
+
 def test_fractional_time(frame):
     rng = random.Random(8)
     whole = [(rng.randrange(1, 40), rng.random() < 0.6, rng.choice("ab")) for _ in range(200)]

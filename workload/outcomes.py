@@ -52,8 +52,17 @@ def km_cumhaz(t):
 
 @query(f"""{CURVE} SELECT arm, time, round(sum(n_event / n_risk) OVER (PARTITION BY arm ORDER BY time), 6) AS cumhaz FROM curve""")
 def nelson_aalen(t):
-    curve = survival.km_curve(followed(t), "months", "died", "arm")
-    return rounded(survival.km_cumhaz(curve, "arm", nelson_aalen=True), "cumhaz")
+    return rounded(survival.nelson_aalen(followed(t), "months", "died", "arm"), "cumhaz")
+
+
+@query(f"""WITH {FOLLOWED}, counts AS (
+  SELECT months * 365.25 / 12 AS time, count(*) FILTER (died) AS d, count(*) AS m FROM followed GROUP BY 1),
+risk AS (SELECT time, d, CAST(sum(m) OVER (ORDER BY time DESC) AS BIGINT) AS n_risk FROM counts)
+SELECT round(time, 6) AS time, n_risk, round(product(1.0 - d / n_risk) OVER (ORDER BY time), 6) AS survival FROM risk""")
+def km_fractional(t):
+    """One curve over days, a time scale of fractions."""
+    days = followed(t).withColumn("days", F.col("months") * 365.25 / 12)
+    return rounded(survival.km_curve(days, "days", "died").select("time", "n_risk", "survival"), "time", "survival")
 
 
 @query(f"""WITH {FOLLOWED}, grid AS (SELECT * FROM (VALUES (0), (12), (24), (36), (48), (60), (72)) v(horizon))
