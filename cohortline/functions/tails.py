@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,6 +71,10 @@ def normal_quantile(p: Column | str) -> Column:
     )
 
 
+#: Of more degrees of freedom the terms are summed on the log scale, which big powers and factorials don't overflow.
+LONG_SUM = 40
+
+
 def chi_square_tail(x: Column | str, df: int) -> Column:
     """P(X > x) for a whole number of degrees of freedom, as its finite sum."""
     if df < 1:
@@ -79,6 +84,10 @@ def chi_square_tail(x: Column | str, df: int) -> Column:
     total = F.exp(-half) if df % 2 == 0 else erfc(F.sqrt(half))
     power = first
     # Q(a + 1, h) = Q(a, h) + h^a e^-h / Gamma(a + 1), with a = df / 2
+    if df > LONG_SUM:
+        steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(math.lgamma(a + 1)).alias("g")) for a in np.arange(first, df / 2).tolist()])
+        terms = F.aggregate(steps, F.lit(0.0), lambda t, s: t + F.exp(s["a"] * F.log(half) - half - s["g"]))
+        return F.when(half > 0, total + terms).when(half == 0, 1.0)
     while power < df / 2:
         total = total + F.pow(half, F.lit(power)) * F.exp(-half) / math.gamma(power + 1)
         power += 1

@@ -1,29 +1,26 @@
 """Proportional hazards regression on categorical covariates.
 
-Subjects are aggregated once to risk sets: one row per time with deaths and at-risk counts for each
-combination of covariate levels. The counts do not depend on the coefficients, so every Newton step
-is one aggregate over that small durable table (a few sums of Arrow batches), and the driver only
-solves a k×k system.
+Subjects are aggregated once to risk sets: deaths and endings per time and observed pattern of covariate levels, one row
+per range of time. The counts do not depend on the coefficients, so every Newton step is one pass over that durable
+table (a few sums of Arrow batches), and the driver only solves a k×k system.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
-from collections.abc import Iterator, Mapping, Sequence
-from functools import reduce
-from operator import and_
+from collections.abc import Mapping, Sequence
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortline.operators.survival import MAX_GROUPS, level_values, risk_sets
-from cohortline.session import durable, ship
+from cohortline.operators.risksets import long_risk_sets, observed_patterns, pattern_levels, pattern_number, summed
+from cohortline.operators.survival import level_values
 
+#: Terms of a model, by default: the driver solves a system of as many equations.
+MAX_TERMS = 4096
 SHIFT = 16
 #: A coefficient beyond this means that a level separates events from survivors: it is infinite.
 INFINITE = 25.0
@@ -93,60 +90,44 @@ def tie_sums(
 
 def _contributions(
     d: np.ndarray, n: np.ndarray, design: np.ndarray, beta: np.ndarray, ties: str
-) -> tuple[float, np.ndarray, np.ndarray]:
-    """What some event times add to log likelihood, score and information."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What some event times add to log likelihood, score and information.
+
+    Second moments are never written out per time: what their sum needs of a pattern is one number.
+    """
     weight = np.exp(design @ beta)
     deaths = d.sum(axis=1)
     risk, dying = n @ weight, d @ weight
-    squares = design[:, :, None] * design[:, None, :]
     a1, b1 = (n * weight) @ design, (d * weight) @ design
-    a2 = np.tensordot(n * weight, squares, axes=1)
-    b2 = np.tensordot(d * weight, squares, axes=1)
     if ties == "breslow":
-        mean = a1 / risk[:, None]
         logs = deaths * np.log(risk)
-        expected = deaths[:, None] * mean
-        moment = deaths[:, None, None] * (a2 / risk[:, None, None])
-        product = deaths[:, None, None] * mean[:, :, None] * mean[:, None, :]
+        expected = (deaths / risk) @ a1
+        spread = weight * ((deaths / risk) @ n)
+        product = a1.T @ (a1 * (deaths / risk**2)[:, None])
     else:
         h1, h2, logs = tie_sums(risk, dying, deaths)
         # (a - l/d b) / (A - l/d B) is the constant b/B plus a multiple of 1 / (A - l/d B)
-        c1, c2 = b1 / dying[:, None], b2 / dying[:, None, None]
-        r1, r2 = a1 - risk[:, None] * c1, a2 - risk[:, None, None] * c2
-        expected = deaths[:, None] * c1 + r1 * h1[:, None]
-        moment = deaths[:, None, None] * c2 + r2 * h1[:, None, None]
-        mixed = c1[:, :, None] * r1[:, None, :]
-        product = (
-            deaths[:, None, None] * c1[:, :, None] * c1[:, None, :]
-            + (mixed + mixed.transpose(0, 2, 1)) * h1[:, None, None]
-            + r1[:, :, None] * r1[:, None, :] * h2[:, None, None]
-        )
-    loglik = float((d @ (design @ beta) - logs).sum())
-    return loglik, (d @ design - expected).sum(axis=0), (moment - product).sum(axis=0)
+        c1 = b1 / dying[:, None]
+        r1 = a1 - risk[:, None] * c1
+        expected = deaths @ c1 + h1 @ r1
+        spread = weight * (h1 @ n + ((deaths - risk * h1) / dying) @ d)
+        mixed = c1.T @ (r1 * h1[:, None])
+        product = c1.T @ (c1 * deaths[:, None]) + mixed + mixed.T + r1.T @ (r1 * h2[:, None])
+    loglik = (d @ (design @ beta) - logs).sum()
+    return loglik, d.sum(axis=0) @ design - expected, design.T @ (design * spread[:, None]) - product
 
 
 def _newton_sums(
-    sets: DataFrame, design: np.ndarray, beta: np.ndarray, ties: str
+    sets: DataFrame, patterns: np.ndarray, design: np.ndarray, beta: np.ndarray, ties: str
 ) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log likelihood, score and information at ``beta``: partial sums of the risk sets, added up."""
-    patterns, k = design.shape
-    names = ["loglik", *[f"u{i}" for i in range(k)], *[f"v{i}" for i in range(k * k)]]
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            d, n = (
-                batch[[f"{kind}{p}" for p in range(patterns)]].to_numpy(dtype=float)
-                for kind in ("d", "n")
-            )
-            loglik, score, information = _contributions(d, n, design, beta, ties)
-            yield pd.DataFrame([[loglik, *score, *information.ravel()]], columns=names)
-
-    row = (
-        sets.mapInPandas(partial, ", ".join(f"{name} double" for name in names))
-        .agg(*[F.sum(name) for name in names])
-        .first()
-    )
-    return row[0], np.array(row[1 : k + 1]), np.array(row[k + 1 :]).reshape(k, k)
+    """Log likelihood, score and information at ``beta``, added up over the ranges of the risk sets."""
+    k = design.shape[1]
+
+    def partial(d: np.ndarray, n: np.ndarray, known: np.ndarray):
+        return _contributions(d, n, design[np.searchsorted(patterns, known)], beta, ties)
+
+    loglik, score, information = summed(sets, partial, [(), (k,), (k, k)])
+    return float(loglik), score, information
 
 
 def independent_terms(information: np.ndarray, tolerance: float = 1e-9) -> list[int]:
@@ -171,7 +152,7 @@ def cox_ph(
     conf: float = 0.95,
     max_steps: int = 20,
     tolerance: float = 1e-9,
-    max_combinations: int = MAX_GROUPS,
+    max_terms: int = MAX_TERMS,
 ) -> DataFrame:
     """One row per non-reference covariate level: coefficient, hazard ratio, interval, p.
 
@@ -179,48 +160,46 @@ def cox_ph(
     missing value are left out; levels that are not listed raise. A term that the terms before it determine has
     no coefficient (null), the others are fitted. Steps that lower the likelihood are halved; if ten halvings don't
     help, that raises. ``converged`` is false after ``max_steps`` and where a level separates events from survivors;
-    such a coefficient is infinite. ``max_combinations`` bounds the combinations of levels, one pair of counts each.
+    such a coefficient is infinite. ``max_terms`` bounds the system that the driver solves; only patterns of levels that occur
+    are counted, whatever the number of possible ones.
     """
     if ties not in ("efron", "breslow"):
         raise ValueError("ties must be 'efron' or 'breslow'")
-    ship(df.sparkSession)
     complete = df.dropna(subset=[time, event, *covariates])
     ordered: dict[str, list] = {}
     for c in covariates:
-        values = list((levels or {}).get(c) or level_values(complete, c))
+        values = list((levels or {}).get(c) or level_values(complete, c, max_terms + 1))
         base = (reference or {}).get(c, values[0])
         ordered[c] = [base, *[v for v in values if v != base]]
     terms = [(c, v) for c in covariates for v in ordered[c][1:]]
-    combinations = list(itertools.product(*ordered.values()))
-    if len(combinations) > max_combinations:
-        raise ValueError(f"more than {max_combinations} combinations of covariate levels")
-    full = np.array(
-        [[1.0 if dict(zip(covariates, combo))[c] == v else 0.0 for c, v in terms] for combo in combinations]
-    )
-    groups = [
-        reduce(and_, [F.col(c) == F.lit(v) for c, v in zip(covariates, combo)])
-        for combo in combinations
-    ]
-    sets = risk_sets(complete, time, event, groups, F.lit(True))
-    deaths = reduce(lambda a, b: a + b, [F.col(f"d{p}") for p in range(len(groups))])
-    subjects = reduce(lambda a, b: a + b, [F.col(f"n{p}") for p in range(len(groups))])
-    sets = durable(sets.withColumns({"deaths": deaths, "subjects": subjects}))
-    size = sets.agg(F.max("subjects"), F.sum("deaths"), F.sum("strays")).first()
+    if len(terms) > max_terms:
+        raise ValueError(f"more than {max_terms} terms")
+    if math.prod(map(len, ordered.values())) >= 2**63:
+        raise ValueError("the possible patterns can't be numbered")
+    sets = long_risk_sets(complete, time, event, pattern_number(ordered))
+    each = F.inline(F.arrays_zip("pattern", "d", "n"))
+    size = sets.select(each).agg(F.sum("n"), F.sum("d"), F.sum(F.when(F.col("pattern").isNull(), F.col("n")))).first()
     if size[2]:
         raise ValueError(f"{size[2]} rows have a level that is not listed")
-    eventful = sets.filter(F.col("deaths") > 0)
-
-    kept = independent_terms(_newton_sums(eventful, full, np.zeros(len(terms)), ties)[2]) if size[1] else []
+    patterns = np.array(observed_patterns(sets), np.int64)
+    first = {c: sum(len(ordered[x]) - 1 for x in covariates[:i]) for i, c in enumerate(covariates)}
+    full = np.zeros((len(patterns), len(terms)))
+    for row, number in enumerate(patterns.tolist()):
+        for c, level in pattern_levels(number, ordered).items():
+            if level:
+                full[row, first[c] + level - 1] = 1.0
+
+    kept = independent_terms(_newton_sums(sets, patterns, full, np.zeros(len(terms)), ties)[2]) if size[1] else []
     design = full[:, kept]
     beta, steps, converged, infinite = np.zeros(len(kept)), 0, not kept, np.zeros(len(kept), bool)
     if kept:
-        loglik, score, information = _newton_sums(eventful, design, beta, ties)
+        loglik, score, information = _newton_sums(sets, patterns, design, beta, ties)
     while kept and steps < max_steps and not converged and not infinite.any():
         steps += 1
         move = np.linalg.pinv(information) @ score
         for _ in range(11):
             candidate = beta + move
-            trial = _newton_sums(eventful, design, candidate, ties)
+            trial = _newton_sums(sets, patterns, design, candidate, ties)
             if trial[0] >= loglik - 1e-12 * abs(loglik):
                 break
             move = move / 2

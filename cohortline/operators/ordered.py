@@ -72,6 +72,11 @@ def _by_range(df: DataFrame, order: str, measures: Sequence[str], by: Sequence[s
     return ranged.select(*[c for c in df.columns if c not in by], place)
 
 
+def placed_by_range(df: DataFrame, order: str, measures: Sequence[str]) -> DataFrame:
+    """The rows with ``range``, the number of their range of ``order``; equal values are in one range."""
+    return _by_range(df, order, measures, []).withColumn("range", F.col("__place.__range")).drop("__place")
+
+
 def prefix_scans(
     df: DataFrame,
     order: str,

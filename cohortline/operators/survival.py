@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 from cohortline.functions.tails import chi_square_tail
 from cohortline.operators.keys import as_list
 from cohortline.operators.ordered import prefix_scans, running_totals
+from cohortline.operators.risksets import long_risk_sets, pattern_number, summed
 
 #: Groups of a test, by default: it has a system of as many equations, solved on the driver.
-MAX_GROUPS = 64
+MAX_GROUPS = 4096
+#: A test of so many groups has two columns per group; more are summed in long form.
+WIDE_GROUPS = 3
 
 
 def _still(n: str) -> Column:
@@ -239,7 +242,7 @@ def logrank(
 
     Groups are the levels of one column, or the combinations of several (``levels`` are then tuples). A row with a missing level is
     left out; one with a level that is not listed fails the test when it runs. With ``levels`` given and at
-    most three of them the result is one lazy plan. More groups need a small matrix inverse, done
+    most three of them the result is one lazy plan. More groups are summed when called, and need a matrix inverse, done
     on the driver with the (k-1)² sums Spark computed; ``max_groups`` bounds it.
     """
     levels = list(levels) if levels is not None else level_values(df, strata, max_groups)
@@ -248,6 +251,8 @@ def logrank(
     if len(levels) > max_groups:
         raise ValueError(f"more than {max_groups} groups")
     k = len(levels)
+    if k > WIDE_GROUPS:
+        return _logrank_long(df, time, event, as_list(strata), levels)
     known = reduce(and_, [F.col(c).isNotNull() for c in as_list(strata)])
     sets = risk_sets(df, time, event, group_conditions(strata, levels), known)
     d = sum((F.col(f"d{i}") for i in range(1, k)), F.col("d0")).cast("double")
@@ -275,17 +280,12 @@ def logrank(
     )
     if k == 2:
         chi2 = F.try_divide(F.col("u0") * F.col("u0"), F.col("v00"))
-    elif k == 3:
+    else:
         u0, u1 = F.col("u0"), F.col("u1")
         v00, v01, v11 = F.col("v00"), F.col("v01"), F.col("v11")
         chi2 = F.try_divide(
             u0 * u0 * v11 - 2.0 * u0 * u1 * v01 + u1 * u1 * v00, v00 * v11 - v01 * v01
         )
-    else:
-        row = stats.first()
-        u = np.array([row[f"u{i}"] for i in free])
-        v = np.array([[row[f"v{min(i, j)}{max(i, j)}"] for j in free] for i in free])
-        chi2 = F.lit(float(u @ np.linalg.pinv(v) @ u))
     return stats.select("n", "events", chi2.alias("chi2")).select(
         "n",
         "events",
@@ -293,3 +293,39 @@ def logrank(
         F.lit(k - 1).alias("df"),
         chi_square_tail("chi2", k - 1).alias("p"),
     )
+
+
+def _logrank_long(df: DataFrame, time: str, event: str, columns: Sequence[str], levels: Sequence) -> DataFrame:
+    """The test of many groups: scores and their covariance are added up over ranges of the long risk sets."""
+    tuples = [level if len(columns) > 1 else (level,) for level in levels]
+    values = {c: sorted({t[i] for t in tuples}) for i, c in enumerate(columns)}
+    sets = long_risk_sets(df.dropna(subset=list(columns)), time, event, pattern_number(values))
+    number = {}
+    for group, level in enumerate(tuples):
+        code = 0
+        for c, v in zip(columns, level):
+            code = code * len(values[c]) + values[c].index(v)
+        number[code] = group
+    each = sets.select(F.inline(F.arrays_zip("pattern", "d", "n"))).groupBy("pattern").agg(F.sum("d").alias("d"), F.sum("n").alias("n")).collect()
+    strays = sum(r.n for r in each if r.pattern not in number)
+    if strays:
+        raise ValueError(f"{strays} rows have a level that is not listed")
+    k = len(levels)
+    codes = np.array(sorted(number), np.int64)
+    place = np.array([number[c] for c in codes.tolist()])
+
+    def partial(deaths: np.ndarray, risk: np.ndarray, known: np.ndarray):
+        at = place[np.searchsorted(codes, known)]
+        d, n = deaths.sum(axis=1), risk.sum(axis=1)
+        c = np.divide(d * (n - d), n - 1, out=np.zeros_like(d), where=n > 1)
+        score, spread, product = np.zeros(k), np.zeros(k), np.zeros((k, k))
+        score[at] = deaths.sum(axis=0) - (d / n) @ risk
+        spread[at] = (c / n) @ risk
+        product[np.ix_(at, at)] = risk.T @ (risk * (c / n**2)[:, None])
+        return score, spread, product
+
+    u, spread, product = summed(sets, partial, [(k,), (k,), (k, k)])
+    u, v = u[:-1], (np.diag(spread) - product)[:-1, :-1]
+    chi2 = float(u @ np.linalg.pinv(v) @ u)
+    row = df.sparkSession.createDataFrame([(int(sum(r.n for r in each)), int(sum(r.d for r in each)), chi2)], "n long, events long, chi2 double")
+    return row.select("n", "events", "chi2", F.lit(k - 1).alias("df"), chi_square_tail("chi2", k - 1).alias("p"))

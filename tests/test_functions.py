@@ -175,3 +175,15 @@ def test_normal_quantile(frame):
 def test_chi_square_tail(frame, x, df_, p):
     df = frame([(x,)], "x double")
     assert values(df, tails.chi_square_tail("x", df_)) == pytest.approx([p], rel=1e-6)
+
+
+def test_chi_square_tail_of_many_degrees(frame):
+    """Around the mean the tail is near a half, by the cube-root approximation; the long sum continues the short one."""
+    import math
+
+    for df in (42, 499, 4095):
+        for z in (-2.0, 0.0, 2.5):
+            x = df * (1 - 2 / (9 * df) + z * math.sqrt(2 / (9 * df))) ** 3
+            got = frame([(x,)], "x double").select(tails.chi_square_tail("x", df)).first()[0]
+            assert abs(got - math.erfc(z / math.sqrt(2)) / 2) < 2e-3
+    assert frame([(0.0,)], "x double").select(tails.chi_square_tail("x", 499)).first()[0] == 1.0

@@ -8,7 +8,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from cohortline.operators import cox, ranktests, roc, survival
+from cohortline.operators import cox, ranktests, risksets, roc, survival
 
 SMALL = [(1, True), (2, True), (2, False), (3, True), (4, False)]
 
@@ -148,6 +148,36 @@ def test_logrank_equals_brute_force(frame, levels):
     assert got.chi2 == pytest.approx(brute_logrank(data, levels))
 
 
+def test_many_groups_and_covariates(frame):
+    """Five hundred groups, and five covariates of more combinations than subjects, in several ranges and blocks of cells."""
+    rng = random.Random(12)
+    data = [(rng.randrange(1, 60), rng.random() < 0.5, f"g{i % 500}") for i in range(2500)]
+    got = survival.logrank(frame(data, "t int, e boolean, g string"), "t", "e", "g").first()
+    assert got.df == 499 and got.chi2 == pytest.approx(brute_logrank(data, sorted({g for _, _, g in data})), rel=1e-6)
+    names = "pqrsu"
+    rows = [(rng.randrange(1, 25), rng.random() < 0.6, *[rng.choice("xyzuv"[:3 + i % 3]) for i in range(5)]) for _ in range(300)]
+    df = frame(rows, "t int, e boolean, " + ", ".join(f"{c} string" for c in names))
+    table = cox.cox_ph(df, "t", "e", list(names))
+    assert table.count() == sum(len({r[i] for r in rows}) - 1 for i in range(2, 7)) and table.first().converged
+
+
+def test_blocks_of_cells_add_up(frame, monkeypatch):
+    rng = random.Random(7)
+    data = [(rng.randrange(1, 80), rng.random() < 0.5, "abcde"[i % 5]) for i in range(400)]
+    sets = risksets.long_risk_sets(frame(data, "t int, e boolean, g string"), "t", "e", risksets.pattern_number({"g": "abcde"}))
+    rows = sets.collect()
+    assert len(rows) > 4 and sum(sum(r.n) for r in rows) == 400
+    for cells in (1, 30, 1 << 20):
+        monkeypatch.setattr(risksets, "CELLS", cells)
+        for r in rows:
+            got = [(d.tolist(), n.tolist()) for deaths, risk, _ in risksets._blocks(r) for d, n in zip(deaths, risk)]
+            times = sorted({t for t in r.time if any(s == t and e for s, e, _ in data)})
+            want = [([sum(e and s == t and g == x for s, e, g in data) for x in "abcde"], [sum(s >= t and g == x for s, e, g in data) for x in "abcde"]) for t in times]
+            known = [block[2].tolist() for block in risksets._blocks(r)]
+            want = [([d[i] for i in known[0]], [n[i] for i in known[0]]) for d, n in want]
+            assert sorted(got, reverse=True) == sorted(want, reverse=True)
+
+
 def brute_cox(data, columns, ties):
     """Newton's method on the written-out partial likelihood, row by row."""
     x = np.array([[float(f(r)) for f in columns] for r in data])
