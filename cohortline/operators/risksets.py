@@ -57,7 +57,7 @@ def long_risk_sets(df: DataFrame, time: str, event: str, number: Column) -> Data
     ranges = placed.groupBy("range").agg(F.sort_array(F.collect_list(F.struct("time", "pattern", "d", "n"))).alias("rows"))
     held = placed.groupBy("range", "pattern").agg(F.sum("n").alias("n"))
     # every pattern in every range, as a pattern may rest in some
-    every = held.select("pattern").distinct().join(placed.agg(F.collect_set("range").alias("all")))
+    every = held.select("pattern").distinct().withColumn("all", placed.agg(F.collect_set("range")).scalar())
     every = every.select(F.col("pattern").alias("later"), F.explode("all").alias("in_range"))
     after = Window.partitionBy("later").orderBy("in_range").rowsBetween(1, Window.unboundedFollowing)
     still = (

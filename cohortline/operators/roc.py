@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortline.functions.tails import normal_cdf, normal_quantile
-from cohortline.operators.ordered import running_totals
+from cohortline.operators.ordered import quantile_columns, running_totals
 
 GRID_STEPS = 100
+SMOOTH_POINTS = 512
+BANDWIDTH_RULE = (0.9, 1.34)  # fixed values of the rule of thumb for a normal kernel's width
 
 
 def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -83,6 +85,99 @@ def auc_empirical(
     )
 
 
+def auc_delong(
+    df: DataFrame, score: str, label: str, higher_is_positive: bool = True, level: float = 0.95
+) -> DataFrame:
+    """Area under the empirical curve with the interval of DeLong, which supposes no distribution of the scores.
+
+    A row's placement is the share of the other class that it is beyond, ties half; the area's variance is that of the
+    positives' placements and of the negatives', each by its class size; without two rows of either there is none.
+    Placements come from running counts.
+    """
+    table = running_totals(score_counts(df, score, label), "cutoff", ["pos", "neg"])
+    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
+    n_pos, n_neg = F.col("total_pos").cast("double"), F.col("total_neg").cast("double")
+    above = F.try_divide(F.col("cum_neg") - F.col("neg") / 2.0, n_neg)  # of a positive: negatives below it
+    below = F.try_divide(F.col("total_pos") - F.col("cum_pos") + F.col("pos") / 2.0, n_pos)
+    sums = table.agg(
+        F.max("total_pos").alias("n_pos"),
+        F.max("total_neg").alias("n_neg"),
+        F.sum(pos * above).alias("a"),
+        F.sum(pos * above * above).alias("aa"),
+        F.sum(neg * below).alias("b"),
+        F.sum(neg * below * below).alias("bb"),
+    )
+
+    def spread(total: str, square: str, n: str) -> Column:
+        """Variance of the mean placement of a class of ``n``."""
+        return F.try_divide(F.col(square) - F.col(total) * F.col(total) / F.col(n), F.col(n).cast("double") * (F.col(n) - 1))
+
+    area = F.try_divide(F.col("a"), F.col("n_pos").cast("double"))
+    variance = spread("a", "aa", "n_pos") + spread("b", "bb", "n_neg")
+    z = NormalDist().inv_cdf(0.5 + level / 2)
+    found = sums.select(
+        (area if higher_is_positive else 1.0 - area).alias("auc"),
+        F.sqrt(F.when(variance > 0, variance).when(variance.isNotNull(), 0.0)).alias("std_err"), "n_pos", "n_neg",
+    )
+    half = z * F.col("std_err")
+    return found.select(
+        "auc", "std_err",
+        F.when(half.isNotNull(), F.greatest(F.lit(0.0), F.col("auc") - half)).alias("lower"),
+        F.when(half.isNotNull(), F.least(F.lit(1.0), F.col("auc") + half)).alias("upper"),
+        "n_pos", "n_neg",
+    )
+
+
+def roc_smooth(
+    df: DataFrame, score: str, label: str, higher_is_positive: bool = True, points: int = SMOOTH_POINTS
+) -> DataFrame:
+    """Smooth curve without a model of the classes: rates above every cutoff of an even grid, after both classes were smoothed
+    by a normal kernel, and the area under it.
+
+    The kernel's width follows the spread of all scores, the lesser of standard deviation and quartile distance by
+    BANDWIDTH_RULE; the grid goes three widths beyond them. Counts per score are dealt to the two grid points beside it, so that
+    what is convolved has as many rows as the grid, whatever the number of scores.
+    """
+    counts = score_counts(df, score, label)
+    both = counts.select(F.col("cutoff").alias("value"), (F.col("pos") + F.col("neg")).alias("n"))
+    n, x = F.sum("n"), F.col("value")
+    mean = F.sum(x * F.col("n")) / n
+    facts = running_totals(both, "value", ["n"]).agg(
+        *quantile_columns({"q1": 0.25, "q3": 0.75}), n.alias("rows"), mean.alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
+    centred = both.withColumn("mean", facts.select("mean").scalar())
+    deviation = centred.agg(F.sqrt(F.sum((x - F.col("mean")) * (x - F.col("mean")) * F.col("n")) / (n - 1)).alias("sd"))
+    narrow = F.least(F.col("sd"), (F.col("q3") - F.col("q1")) / BANDWIDTH_RULE[1])
+    spread = F.when(narrow > 0, narrow).when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
+    width = BANDWIDTH_RULE[0] * spread * F.pow("rows", F.lit(-0.2))
+    grid = facts.withColumn("sd", deviation.scalar()).select(width.alias("h"), "low", "high").select(
+        "h", (F.col("low") - 3.0 * F.col("h")).alias("start"),
+        ((F.col("high") - F.col("low") + 6.0 * F.col("h")) / (points - 1)).alias("step"))
+    known = grid.select(F.struct("*")).scalar()
+    at = (F.col("cutoff") - F.col("start")) / F.col("step")
+    part = F.col("at") - F.floor("at")
+    sides = F.array(
+        F.struct(F.floor("at").alias("bin"), (1.0 - part).alias("share")),
+        F.struct((F.floor("at") + 1).alias("bin"), part.alias("share")),
+    )
+    dealt = counts.withColumn("grid", known).select("pos", "neg", "cutoff", "grid.*").withColumn("at", at).select("pos", "neg", F.inline(sides))
+    bins = dealt.groupBy("bin").agg(*[F.sum(F.col(c) * F.col("share")).alias(c) for c in ("pos", "neg")])
+    # at most points times points rows
+    apart = (F.col("point") - F.col("bin")) * F.col("step") / F.col("h")
+    kernel = F.exp(-0.5 * apart * apart)
+    near = bins.withColumn("grid", known).select("bin", "pos", "neg", "grid.*").withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    density = near.groupBy("point", "start", "step").agg(*[F.sum(F.col(c) * kernel).alias(c) for c in ("pos", "neg")])
+    whole = Window.orderBy("point").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # points rows
+    ends = (Window.currentRow, Window.unboundedFollowing) if higher_is_positive else (Window.unboundedPreceding, Window.currentRow)
+    beyond = Window.orderBy("point").rowsBetween(*ends)
+    rates = density.select(
+        "point", (F.col("start") + F.col("point") * F.col("step")).alias("cutoff"),
+        *[F.try_divide(F.sum(c).over(beyond), F.sum(c).over(whole)).alias(name) for c, name in (("pos", "tpr"), ("neg", "fpr"))])
+    order = Window.orderBy("point" if higher_is_positive else F.desc("point"))
+    next_tpr, next_fpr = (F.coalesce(F.lead(c).over(order), F.lit(0.0)) for c in ("tpr", "fpr"))
+    strips = rates.select("point", "cutoff", "tpr", "fpr", ((F.col("fpr") - next_fpr) * (F.col("tpr") + next_tpr) / 2.0).alias("strip"))
+    return strips.select("cutoff", "fpr", "tpr", F.sum("strip").over(whole).alias("auc"))
+
+
 def class_moments(
     df: DataFrame, score: str, label: str, higher_is_positive: bool = True
 ) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import subprocess
 import sys
 from pathlib import Path
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -330,3 +331,38 @@ def test_auc_of_very_many(frame):
     model = frame([(0.8, 4_000_000_000, 4_000_000_000)], "auc double, n_pos long, n_neg long")
     row = roc.auc_ci(model).first()
     assert 0 < row.std_err < 1e-4
+
+
+def plain_delong(data):
+    pos, neg = [x for x, y in data if y], [x for x, y in data if not y]
+    wins = np.array([[(x > z) + 0.5 * (x == z) for z in neg] for x in pos])
+    return wins.mean(), math.sqrt(wins.mean(axis=1).var(ddof=1) / len(pos) + wins.mean(axis=0).var(ddof=1) / len(neg))
+
+
+@pytest.mark.parametrize("higher", [True, False])
+def test_delong_equals_all_pairs(frame, higher):
+    rng = random.Random(4)
+    data = [(rng.randrange(12) + (1.5 if y else 0.0), int(y)) for y in (rng.random() < 0.4 for _ in range(120))]
+    got = roc.auc_delong(frame(data + [(None, 1), (3.0, None)], "x double, y int"), "x", "y", higher).first()
+    auc, se = plain_delong(data)
+    assert (got.auc, got.std_err) == pytest.approx((auc if higher else 1 - auc, se)) and (got.n_pos, got.n_neg) == (sum(y for _, y in data), sum(1 - y for _, y in data))
+    assert got.upper == pytest.approx(min(1, got.auc + 1.959963984540054 * se))
+    one = roc.auc_delong(frame([(1.0, 1), (2.0, 0), (3.0, 0)], "x double, y int"), "x", "y").first()
+    assert one.auc == 0.0 and one.std_err is None  # a class of one has no variance
+    assert roc.auc_delong(frame([], "x double, y int"), "x", "y").first().auc is None
+
+
+def test_smooth_curve_is_near_the_true_one(frame):
+    """Two normal classes: the smooth curve follows theirs; direction turns it; constant scores have a curve too."""
+    rng = random.Random(6)
+    data = [(rng.gauss(1.0 if y else 0.0, 1.0), y) for y in [0, 1] * 1500]
+    curve = roc.roc_smooth(frame(data, "x double, y int"), "x", "y").orderBy("cutoff").collect()
+    assert len(curve) == 512 and curve[0].tpr == curve[0].fpr == 1.0
+    assert all(a.tpr >= b.tpr and a.fpr >= b.fpr for a, b in zip(curve, curve[1:]))
+    normal = NormalDist()
+    assert curve[0].auc == pytest.approx(normal.cdf(1 / math.sqrt(2)), abs=0.02)
+    for r in curve[::25]:
+        assert r.tpr == pytest.approx(1 - normal.cdf(r.cutoff - 1), abs=0.04) and r.fpr == pytest.approx(1 - normal.cdf(r.cutoff), abs=0.04)
+    turned = roc.roc_smooth(frame([(-x, y) for x, y in data], "x double, y int"), "x", "y", False).first()
+    assert turned.auc == pytest.approx(curve[0].auc)
+    assert roc.roc_smooth(frame([(1.0, 0), (1.0, 1), (1.0, 1)], "x double, y int"), "x", "y").first().auc == pytest.approx(0.5, abs=0.01)

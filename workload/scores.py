@@ -68,6 +68,38 @@ def auc_empirical(t):
     return rounded(area, "auc")
 
 
+@query(f"""WITH {SCORED}, p AS (SELECT row_number() OVER () AS i, n_chars AS x FROM scored WHERE quality = 1),
+q AS (SELECT row_number() OVER () AS j, n_chars AS y FROM scored WHERE quality <> 1),
+beats AS (SELECT i, j, CASE WHEN x > y THEN 1.0 WHEN x = y THEN 0.5 ELSE 0.0 END AS w FROM p CROSS JOIN q),
+a AS (SELECT avg(w) AS v FROM beats GROUP BY i), b AS (SELECT avg(w) AS v FROM beats GROUP BY j),
+s AS (SELECT (SELECT avg(v) FROM a) AS auc, sqrt((SELECT var_samp(v) / count(*) FROM a) + (SELECT var_samp(v) / count(*) FROM b)) AS se,
+  (SELECT count(*) FROM a) AS n_pos, (SELECT count(*) FROM b) AS n_neg)
+SELECT round(auc, 6) AS auc, round(se, 6) AS std_err, round(greatest(0.0, auc - {Z95} * se), 6) AS lower,
+  round(least(1.0, auc + {Z95} * se), 6) AS upper, n_pos, n_neg FROM s""")
+def auc_delong(t):
+    return rounded(roc.auc_delong(scored(t), "n_chars", "quality"), "auc", "std_err", "lower", "upper")
+
+
+@query(f"""WITH {SCORED}, facts AS (
+  SELECT stddev_samp(n_chars) AS sd, quantile_cont(n_chars, 0.75) - quantile_cont(n_chars, 0.25) AS iqr, count(*) AS n,
+    min(n_chars)::DOUBLE AS low, max(n_chars)::DOUBLE AS high FROM scored),
+width AS (SELECT *, 0.9 * (CASE WHEN least(sd, iqr / 1.34) > 0 THEN least(sd, iqr / 1.34) WHEN sd > 0 THEN sd ELSE 1.0 END) * n ** -0.2 AS h FROM facts),
+grid AS (SELECT h, low - 3.0 * h AS start, (high - low + 6.0 * h) / 511 AS step FROM width),
+dealt AS (SELECT quality, (n_chars - start) / step AS u FROM scored CROSS JOIN grid),
+bins AS (SELECT bin, sum(CASE WHEN quality = 1 THEN w ELSE 0 END) AS pos, sum(CASE WHEN quality <> 1 THEN w ELSE 0 END) AS neg
+  FROM (SELECT quality, floor(u) AS bin, 1.0 - (u - floor(u)) AS w FROM dealt UNION ALL
+        SELECT quality, floor(u) + 1, u - floor(u) FROM dealt) GROUP BY bin),
+density AS (SELECT p, max(start) AS start, max(step) AS step, sum(pos * exp(-0.5 * ((p - bin) * step / h) ** 2)) AS pos,
+  sum(neg * exp(-0.5 * ((p - bin) * step / h) ** 2)) AS neg FROM bins CROSS JOIN grid CROSS JOIN range(512) r(p) GROUP BY p),
+rates AS (SELECT p, start + p * step AS cutoff, sum(pos) OVER w / sum(pos) OVER () AS tpr, sum(neg) OVER w / sum(neg) OVER () AS fpr
+  FROM density WINDOW w AS (ORDER BY p DESC)),
+strips AS (SELECT *, (fpr - coalesce(lead(fpr) OVER w, 0)) * (tpr + coalesce(lead(tpr) OVER w, 0)) / 2 AS strip FROM rates WINDOW w AS (ORDER BY p))
+SELECT round(cutoff, 4) AS cutoff, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr, round(sum(strip) OVER (), 6) AS auc FROM strips""")
+def roc_smooth(t):
+    curve = rounded(roc.roc_smooth(scored(t), "n_chars", "quality"), "fpr", "tpr", "auc")
+    return curve.withColumn("cutoff", F.round("cutoff", 4))
+
+
 MODEL = f"""{SCORED}, moments AS (
   SELECT count(*) FILTER (quality = 1) AS n_pos, count(*) FILTER (quality <> 1) AS n_neg,
     avg(n_chars) FILTER (quality = 1) AS m1, avg(n_chars) FILTER (quality <> 1) AS m0,
