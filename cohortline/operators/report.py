@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortline.operators.aggregates import count_by, having, ratio, unique_count
+from cohortline.operators.aggregates import count_by, describe_by, having, n_unique, ratio, unique_count
+from cohortline.operators.charts import ranked_bars
 from cohortline.operators.joins import annotate, flag_gene_lists, flag_membership
 from cohortline.operators.keys import as_list
 from cohortline.operators.keyed import first_per_key, with_group_id, with_group_max
@@ -42,6 +43,80 @@ def cohort_funnel(
     )
 
 
+def stage_funnel(
+    df: DataFrame, stages: Sequence[tuple[str, Column]], measures: Mapping[str, str | Sequence[str] | None]
+) -> DataFrame:
+    """The funnel of stages that are conditions on the rows of one table, as :func:`cohort_funnel` gives it, from one scan.
+
+    A row's stages are the bits of one number. Rows are reduced to the combinations of measured values, then to the values of
+    each measure, their numbers joined by or; how many values have a stage's bit is the count. A null condition doesn't hold.
+    """
+    if len(stages) > 62:
+        raise ValueError("more than 62 stages")
+    bits = reduce(
+        lambda a, b: a.bitwiseOR(b),
+        [F.when(F.coalesce(c, F.lit(False)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, (_, c) in enumerate(stages)],
+    )
+    keys = {name: as_list(cols) for name, cols in measures.items() if cols is not None}
+    wanted = list(dict.fromkeys(c for cols in keys.values() for c in cols))
+
+    def has(i: int, value: str = "__stages") -> Column:
+        return F.col(value).bitwiseAND(F.lit(1 << i).cast("long")) != 0
+
+    combined = df.select(*wanted, bits.alias("__stages")).groupBy(*wanted).agg(
+        F.bit_or("__stages").alias("__stages"), *[F.count_if(has(i)).alias(f"__rows{i}") for i in range(len(stages))]
+    )
+    # every measure references all of it, so that they keep one exchange, which Spark reuses
+    untouched = reduce(lambda a, b: a & b, [F.max(f"__rows{i}").isNotNull() for i in range(len(stages))])
+
+    def counted(name: str, cols: list[str] | None) -> DataFrame:
+        if cols is None:
+            sums = F.array(*[F.coalesce(F.sum(f"__rows{i}"), F.lit(0)) for i in range(len(stages))])
+            found = combined.agg(F.when(F.coalesce(F.bit_or("__stages"), F.lit(0)) >= 0, sums).alias("n"))
+        else:
+            values = combined.groupBy(*cols).agg(F.bit_or("__stages").alias("__stages"), untouched.alias("__whole")).filter("__whole")
+            found = values.agg(F.array(*[F.count_if(has(i)) for i in range(len(stages))]).alias("n"))
+        return found.select(F.lit(name).alias("measure"), "n")
+
+    counts = reduce(DataFrame.unionAll, [counted(name, keys.get(name)) for name in measures])
+    wide = counts.agg(*[F.max(F.when(F.col("measure") == name, F.col("n"))).alias(f"__{name}") for name in measures])
+    named = F.array(*[F.struct(F.lit(i).alias("stage_no"), F.lit(name).alias("stage")) for i, (name, _) in enumerate(stages)])
+    return wide.select("*", F.inline(named)).select(
+        "stage_no", "stage", *[F.get(f"__{name}", "stage_no").alias(name) for name in measures],
+        *[ratio(F.get(f"__{name}", "stage_no"), F.get(f"__{name}", F.lit(0))).alias(f"{name}_share") for name in measures],
+    )
+
+
+def unique_by_grade(df: DataFrame, item: str | Sequence[str] = "c_nomen", grade: str = "grade") -> DataFrame:
+    """Distinct items per grade, and their share of the distinct items of all grades. An item of several grades counts in
+    each; a missing grade is one."""
+    total = n_unique(df, item).scalar()
+    counts = df.groupBy(grade).agg(unique_count(item).alias("count"))
+    return counts.withColumns({"all_items": total, "share": ratio(F.col("count"), total)})
+
+
+def gene_class_study(
+    candidates: DataFrame, universe: DataFrame, lists: DataFrame, subject: str = "cgl", variant: str = "c_nomen", floor: int = 3,
+    germline: str = "germline_blood", chip_lists: Sequence[str] = ("ch_ip_nejm", "ch_ip_nat_med"),
+) -> dict[str, DataFrame]:
+    """The candidates' genes by the lists they are on: their distinct variants per subject counted, what the lists account for
+    beside what their size lets expect, and the bars by class, inheritance and chip list."""
+    distinct = candidates.select(subject, variant, "gene").groupBy(subject, variant).agg(F.min("gene").alias("gene"))
+    classified = durable(classify_genes(count_by(distinct, "gene"), lists, either=chip_lists))
+    # inheritance may name a gene several times; the summaries count it once
+    single = classified.drop("inheritance_blood").distinct()
+    inherited = F.col("inheritance_blood").isNotNull()
+    return {
+        "genes": classified.orderBy(F.desc("count"), "gene", "inheritance_blood"),
+        "described": describe_by(single, ["count"], "known"),
+        "germline": class_summary(single, F.col("known").startswith("Germline"), lists, [germline], universe),
+        "chip": class_summary(single, F.col("chip"), lists, list(chip_lists), universe),
+        "bars_by_class": ranked_bars(single, "gene", "known", floor),
+        "bars_by_inheritance": ranked_bars(classified, "gene", "inheritance_blood", 0, inherited),
+        "bars_by_chip": ranked_bars(single, "gene", "chip", floor),
+    }
+
+
 def _total_order(first: str | Sequence[str], df: DataFrame) -> list[str]:
     """The given columns, then all others, so that which row comes first doesn't depend on the order of files."""
     first = as_list(first)

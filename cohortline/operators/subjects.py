@@ -79,12 +79,14 @@ def exposure_groups(
     inheritance: str = "inheritance_blood",
     significance: str | None = "significance",
     in_scope: DataFrame | None = None,
+    calls: DataFrame | None = None,
 ) -> DataFrame:
     """Exposure of each subject, from one aggregation of its candidate variants.
 
     ``in_germline`` any candidate; ``exposed`` a grade 1 or 2; ``dominant`` an AD variant (AD/AR
     counts); ``exposure`` Grade_12 or Grade_345; ``exposure_ad`` splits off Grade_12_AD;
-    ``in_pathogenic`` a (likely) pathogenic one; ``in_blood`` membership in ``in_scope``.
+    ``in_pathogenic`` a (likely) pathogenic one; ``in_blood`` membership in ``in_scope``; ``carries_pathogenic`` a variant
+    among all ``calls``, candidate or not, whose significance says Pathogenic.
     """
     flags = {
         "in_germline": F.lit(True),
@@ -101,6 +103,9 @@ def exposure_groups(
     if in_scope is not None:
         scope = in_scope.select(key).distinct().withColumn("in_blood", F.lit(True))
         grouped = annotate(grouped, scope, key, ["in_blood"], fill={"in_blood": False})
+    if calls is not None and significance is not None:
+        carried = calls.filter(F.col(significance).contains("Pathogenic")).select(key).distinct()
+        grouped = annotate(grouped, carried.withColumn("carries_pathogenic", F.lit(True)), key, ["carries_pathogenic"], fill={"carries_pathogenic": False})
     exposure = F.when(F.col("exposed"), "Grade_12").otherwise("Grade_345")
     split = F.when(F.col("exposed") & F.col("dominant"), "Grade_12_AD").otherwise(exposure)
     return grouped.withColumns({"exposure": exposure, "exposure_ad": split})

@@ -315,6 +315,24 @@ def test_funnel_shares(frame):
     assert all(0 <= got["one"][f"{m}_share"] <= 1 for m in ("patients", "variants", "rows"))
 
 
+def test_pathogenic_calls_of_any_kind(frame):
+    people = frame([(1,), (2,), (3,)], "mrn int")
+    candidates = frame([(1, 1, "AD", "Benign")], "mrn int, grade int, inheritance_blood string, significance string")
+    calls = frame([(1, "Benign"), (2, "Pathogenic"), (2, None), (3, "Likely pathogenic"), (None, "Pathogenic")], "mrn int, significance string")
+    got = {r.mrn: (r.in_pathogenic, r.carries_pathogenic) for r in subjects.exposure_groups(people, candidates, calls=calls).collect()}
+    assert got == {1: (False, False), 2: (False, True), 3: (False, False)}
+
+
+def test_stage_funnel_equals_that_of_frames(frame):
+    df = frame([(i % 7, None if i % 5 == 0 else f"v{i % 11}", i) for i in range(60)], "m int, v string, x int")
+    conditions = [("all", F.lit(True)), ("half", F.col("x") > 30), ("known", (F.col("x") > 30) & (F.col("v") != "v3")), ("none", F.col("x") < 0)]
+    measures = {"patients": "m", "pairs": ["m", "v"], "variants": "v", "rows": None}
+    want = report.cohort_funnel([(name, df.filter(c)) for name, c in conditions], measures)
+    got = report.stage_funnel(df, conditions, measures)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+    assert [tuple(r)[2:6] for r in report.stage_funnel(df.limit(0), conditions, measures).collect()] == [(0, 0, 0, 0)] * 4
+
+
 def test_gene_classes(frame):
     lists = frame(
         [("x", "AD", "x", None), ("y", "AR", None, "y"), (None, None, "z", "w")],

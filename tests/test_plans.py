@@ -2,6 +2,7 @@
 
 import pytest
 
+from cohortline.operators import report
 from cohortline.plans import broad, outcome, panel
 from cohortline.sources import schemas
 from cohortline.sources.delimited import read_delimited
@@ -129,6 +130,15 @@ def test_outcome_study(spark, tmp_path, broad_parts, genes):
     assert [(r.in_gene, r.exposure, r.time) for r in result["curve_by_gene"].collect()] == [("", "Grade_12", 35)]
     assert [(r.time, r.cumhaz) for r in result["hazard_by_age"].collect()] == [(66 * 12 + 5, 0.0)]
     assert result["survival_at_age"].count() == 0  # nobody followed to 75 years
+    assert {(r.horizon, r.n_risk) for r in result["risk_table_by_age"].collect()} >= {(60 * 12, 1), (70 * 12, 0)}
+    assert [(r.in_gene, r.horizon, r.survival) for r in result["survival_at_by_gene"].collect()] == [("", 18, 1.0)]
+    assert result["logrank_by_age"].first().events == 0 and result["logrank_by_gene"].count() == 0
+    assert {(r.grade, r["count"], r.all_items) for r in result["variants_by_grade"].collect()} == {(1, 1, 2), (5, 1, 2)}
+    assert not people[11].carries_pathogenic  # its significance is reduced to Likely pathogenic
+    classes = report.gene_class_study(study["candidates"], study["enriched"], genes)
+    assert [(r.gene, r["count"]) for r in classes["genes"].collect()] == [("G1", 1)]
+    assert classes["germline"].first().all_genes == 1 and classes["chip"].first().all_variants == 1
+    assert classes["described"].first().n == 1 and classes["bars_by_class"].count() == 0
     assert outcome.unshared_subjects(result["subjects"], study["candidates"]).count() == 0
     dominant, other = outcome.inheritance_reports(study["candidates"], result["subjects"])
     assert [(r.id, r.gene, r.c_nomen, r.grade) for r in dominant.collect()] == [(1, "G1", "c.1", 1)]
@@ -140,6 +150,8 @@ def test_outcome_study(spark, tmp_path, broad_parts, genes):
     assert {r.mrn: r.path_review for r in review["subjects"].collect()} == {11: "P", 22: ""}
     assert [(r.path_level, r["count"], r.freq) for r in review["levels"].collect()] == [("P", 1, 1)]
     assert [(r.path_review, r.time) for r in review["curve"].collect()] == [("P", 35)]
+    assert {(r.path_review, r.horizon, r.n_risk) for r in review["risk_table"].collect()} >= {("P", 24, 1), ("P", 36, 0)}
+    assert review["logrank"].count() == 0
 
 
 def test_hazard_ratios_use_the_unexposed_as_reference(frame):
@@ -196,6 +208,10 @@ def test_validation_study(spark, tmp_path, frame):
     assert 0.5 < auc.auc < 1 and auc.lower < auc.auc < auc.upper and (auc.n_pos, auc.n_neg) == (3, 5)
     kinds = {(r.mrn, r.kind) for r in study["confusion"].collect()}
     assert kinds == {(2, "false_negative"), (3, "false_positive")}
+    assert [(r.gene, r.path_level, r["count"], r.freq) for r in study["levels_by_gene"].collect()] == [("G", "P", 8, 8)]
+    assert study["auc_empirical"].first().auc > 0.5 and study["smooth_curve"].count() == 512
+    table = outcome.manuscript_table(study["frame"]).collect()
+    assert [r.id for r in table] == list(range(1, 9)) and table[0].asDict().keys() == dict.fromkeys(outcome.MANUSCRIPT_COLUMNS).keys()
     assert sum(r["count"] for r in study["shares"].collect()) == 8 and study["band"].count() == 99
     assert study["ks"].first().ks > 0 and study["metrics"].count() == 5 and study["curve"].count() == 99
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortline.operators import aggregates, grading, joins, keyed, ordered, recurrence, survival
+from cohortline.operators import aggregates, grading, joins, keyed, ordered, recurrence, report, survival
 from cohortline.operators.keys import attach
 
 
@@ -123,6 +123,13 @@ def test_scans_of_a_curve_deal_rows_once(spark, hot):
     assert scans(plan) == 1 and len(set(re.findall(r"ShuffleQueryStage \d+\n[^\n]*- Exchange hashpartitioning\(__place[^\n]*REPARTITION_BY_COL, \[plan_id=(\d+)", plan))) == 1
 
 
+def test_funnel_scans_once(spark, hot):
+    funnel = report.stage_funnel(hot, [("all", F.lit(True)), ("some", F.col("x") > 0.5)], {"keys": "k", "pairs": ["k", "v"], "rows": None})
+    funnel.collect()
+    plan = funnel._jdf.queryExecution().executedPlan().toString()
+    assert scans(plan) == 1 and "Expand" not in plan
+
+
 def test_filters_and_columns_reach_the_files(spark, hot):
     plan = final_plan(aggregates.count_by(hot.filter(F.col("x") > 0.5), "v"))
     assert re.search(r"PushedFilters: \[[^]]*GreaterThan\(x,0.5\)", plan)

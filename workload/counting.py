@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from cohortline.operators import aggregates as agg
-from cohortline.operators.report import cohort_funnel as funnel
-from workload.base import OBSERVATIONS, observations, query, rounded
+from cohortline.operators import report
+from cohortline.operators.grading import with_grade
+from cohortline.operators.report import stage_funnel
+from workload.base import OBSERVATIONS, observations, profile_sql, query, rounded
 
 
 @query("""SELECT o_custkey, o_orderstatus, count(*) AS count FROM orders GROUP BY 1, 2 HAVING count(*) >= 4""")
@@ -139,9 +141,17 @@ SELECT *, round(patients / first(patients) OVER w, 6) AS patients_share,
 FROM stages WINDOW w AS (ORDER BY stage_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def cohort_funnel(t):
     rows = observations(t)
-    high = rows.filter(F.col("af") >= 0.6)
+    high = F.col("af") >= 0.6
     measures = {
         "patients": "mrn", "assays": ["mrn", "test_date"], "calls": None, "variants": "variant"
     }
-    stages = [("all", rows), ("high", high), ("high and F", high.filter(F.col("gene") == "F"))]
-    return rounded(funnel(stages, measures), *[f"{m}_share" for m in measures])
+    stages = [("all", F.lit(True)), ("high", high), ("high and F", high & (F.col("gene") == "F"))]
+    return rounded(stage_funnel(rows, stages, measures), *[f"{m}_share" for m in measures])
+
+
+@query(f"""WITH {OBSERVATIONS}, {profile_sql()}, rows AS (SELECT o.call_id, p.grade FROM obs o JOIN profile p ON o.mrn = p.mrn AND o.variant = p.variant)
+SELECT grade, count(DISTINCT call_id % 97) AS count, (SELECT count(DISTINCT call_id % 97) FROM rows) AS all_items,
+  round(count(DISTINCT call_id % 97) / (SELECT count(DISTINCT call_id % 97) FROM rows), 6) AS share FROM rows GROUP BY grade""")
+def unique_by_grade(t):
+    rows = with_grade(observations(t), "mrn", ["variant"], "af").withColumn("item", F.col("call_id") % 97)
+    return rounded(report.unique_by_grade(rows, "item"), "share")
