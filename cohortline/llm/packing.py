@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import sys
 import zlib
@@ -44,15 +45,19 @@ class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     ``ranks`` is a rank file's content: the vocabulary of the tokenizer's definition, whose ids are its merge ranks. The ids
-    of the first words met are kept, which are the frequent ones; others are merged each time.
+    of the first words met are kept, which are the frequent ones; others are merged each time. ``added`` has the strings that
+    the tokenizer takes for one token wherever they stand in a text, with their ids: the text is cut there first.
     """
 
-    def __init__(self, ranks: bytes, pattern: str):
+    def __init__(self, ranks: bytes, pattern: str, added: dict[str, int]):
         import tiktoken
 
         table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
         self.encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
+        self.added = {token: np.array([number], "<u4").tobytes() for token, number in added.items() if token}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.apart = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
 
     def _learn(self, word: str) -> bytes:
         ids = array("I", self.encode(word))
@@ -63,17 +68,27 @@ class Encoder:
             self.known[word] = out
         return out
 
-    def __call__(self, text: str) -> bytes:
+    def _plain(self, text: str) -> bytes:
         get, learn = self.known.get, self._learn
         return b"".join([get(u) or learn(u) for u in _units(text)])
 
+    def __call__(self, text: str) -> bytes:
+        if self.apart is None or not any(token in text for token in self.added):
+            return self._plain(text)
+        return b"".join([self.added.get(part) or self._plain(part) for part in self.apart.split(text) if part])
+
+
+def added_tokens(definition: str) -> dict[str, int]:
+    """The added tokens of a tokenizer's definition, the content of its JSON file."""
+    return {t["content"]: int(t["id"]) for t in json.loads(definition).get("added_tokens", [])}
+
 
-def encoder(ranks: bytes, pattern: str) -> Encoder:
+def encoder(ranks: bytes, pattern: str, added: dict[str, int]) -> Encoder:
     """One per Python worker and vocabulary."""
-    key = (hash(ranks), pattern)
+    key = (hash(ranks), pattern, *sorted(added.items()))
     if key not in _tokenizers:
         _tokenizers.clear()
-        _tokenizers[key] = Encoder(ranks, pattern)
+        _tokenizers[key] = Encoder(ranks, pattern, added)
     return _tokenizers[key]
 
 
@@ -125,11 +140,11 @@ def first_fit_decreasing(lengths: list[int], size: int = SEQUENCE) -> list[tuple
 
 
 def pieces(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text: str = "text", end_id: int = 0,
-           size: int = SEQUENCE) -> DataFrame:
+           size: int = SEQUENCE, added: dict[str, int] | None = None) -> DataFrame:
     """The pieces of every row, and ``_salt``, random but the same for all pieces of a row."""
     session = docs.sparkSession
     ship(session)
-    shared = session.sparkContext.broadcast((ranks, pattern))
+    shared = session.sparkContext.broadcast((ranks, pattern, added or {}))
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,14 +166,14 @@ def pieces(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
 
 
 def pack(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text: str = "text", end_id: int = 0,
-         size: int = SEQUENCE, group_pieces: int = GROUP_PIECES) -> DataFrame:
+         size: int = SEQUENCE, group_pieces: int = GROUP_PIECES, added: dict[str, int] | None = None) -> DataFrame:
     """Every piece of every row with its place: ``sequence_id`` and ``offset``.
 
-    Null and empty texts consist of the end id alone. Rows are told apart by position, so repeated rows and null ids are
+    Null and empty texts consist of the end id alone. Strings of ``added`` in a text become their own id. Rows are told apart by position, so repeated rows and null ids are
     packed like others. Pieces are written once; each group is then packed by a task of its own, so that a lost executor
     repeats its groups only. Sequence ids have the group in the upper and a running number in the lower 32 bits.
     """
-    cut = durable(pieces(docs, ranks, pattern, id_col, text, end_id, size))
+    cut = durable(pieces(docs, ranks, pattern, id_col, text, end_id, size, added))
     groups = -(-cut.count() // group_pieces) or 1
 
     def place(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:

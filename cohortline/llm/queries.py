@@ -14,7 +14,7 @@ from cohortline.llm.filter_audit import text_filter_audit
 from cohortline.llm.line_dedup import MAX_RATIO, MIN_PAGES, line_dedup
 from cohortline.llm.line_quality import MAX_SHARE, MIN_DOCS, MIN_LEFT, line_quality
 from cohortline.llm.nbsvm import quality_scores
-from cohortline.llm.packing import pack
+from cohortline.llm.packing import added_tokens, pack
 from cohortline.llm.pii import KINDS, find_pii
 from cohortline.llm.secrets import scan_secrets
 from cohortline.llm.simhash import simhash_groups
@@ -113,8 +113,14 @@ def packing_ranks() -> bytes:
     return Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes()
 
 
+def pack_documents(docs):
+    """All documents, as the tokenizer of byte_bpe_50k.json encodes them."""
+    added = added_tokens(Path(public_tokenizers.path("byte_bpe_50k.json")).read_text())
+    return pack(docs, packing_ranks(), public_tokenizers.PATTERN, added=added)
+
+
 def op6_packing(spark, folder):
-    return pack(table(spark, folder, "documents"), packing_ranks(), public_tokenizers.PATTERN)
+    return pack_documents(table(spark, folder, "documents"))
 
 
 def op7_secrets(spark, folder):

@@ -28,10 +28,18 @@ _SLACK = 1e-9
 
 
 def quantized(embedding: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of every component as longs; null if the vector is null or has a null or non-finite component."""
+    """floor(scale * x) of every component as longs; null if the vector is null or has a null or non-finite component.
+
+    A component that no long holds after scaling fails the query.
+    """
     whole = F.transform(embedding, lambda x: x.cast("double"))
     bad = F.exists(whole, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(embedding.isNotNull() & ~bad, F.transform(whole, lambda x: F.floor(F.lit(float(scale)) * x).cast("long")))
+
+    def scaled(x: Column) -> Column:
+        y = F.lit(float(scale)) * x
+        return F.when(F.abs(y) < 2.0 ** 63, F.floor(y).cast("long")).otherwise(F.raise_error(F.lit("a component is too large")).cast("long"))
+
+    return F.when(embedding.isNotNull() & ~bad, F.transform(whole, scaled))
 
 
 def _matrix(vectors, width: int) -> np.ndarray:
@@ -45,13 +53,21 @@ def _matrix(vectors, width: int) -> np.ndarray:
 
 
 def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact inner products: in double precision where no partial sum can pass 2^53, in integers else."""
+    """Exact inner products: in double precision where no partial sum can pass 2^53, in integers else.
+
+    Sums that could pass 2^63 are formed of Python's integers; a product that no long holds fails.
+    """
     if not queries.size or not vectors.size:
         return np.zeros((len(queries), len(vectors)), np.int64)
     bound = float(np.abs(queries).max()) * float(np.abs(vectors).max()) * queries.shape[1]
     if bound < 2 ** 53:
         return np.rint(queries.astype(np.float64) @ vectors.T.astype(np.float64)).astype(np.int64)
-    return queries @ vectors.T
+    if bound < 2 ** 62:
+        return queries @ vectors.T
+    wide = queries.astype(object) @ vectors.astype(object).T
+    if np.abs(wide).max() >= 2 ** 63:
+        raise OverflowError("an inner product does not fit a long")
+    return wide.astype(np.int64)
 
 
 def _squares(m: np.ndarray) -> np.ndarray:
@@ -101,10 +117,10 @@ def _spread(sample: np.ndarray, count: int) -> np.ndarray:
 
 
 def build_index(vectors: DataFrame, pivots: int = PIVOTS, rings: int = RINGS, sample: int = SAMPLE) -> tuple[DataFrame, Geometry]:
-    """All ``_id``, ``_v`` with pivot ``_p``, ring ``_r``, distance ``_d`` and block ``_b``, and the geometry."""
+    """All ``_row``, ``_id``, ``_v`` with pivot ``_p``, ring ``_r``, distance ``_d`` and block ``_b``, and the geometry."""
     squared = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     most, width = vectors.agg(F.max(squared), F.max(F.size("_v"))).first()
-    few = vectors.orderBy(F.xxhash64("_id"), "_id").limit(sample).toPandas()
+    few = vectors.orderBy(F.xxhash64("_row"), "_row").limit(sample).toPandas()
     m = _matrix(list(few["_v"]), width)
     lifted = np.concatenate([m.astype(np.float64), np.sqrt(np.maximum(most - _squares(m), 0))[:, None]], axis=1)
     points = _spread(lifted, pivots)
@@ -125,7 +141,7 @@ def build_index(vectors: DataFrame, pivots: int = PIVOTS, rings: int = RINGS, sa
             frame["_r"] = (near[:, None] > g.edges[p]).sum(1)
             yield frame
 
-    index = durable(vectors.mapInPandas(keyed, "_id long, _v array<long>, _p int, _d double, _r int"))
+    index = durable(vectors.mapInPandas(keyed, "_row long, _id long, _v array<long>, _p int, _d double, _r int"))
     geometry.annuli = (index.groupBy("_p", "_r").agg(F.count(F.lit(1)).alias("n"), F.min("_d").alias("lo"), F.max("_d").alias("hi"))
                        .orderBy("_p", "_r").toPandas())
     return index, geometry
@@ -178,7 +194,7 @@ def _scored(visits: DataFrame, index: DataFrame, geometry: Geometry, k: int, blo
             .withColumn("_qb", F.pmod(F.xxhash64("_q"), "_queues").cast("int"))
             .withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))))
     right = (index.join(plan, ["_p", "_r"])
-             .withColumn("_b", F.pmod(F.xxhash64("_id", F.lit("block")), "_blocks").cast("int"))
+             .withColumn("_b", F.pmod(F.xxhash64("_row", F.lit("block")), "_blocks").cast("int"))
              .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_queues") - 1))))
     keys = ["_p", "_r", "_b", "_qb"]
     width = geometry.width
@@ -188,13 +204,13 @@ def _scored(visits: DataFrame, index: DataFrame, geometry: Geometry, k: int, blo
             return pd.DataFrame({"_q": [], "_id": [], "_score": []}).astype("int64")
         s = products(_matrix(list(q["_qv"]), width), _matrix(list(v["_v"]), width))
         ids = v["_id"].to_numpy()
-        own = q["_q"].to_numpy()[:, None] == ids[None, :]
+        own = q["_q"].to_numpy()[:, None] == v["_row"].to_numpy()[None, :]
         out = []
         for i, name in enumerate(q["_q"].to_numpy()):
             row, free = s[i], ~own[i]
             floor = q["_floor"].iloc[i]
             if not np.isnan(floor):
-                free &= row >= floor
+                free &= row >= floor - 1e-12 * abs(floor)  # a double rounds large scores
             at = np.flatnonzero(free)
             if len(at) > k:
                 least = np.partition(row[at], len(at) - k)[len(at) - k]
@@ -203,7 +219,7 @@ def _scored(visits: DataFrame, index: DataFrame, geometry: Geometry, k: int, blo
             out.append(pd.DataFrame({"_q": name, "_id": ids[at], "_score": row[at]}))
         return pd.concat(out)
 
-    return left.select(*keys, "_q", "_qv", "_floor").groupBy(*keys).cogroup(right.select(*keys, "_id", "_v").groupBy(*keys)).applyInPandas(
+    return left.select(*keys, "_q", "_qv", "_floor").groupBy(*keys).cogroup(right.select(*keys, "_row", "_id", "_v").groupBy(*keys)).applyInPandas(
         score, "_q long, _id long, _score long")
 
 
@@ -217,23 +233,25 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
           pivots: int = PIVOTS, rings: int = RINGS, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the k highest inner products of each query, ties to smaller ids.
 
-    ``is_query`` is a condition on ``id_col``. Queries meet all other rows. Rows without an id, and vectors that are null
-    or hold a null or non-finite component, take no part. Repeated ids count once, with the least of their vectors.
-    Vectors of different length are compared as if the shorter had zeros; empty ones score 0. Components must stay
-    under 2^26 in size after scaling, so that products fit a long. Fewer rows than k give all there are.
+    ``is_query`` is a condition on ``id_col``. Queries meet all rows but their own; rows are told apart by position, so that
+    rows of one id are queries and candidates each for itself, with an id and score of their own in the result. Rows without
+    an id, and vectors that are null or hold a null or non-finite component, take no part. Vectors of different length are
+    compared as if the shorter had zeros; empty ones score 0. A component or score that no long holds fails the query rather
+    than wrap. Fewer rows than k give all there are.
 
     Two rounds: the annuli nearest to a query give a floor for its k-th score; then all annuli that could reach it are
     searched. No other one can hold a result.
     """
     spark = rows.sparkSession
     ship(spark)
-    given = rows.select(rows[id_col].cast("long").alias("_id"), quantized(rows[vector], scale).alias("_v"))
-    vectors = durable(given.filter("_id IS NOT NULL AND _v IS NOT NULL").groupBy("_id").agg(F.min("_v").alias("_v")))
+    given = rows.select(F.monotonically_increasing_id().alias("_row"), rows[id_col].cast("long").alias("_id"), quantized(rows[vector], scale).alias("_v"))
+    vectors = durable(given.filter("_id IS NOT NULL AND _v IS NOT NULL"))
     result = "query_id long, rank int, vec_id long, score long"
     if vectors.isEmpty():
         return spark.createDataFrame([], result)
     index, geometry = build_index(vectors, pivots, rings)
-    queries = vectors.withColumnRenamed("_id", id_col).filter(is_query).withColumnRenamed(id_col, "_q")
+    asking = vectors.withColumnRenamed("_id", id_col).filter(is_query).withColumnRenamed(id_col, "_id")
+    queries = asking.select(F.col("_row").alias("_q"), "_v")
     asked = queries.withColumn("_floor", F.lit(None).cast("double"))
     seeds = durable(_top(_scored(_visits(asked, geometry, k, True), index, geometry, k, block, query_block), k))
     floor = F.when(F.size("_best") == k, -F.element_at("_best", -1)["s"]).cast("double")
@@ -241,4 +259,5 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     more = _scored(_visits(floored, geometry, k, False), index, geometry, k, block, query_block)
     before = seeds.select("_q", F.explode("_best").alias("x")).select("_q", F.col("x.i").alias("_id"), (-F.col("x.s")).alias("_score"))
     best = _top(before.unionByName(more), k).select("_q", F.posexplode("_best").alias("_at", "x"))
-    return best.select(F.col("_q").alias("query_id"), (F.col("_at") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    named = best.join(asking.select(F.col("_row").alias("_q"), F.col("_id").alias("_name")), "_q")
+    return named.select(F.col("_name").alias("query_id"), (F.col("_at") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))

@@ -1,20 +1,25 @@
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from cohortline.llm.packing import cuts, first_fit_decreasing, pack
+from cohortline.llm.packing import added_tokens, cuts, first_fit_decreasing, pack
 from cohortline.llm.queries import packing_ranks
 from tests.llm.fixtures import documents, none
 
 
 def test_every_id_once_and_places(spark):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     docs, rows = documents(spark)
-    got = pack(docs, packing_ranks(), public_tokenizers.PATTERN, group_pieces=40).collect()
+    special = ["<|endoftext|>", "a<|endoftext|><|endoftext|> b <|endoftext|", "x <|endoftext|>\n\n  y", "<|endoftext|>" * 1500]
+    rows += [(30_000 + i, t, None) for i, t in enumerate(special)]
+    docs = docs.unionByName(spark.createDataFrame(rows[-len(special):], "doc_id long, text string, source string"), allowMissingColumns=True)
+    added = added_tokens(Path(public_tokenizers.path("byte_bpe_50k.json")).read_text())
+    assert added == {"<|endoftext|>": 50256}
+    got = pack(docs, packing_ranks(), public_tokenizers.PATTERN, group_pieces=40, added=added).collect()
     have, want = defaultdict(int), defaultdict(int)
     for r in got:
         have[r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens] += 1
