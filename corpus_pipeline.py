@@ -6,15 +6,13 @@ are written as Parquet and read again, so that each stage recovers by itself.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortline.llm.common import durable, table
 from cohortline.llm.line_dedup import line_dedup
 from cohortline.llm.nbsvm import quality_scores
-from cohortline.llm.packing import pack
-from cohortline.llm.queries import packing_ranks
+from cohortline.llm.queries import pack_documents
 from cohortline.llm.secrets import scan_secrets
 from cohortline.llm.simhash import one_per_group
 
@@ -49,7 +47,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences."""
-    return pack(docs, packing_ranks(), public_tokenizers.PATTERN)
+    return pack_documents(docs)
 
 
 STAGES = [
