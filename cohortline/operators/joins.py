@@ -32,12 +32,16 @@ def annotate(
     rename: Mapping[str, str] | None = None,
     dedupe_by: Sequence[Column | str] | None = None,
     null_safe: bool = False,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Left outer join of chosen reference columns.
 
     ``on`` maps left to right key names (or names shared keys). Rows of ``df`` without a match stay,
     ``fill`` labels what they miss. Repeated reference keys fan out unless ``dedupe_by`` gives the
     total order whose first row wins. Null keys match nothing unless ``null_safe``.
+
+    AQE splits a key that is hot in ``df``, but not one that is hot in ``ref``, as rows without a match have to stay. With
+    ``hot_rows``, reference keys of more rows are dealt to several tasks of about so many each.
     """
     pairs = dict(on) if isinstance(on, Mapping) else {k: k for k in as_list(on)}
     rename = dict(rename or {})
@@ -49,15 +53,45 @@ def annotate(
     )
     if not null_safe:
         right = right.dropna(subset=[f"__{r}" for r in pairs.values()])
-    conditions = [df[left].eqNullSafe(right[f"__{r}"]) for left, r in pairs.items()]
-    joined = df.join(right, reduce(and_, conditions), "left").drop(
-        *[f"__{r}" for r in pairs.values()]
-    )
+    if hot_rows is None:
+        conditions = [df[left].eqNullSafe(right[f"__{r}"]) for left, r in pairs.items()]
+        joined = df.join(right, reduce(and_, conditions), "left").drop(*[f"__{r}" for r in pairs.values()])
+    else:
+        joined = _salted_left(df, right, {left: f"__{r}" for left, r in pairs.items()}, hot_rows)
     if fill:
         joined = joined.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in fill.items()})
     return joined
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
+    """The keys of more than ``hot_rows`` rows, as ``__hot0``, ``__hot1``, …, and in how many ``__pieces`` of about so many to
+    cut them. There are fewer of them than rows / hot_rows."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot_rows)
+    pieces = F.ceil(F.col("__n") / hot_rows).cast("int").alias("__pieces")
+    return counts.select(*[F.col(k).alias(f"__hot{i}") for i, k in enumerate(keys)], pieces)
+
+
+def _salted_left(df: DataFrame, right: DataFrame, pairs: Mapping[str, str], hot_rows: int) -> DataFrame:
+    """The left outer join on ``pairs``, null-safe, with the right side's hot keys cut into pieces.
+
+    A left row of a hot key meets every piece. Each such row has a match in some piece, as its key is one of the right
+    side's, so that its unmatched copies are no rows of the result.
+    """
+    kept = [c for c in right.columns if c not in pairs.values()]
+    hot = hot_keys(right, list(pairs.values()), hot_rows)
+
+    def hot_pieces(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return rows.join(hot, reduce(and_, [rows[k].eqNullSafe(hot[f"__hot{i}"]) for i, k in enumerate(keys)]), "left")
+
+    pieces = F.coalesce("__pieces", F.lit(1))
+    dealt = hot_pieces(right, list(pairs.values())).select(
+        *right.columns, F.pmod(F.xxhash64(F.monotonically_increasing_id()), pieces).cast("int").alias("__piece_of"), F.lit(True).alias("__met"))
+    spread = hot_pieces(df, list(pairs)).select(*df.columns, "__pieces", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("__piece"))
+    same = [spread[left].eqNullSafe(dealt[r]) for left, r in pairs.items()] + [spread["__piece"].eqNullSafe(dealt["__piece_of"])]
+    met = spread.join(dealt, reduce(and_, same), "left").filter(F.col("__pieces").isNull() | F.col("__met").isNotNull())
+    return met.select(*df.columns, *kept)
+
+
 def _matching(
     df: DataFrame, keys_df: DataFrame, on: str | Sequence[str], null_safe: bool, how: str
 ) -> DataFrame:

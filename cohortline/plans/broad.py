@@ -24,6 +24,8 @@ NOT_DESIGNATED = "Not Designated"
 NON_CODING = "non-coding"
 SYNONYMOUS = "synonymous"
 BLOOD_SITES = ("Blood/Bone Marrow", "Lymph")
+#: Clinical rows of one sample that a task joins; more are dealt to several tasks.
+HOT_ORDERS = 100_000
 CLINICAL_COLUMNS = (
     "mrn", "dob", "order_date", "sequence_date", "age", "sex", "onco_tree_specimen_site",
     "onco_tree_primary_tumor_site", "onco_tree_diagnosis", "percent_tumor",
@@ -85,8 +87,11 @@ def clean_clinical(extracts: Sequence[DataFrame], reference_year: int = 2018) ->
 
 def enrich_broad(calls: DataFrame, clinical: DataFrame, genes: DataFrame) -> DataFrame:
     """Calls with clinical data, labelled gaps, reduced significance, blood flag and inheritance;
-    synonymous variants and those of unknown effect are left out."""
-    rows = annotate(calls, clinical, "sample", list(CLINICAL_COLUMNS))
+    synonymous variants and those of unknown effect are left out.
+
+    Orders without a number share one sample key, which may be hot; so may the orders of one sample.
+    """
+    rows = annotate(calls, clinical, "sample", list(CLINICAL_COLUMNS), hot_rows=HOT_ORDERS)
     rows = rows.withColumns(
         {
             "onco_tree_primary_tumor_site": blank_to("onco_tree_primary_tumor_site", NOT_DESIGNATED),

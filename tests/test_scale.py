@@ -75,6 +75,27 @@ def test_hot_keys_are_split(strict, hot, name):
     assert "SortMergeJoin(skew=true)" in final_plan(df)
 
 
+def test_hot_reference_keys_are_cut(strict, hot):
+    """A third of the reference rows under one key: the same rows as the plain join, and no task has that key whole."""
+    left = strict.range(3000).select(F.when(F.col("id") % 100 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") * 3).alias("k"), "id")
+    ref = hot.select("k", F.col("id").alias("call"))
+    for null_safe in (False, True):
+        want = joins.annotate(left, ref, "k", ["call"], null_safe=null_safe, fill={"call": -1})
+        got = joins.annotate(left, ref, "k", ["call"], null_safe=null_safe, fill={"call": -1}, hot_rows=500)
+        assert got.columns == want.columns
+        assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+    pieces = {r["__hot0"]: r["__pieces"] for r in joins.hot_keys(ref, ["k"], 500).collect()}
+    assert pieces[7] == -(-hot.filter("k = 7").count() // 500) and len(pieces) <= 60000 // 500
+    assert joins.hot_keys(ref, ["k"], 10**9).isEmpty()
+
+
+def test_hot_reference_keys_under_two_names(frame):
+    df = frame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "x int, y string")
+    ref = frame([(1, n) for n in range(40)] + [(3, 0), (None, 5)], "z long, n int")
+    got = sorted(map(tuple, joins.annotate(df, ref, {"x": "z"}, ["n"], hot_rows=10).collect()), key=str)
+    assert got == sorted([(1, y, n) for y in "ab" for n in range(40)] + [(2, "c", None), (None, "d", None)], key=str)
+
+
 def test_first_row_is_limited_before_the_shuffle(spark, hot):
     plan = final_plan(keyed.first_per_key(hot, "k", "id"))
     before_shuffle = plan.split("Exchange hashpartitioning")[-1]
