@@ -33,30 +33,25 @@ def recurrent_panel(
 
     A subject qualifies by two calls in one gene; then by default a row stays if its protein change
     recurs in *some* qualifying subject and its subject has *some* recurring change.
-    ``strict_pairs`` asks for the subject's own change. All of it is decided on one durable aggregate
-    of the calls; the rows are joined once, with the groups that stay and their counts.
+    ``strict_pairs`` asks for the subject's own change. The recurring changes, a small part of the calls, are written once;
+    rows meet them by membership, and what is left its own counts.
     """
-    calls = durable(
-        df.groupBy(patient, subject, gene, protein, name).agg(F.count("*").alias("__n"))
-    )
 
-    def regrouped(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
-        return having(frame.groupBy(*keys).agg(F.sum("__n").alias("count")), at_least)
+    def recurring(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return having(frame.groupBy(*keys).agg(F.count("*").alias("count")), at_least)
 
     def among(frame: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
         return semi_join(frame, keys, on, null_safe=True)  # a missing key recurs like any other
 
-    in_gene = regrouped(calls, [patient, subject, gene])
-    changes = among(regrouped(calls, [patient, subject, protein]), in_gene, [subject])
+    in_gene = recurring(df, [patient, subject, gene])
+    changed = recurring(df, [patient, subject, protein]).select(subject, protein)
+    changes = durable(among(changed, in_gene, [subject]).distinct())
     if strict_pairs:
-        kept = among(calls, changes, [subject, protein])
+        kept = among(df, changes, [subject, protein])
     else:
-        kept = among(among(calls, changes, [protein]), changes, [subject])
+        kept = among(among(df, changes, [protein]), changes, [subject])
     kept = drop_incomplete(kept, [patient])
-    groups = attach(
-        kept.drop("__n", gene).distinct(), regrouped(kept, [patient, name]), [patient, name], "inner"
-    )
-    return attach(df, groups, [patient, subject, protein, name], "inner")
+    return attach(kept, recurring(kept, [patient, name]), [patient, name], "inner")
 
 
 def candidates_panel(
