@@ -88,7 +88,7 @@ def _keys_of(text: Column) -> Column:
 
 
 def frequent_lines(rows: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``_host`` and ``_drop`` from rows of ``_at`` and ``_keys``: hashes of the lines above the limits.
+    """``_host`` and ``_drop`` from documents of ``_at`` and ``_keys``: hashes of the lines above the limits.
 
     A document counts once for each line. Counts are summed map-side. The list of a host is bounded: each of its lines is in
     more than max_share of the documents, so there are at most (mean lines of a document) / max_share.
@@ -106,19 +106,25 @@ def frequent_lines(rows: DataFrame, max_share: float = MAX_SHARE, min_docs: int
     )
 
 
+def _distinct(rows: DataFrame) -> DataFrame:
+    """One row per document: rows of one id, host and lines are the same one; a row without an id is one of its own."""
+    alone = F.when(F.col("_doc").isNull(), F.monotonically_increasing_id())
+    return rows.select("_at", "_doc", alone.alias("_alone"), "_keys").distinct()
+
+
 def line_quality(docs: DataFrame, id_col: str = "doc_id", host: str = "source", text: str = "text",
                  max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """One row per document: its id, the base counts, ``base_failed``, ``left_words`` and ``kept``.
 
-    A null text counts as empty (and fails the base rules); null hosts are one host; repeated rows count as documents of
-    their own. A document is kept if it passes the base rules and, without the lines that are too frequent in its
+    A null text counts as empty (and fails the base rules); null hosts are one host. Rows of one id with the same lines count
+    as one document for the limits, and each gets a row; rows without an id are documents of their own. A document is kept if it passes the base rules and, without the lines that are too frequent in its
     host, still has ``min_left`` of its words; exactly that share is enough. Texts are read once: counts and line
     hashes, much shorter than they, are written to the shared folder for the two steps that follow.
     """
     ship(docs.sparkSession)
     rows = durable(docs.select(docs[id_col].alias("doc_id"), docs[host].alias("_at"), _measured(docs[text]).alias("_q"))
                    .select("doc_id", "_at", "_q.*"))
-    bad = frequent_lines(rows, max_share, min_docs)
+    bad = frequent_lines(_distinct(rows.withColumnRenamed("doc_id", "_doc")), max_share, min_docs)
     found = rows.join(bad, F.col("_at").eqNullSafe(F.col("_host")), "left")
     sizes = F.zip_with("_keys", "_sizes", lambda k, n: F.when(F.array_contains(F.col("_drop"), k), n).otherwise(0))
     gone = F.when(F.col("_drop").isNull(), 0).otherwise(F.aggregate(sizes, F.lit(0), lambda a, x: a + x))
@@ -130,11 +136,15 @@ def line_quality(docs: DataFrame, id_col: str = "doc_id", host: str = "source",
 
 
 def without_frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", max_share: float = MAX_SHARE,
-                           min_docs: int = MIN_DOCS) -> DataFrame:
-    """All columns of every row, ``text`` without the lines that are above the limits in the row's host; null stays null."""
+                           min_docs: int = MIN_DOCS, id_col: str = "doc_id") -> DataFrame:
+    """All columns of every row, ``text`` without the lines that are above the limits in the row's host; null stays null.
+
+    Documents are told apart as by line_quality().
+    """
     ship(docs.sparkSession)
     keys = _keys_of(docs[text])
-    bad = frequent_lines(docs.select(docs[host].alias("_at"), keys.alias("_keys")), max_share, min_docs)
+    documents = docs.select(docs[host].alias("_at"), docs[id_col].alias("_doc"), keys.alias("_keys"))
+    bad = frequent_lines(_distinct(documents), max_share, min_docs)
     packed = pack_row(docs, at=docs[host], text=docs[text], keys=keys)
     joined = packed.join(bad, F.col("_at").eqNullSafe(F.col("_host")), "left")
     kept = F.filter(F.split("_text", "\n", -1),

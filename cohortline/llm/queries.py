@@ -86,7 +86,7 @@ lines AS (
   SELECT doc_id, source, u.line, regexp_extract_all(translate(u.line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\\x20\\x09-\\x0D]+') AS ws FROM w, LATERAL (SELECT unnest(string_split(t, chr(10))) AS line) u),
 solid AS (SELECT doc_id, source, line, len(ws) AS n, array_to_string(ws, ' ') AS k FROM lines WHERE len(ws) > 0),
-hosts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS n FROM documents GROUP BY source),
 bad AS (SELECT s.source, s.k FROM (SELECT source, k, count(DISTINCT doc_id) AS c FROM solid GROUP BY source, k) s
   JOIN hosts h ON s.source IS NOT DISTINCT FROM h.source WHERE s.c >= {MIN_DOCS} AND s.c > {MAX_SHARE}::DOUBLE * h.n),
 per AS (SELECT s.doc_id, count(*) - count(DISTINCT s.line) AS dup, sum(CASE WHEN b.k IS NULL THEN 0 ELSE s.n END) AS gone

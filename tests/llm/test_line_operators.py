@@ -38,7 +38,8 @@ def fold(line):
 def test_line_quality_equals_plain(spark):
     docs, rows = documents(spark)
     key = lambda x: " ".join(fold(x))
-    bad = share_of(rows, key)
+    once = {(i, n if i is None else 0, t, s): (i, t, s) for n, (i, t, s) in enumerate(rows)}  # a row without an id is its own
+    bad = share_of(list(once.values()), key)
     want, texts = Counter(), Counter()
     for i, t, s in rows:
         lines = (t or "").split("\n")
@@ -59,6 +60,18 @@ def test_line_quality_equals_plain(spark):
     assert line_quality(none(spark)).count() == 0
 
 
+def test_repeated_rows_are_one_document(spark):
+    """One document given 25 times beside 148 others makes no line frequent; 25 documents of the same lines do."""
+    words = " ".join(f"w{i}" for i in range(30))
+    others = [(i, " ".join(f"o{i}x{j}" for j in range(30)), "s") for i in range(148)]
+    for ids, kept in (([1000] * 25, True), (range(1000, 1025), False), ([None] * 25, False)):
+        docs = spark.createDataFrame(others + [(i, words, "s") for i in ids], "doc_id long, text string, source string")
+        got = [r.kept for r in line_quality(docs).filter("doc_id IS NULL OR doc_id >= 1000").collect()]
+        assert got == [kept] * 25
+        cleaned = without_frequent_lines(docs).filter("doc_id IS NULL OR doc_id >= 1000").collect()
+        assert {r.text for r in cleaned} == {words if kept else ""}
+
+
 @pytest.mark.parametrize("words, covered", [([], 0), (["a"] * 8, 0), (["a"] * 9, 9), (list("abcdefgh") * 2, 16), (list("abcdefghx") + list("abcdefgh"), 16)])
 def test_repeated_words(words, covered):
     assert repeated_words([w.encode() for w in words]) == covered
