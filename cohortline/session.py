@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 from pathlib import Path
 
@@ -37,7 +39,11 @@ def _local_folder() -> str:
 
 
 _shipped: set[str] = set()
-_written: list[str] = []
+
+
+def _written(spark: SparkSession) -> list[str]:
+    """Folders that this session has written and not released; other sessions have lists of their own."""
+    return spark.__dict__.setdefault("_cohortline_written", [])
 
 
 def ship(spark: SparkSession) -> None:
@@ -81,17 +87,28 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/cohortline-{uuid.uuid4().hex}"
-    _written.append(path)
+    _written(spark).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete what ``durable`` has written so far; results that were not written elsewhere can't be read after that."""
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete what ``durable`` has written in this session so far, but for the first ``since`` folders; results that were
+    not written elsewhere can't be read after that."""
     paths = spark._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    gone = 0
-    while _written:
-        path = paths(_written.pop())
+    written, gone = _written(spark), 0
+    while len(written) > since:
+        path = paths(written.pop())
         gone += bool(path.getFileSystem(conf).delete(path, True))
     return gone
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Release what ``durable`` writes within the block at its end; what was written before stays."""
+    before = len(_written(spark))
+    try:
+        yield
+    finally:
+        release(spark, before)

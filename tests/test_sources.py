@@ -121,3 +121,23 @@ def test_release_deletes_what_was_written(spark, frame):
     kept = durable(frame([(1,)], "a int"))
     folder = kept.inputFiles()[0].rpartition("/")[0].removeprefix("file:")
     assert release(spark) >= 1 and not os.path.exists("/" + folder.lstrip("/"))
+
+
+def test_scratch_releases_its_own(spark, frame):
+    """A block deletes what it wrote, other sessions' folders and earlier ones stay."""
+    import os
+
+    from cohortline.session import durable, release, scratch
+
+    def folder(df):
+        return os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+
+    kept = durable(frame([(1,)], "x int"))
+    other = spark.newSession()
+    theirs = durable(other.createDataFrame([(3,)], "x int"))
+    with scratch(spark):
+        inner = folder(durable(frame([(2,)], "x int")))
+        assert os.path.isdir(inner)
+    assert not os.path.exists(inner) and kept.collect()[0].x == 1
+    release(spark)
+    assert theirs.collect()[0].x == 3 and release(other) == 1
