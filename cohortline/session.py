@@ -41,7 +41,7 @@ def _local_folder() -> str:
 _shipped: set[str] = set()
 
 
-def _written(spark: SparkSession) -> list[str]:
+def written(spark: SparkSession) -> list[str]:
     """Folders that this session has written and not released; other sessions have lists of their own."""
     return spark.__dict__.setdefault("_cohortline_written", [])
 
@@ -87,19 +87,20 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/cohortline-{uuid.uuid4().hex}"
-    _written(spark).append(path)
+    written(spark).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, since: int = 0) -> int:
-    """Delete what ``durable`` has written in this session so far, but for the first ``since`` folders; results that were
-    not written elsewhere can't be read after that."""
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete what ``durable`` has written in this session so far, but for the first ``since`` folders and the last ``keep``
+    ones; results that were not written elsewhere can't be read after that."""
     paths = spark._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    written, gone = _written(spark), 0
-    while len(written) > since:
-        path = paths(written.pop())
+    mine, gone = written(spark), 0
+    for folder in mine[since:len(mine) - keep]:
+        mine.remove(folder)
+        path = paths(folder)
         gone += bool(path.getFileSystem(conf).delete(path, True))
     return gone
 
@@ -107,7 +108,7 @@ def release(spark: SparkSession, since: int = 0) -> int:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Release what ``durable`` writes within the block at its end; what was written before stays."""
-    before = len(_written(spark))
+    before = len(written(spark))
     try:
         yield
     finally:

@@ -15,6 +15,7 @@ from cohortline.llm.nbsvm import quality_scores
 from cohortline.llm.queries import pack_documents
 from cohortline.llm.secrets import scan_secrets
 from cohortline.llm.simhash import one_per_group
+from cohortline.session import release, written
 
 
 def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -25,7 +26,8 @@ def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts to be of label 0 go."""
+    """Documents that the quality classifier predicts to be of label 0 go. Null and empty texts are scored like others, by the
+    constant alone; rows of equal texts fare alike, repeated rows stay or go together; ties don't arise, as the score decides."""
     scored = quality_scores(docs, table(spark, sf_dir, "labels"))
     return scored.filter("predicted = 1").select("row.*")
 
@@ -41,12 +43,13 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are masked; every document stays."""
+    """Secrets in texts are masked; every document stays. Null texts stay null, empty ones empty; repeated rows are masked alike."""
     return _measured(scan_secrets(docs).select("row.*"), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences."""
+    """Pieces of the documents with their places in sequences. A null or empty text is its end id alone; repeated rows and null
+    ids are packed each for itself; pieces of equal length are placed by id and start."""
     return pack_documents(docs)
 
 
@@ -63,9 +66,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``. What a stage read and wrote on the way is deleted once its rows are written.
+
+    An empty table goes through all stages and gives no pieces.
+    """
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = durable(docs)
-    return docs
+    before = len(written(spark))
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+        release(spark, before, keep=1)
+    return STAGES[-1][1](spark, docs, sf_dir)
