@@ -60,6 +60,42 @@ def test_run_follows_the_stages(spark):
     assert {(r.doc_id, r.start, r.ids_crc32) for r in corpus_pipeline.run(spark, SMALL).collect()} == want
 
 
+def _table(folder, name, columns, rows):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    fields = [pa.field(c, t) for c, t in columns]
+    arrays = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)]
+    pq.write_table(pa.Table.from_arrays(arrays, schema=pa.schema(fields)), f"{folder}/{name}.parquet")
+
+
+def test_run_bears_odd_and_no_rows(spark, tmp_path):
+    """Nulls, repeated rows, clashing columns and an empty table go through run(); what it wrote on the way is gone."""
+    import pyarrow as pa
+
+    from cohortline.session import release, written
+
+    names = [("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())]
+    labels = [("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32())]
+    _, rows = documents(spark, 120)
+    for name, given in (("odd", rows), ("none", [])):
+        folder = tmp_path / name
+        folder.mkdir()
+        _table(folder, "documents", names + [("row", pa.string()), ("score", pa.string()), ("_text", pa.string())],
+               [(i, t, None, s, len(t or ""), "x", "y", "z") for i, t, s in given])
+        _table(folder, "labels", labels, [(i, n % 2, 0) for n, (i, _, _) in enumerate(given) if n % 3])
+        release(spark)
+        pieces = corpus_pipeline.run(spark, str(folder))
+        found = pieces.collect()
+        assert len(written(spark)) <= 4 and (found == []) == (given == [])
+        whole = {}
+        for r in found:
+            whole.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, r.length))
+        assert {i for i, _ in whole} <= {i for i, _, _ in given}
+        for (_, tokens), parts in whole.items():
+            assert sum(n for _, n in parts) % tokens == 0
+
+
 def test_nothing_else_needs_the_package():
     root = Path(contract.__file__).parent
     for path in root.rglob("*.py"):
