@@ -1,25 +1,24 @@
-"""Byte-level BPE: words are merged by rank with higher-order functions, frequent words once for the whole corpus."""
+"""Byte-level BPE: Spark splits, counts and deals the words; tasks merge each different word of an Arrow batch once."""
 
 from __future__ import annotations
 
 import base64
 import heapq
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortline.llm.common import pack_row, ship
 
-#: The most frequent words of the corpus; their ids are found once and sent along with the plan.
+#: The most frequent words of the corpus; their ids are found once and sent to the tasks.
 FREQUENT_WORDS = 1 << 18
-#: Words of more bytes are merged by a heap, as the number of fold steps grows with a word's length and each looks at all pairs.
+#: Words of more bytes are merged by a heap, as each of a short word's steps looks at all pairs.
 LONG_BYTES = 128
-#: A literal map is dealt over as many texts by hash, each searched from its start.
-BUCKETS = 1 << 16
-# around keys, before values and between buckets; keys hold none of them
-_ENTRY, _VALUE, _BUCKET = "\x01", "\x02", "\x03"
-MARKS = f"[{_ENTRY}{_VALUE}{_BUCKET}]"
+#: Above any rank.
+NO_RANK = 1 << 62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,45 +37,16 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _bucket(key: Column) -> Column:
-    return F.pmod(F.hash(key), F.lit(BUCKETS))
-
-
-class LiteralMap:
-    """A map between strings in the plan itself: an array of short texts, dealt by hash, as one literal.
-
-    A text per bucket is read by each task much faster than maps would be. Keys must be free of MARKS, values not empty.
-    """
-
-    def __init__(self, entries: DataFrame):
-        dealt = [""] * BUCKETS
-        for key, value, at in entries.toDF("k", "v").select("k", "v", _bucket(F.col("k"))).toPandas().itertuples(index=False):
-            dealt[at] = f"{dealt[at] or _ENTRY}{key}{_VALUE}{value}{_ENTRY}"
-        self.literal = F.split(F.lit(_BUCKET.join(dealt)), _BUCKET)
-
-    def bind(self, body) -> Column:
-        """body(find), with the literal once in the expression: each further copy would be read again by every task."""
-        return _let(self.literal, lambda table: body(lambda key: self._find(table, key)))
-
-    @staticmethod
-    def _find(table: Column, key: Column) -> Column:
-        # without the key the whole text is left, of which nothing lies before its first mark
-        after = F.call_function("substring_index", F.get(table, _bucket(key)), F.concat(F.lit(_ENTRY), key, F.lit(_VALUE)), F.lit(-1))
-        return F.nullif(F.substring_index(after, _ENTRY, 1), F.lit(""))
-
-
 class Vocabulary:
-    """Ranks as literals: tokens are hexadecimal strings inside expressions, so that joining tokens joins their bytes."""
+    """Ranks, the pattern that splits texts into words, and the tokens by rank as a literal of hexadecimal strings."""
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
         missing = [i for i in range(256) if bytes([i]) not in ranks]
         if missing:
             raise ValueError(f"ranks lack the single bytes {missing}")
-        # the text of a plan would repeat the literals below
+        # the text of a plan would repeat the literal below
         spark.conf.set("spark.sql.maxPlanStringLength", 1 << 20)
         self.spark, self.raw, self.pattern = spark, ranks, spark_pattern(pattern)
-        tokens = pd.DataFrame({"k": [t.hex().upper() for t in ranks], "v": [str(r) for r in ranks.values()]})
-        self.ranks = LiteralMap(spark.createDataFrame(tokens))
         names = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             names[rank] = token.hex().upper()
@@ -85,50 +55,32 @@ class Vocabulary:
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), 0)
 
-    def merged(self, word: Column) -> Column:
-        """Ids of one word, joined by commas: a token as a whole, or its bytes, of which the leftmost pair of least rank is
-        joined until none is left."""
-        return self.ranks.bind(lambda find: self.merge(word, find))
-
-    def merge(self, word: Column, find) -> Column:
-        """The same with the bound ranks."""
-
-        def rank(digits: Column) -> Column:
-            return find(digits).cast("int")
-
-        def step(state: Column) -> Column:
-            pieces, ranked = state["pieces"], state["ranked"]
-
-            def join(k: Column, joined: Column) -> Column:
-                # pair k, counted from 1, becomes one piece; only the ranks of the pairs beside it change
-                before = F.when(k > 1, F.concat(F.slice(ranked, 1, k - 2), F.array(rank(F.concat(F.get(pieces, k - 2), joined)))))
-                after = F.when(k < F.size(ranked), F.concat(
-                    F.array(rank(F.concat(joined, F.get(pieces, k + 1)))), F.slice(ranked, k + 2, F.size(ranked))))
-                none = F.array().cast("array<int>")
-                return F.struct(
-                    F.concat(F.slice(pieces, 1, k - 1), F.array(joined), F.slice(pieces, k + 2, F.size(pieces))).alias("pieces"),
-                    F.concat(F.coalesce(before, none), F.coalesce(after, none)).alias("ranked"))
-
-            return _let(F.array_min(ranked), lambda least: F.when(least.isNull(), state).otherwise(_let(
-                F.array_position(ranked, least).cast("int"), lambda k: _let(
-                    F.concat(F.get(pieces, k - 1), F.get(pieces, k)), lambda joined: join(k, joined)))))
-
-        def fold(digits: Column) -> Column:
-            # words of one byte are tokens, so there are two bytes at least
-            n = (F.length(digits) / 2).cast("int")
-            singles = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(digits, 2 * i + 1, F.lit(2)))
-            pairs = F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(F.substring(digits, 2 * i + 1, F.lit(4))))
-            start = F.struct(singles.alias("pieces"), pairs.alias("ranked"))
-            done = F.aggregate(F.sequence(F.lit(2), n), start, lambda state, _: step(state))
-            return F.array_join(F.transform(done["pieces"], find), ",")
-
-        return _let(F.hex(F.encode(word, "UTF-8")), lambda digits: F.coalesce(find(digits), fold(digits)))
-
     def decoded(self, ids: Column) -> Column:
         """The bytes of the ids' tokens, one after another."""
         return _let(self.tokens, lambda tokens: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(tokens, i)), "")))
 
 
+def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one word: a token as a whole, or its bytes, of which the leftmost pair of least rank is joined until none is left."""
+    if word in ranks:
+        return [ranks[word]]
+    if len(word) > LONG_BYTES:
+        return merge_long(word, ranks)
+    pieces = [word[i:i + 1] for i in range(len(word))]
+    ranked = [ranks.get(word[i:i + 2], NO_RANK) for i in range(len(word) - 1)]
+    while ranked and (least := min(ranked)) < NO_RANK:
+        k = ranked.index(least)
+        joined = pieces[k] + pieces[k + 1]
+        # pair k becomes one piece; only the ranks of the pairs beside it change
+        pieces[k:k + 2] = [joined]
+        del ranked[k]
+        if k < len(ranked):
+            ranked[k] = ranks.get(joined + pieces[k + 1], NO_RANK)
+        if k:
+            ranked[k - 1] = ranks.get(pieces[k - 1] + joined, NO_RANK)
+    return [ranks[x] for x in pieces]
+
+
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same for one word by a heap of pairs over a linked list; time grows with n log n."""
     if word in ranks:
@@ -159,43 +111,60 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[start[i]:end[i]]] for i in range(n) if alive[i]]
 
 
-def _long_ids(vocabulary: Vocabulary, words: Column) -> Column:
-    shared = vocabulary.spark.sparkContext.broadcast(vocabulary.raw)
+def merge_words(words: pa.Array, ranks: dict[bytes, int], known: dict[str, list[int]]) -> pa.Array:
+    """The ids of each word, one list a word; words that ``known`` lacks are merged."""
+    def ids(word: str) -> list[int]:
+        found = known.get(word)
+        return merge(word.encode("utf-8"), ranks) if found is None else found
+
+    return pa.array([ids(w) for w in words.to_pylist()], pa.list_(pa.int32()))
+
+
+def merge_texts(texts: pa.Array, ranks: dict[bytes, int], known: dict[str, list[int]]) -> pa.Array:
+    """The ids of each list of words; a word that comes again in the batch is looked up, not merged again."""
+    coded = texts.flatten().dictionary_encode()
+    by_word = merge_words(coded.dictionary, ranks, known)
+    ends = by_word.offsets.to_numpy().astype(np.int64)
+    at = coded.indices.to_numpy()
+    sizes = np.diff(ends)[at]
+    after = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+    # position of every id of every word among the ids of the different words
+    place = np.arange(after[-1]) + np.repeat(ends[at] - after[:-1], sizes)
+    offsets = texts.offsets.to_numpy()
+    return pa.ListArray.from_arrays(pa.array(after[offsets - offsets[0]], pa.int32()), pc.take(by_word.values, pa.array(place)))
+
+
+def _in_tasks(spark: SparkSession, step, ranks: dict[bytes, int], known: dict[str, list[int]]):
+    """``step`` over Arrow arrays as a column function; the two tables reach each Python worker once."""
+    shared = spark.sparkContext.broadcast((ranks, known))
 
-    @F.pandas_udf("array<string>")
-    def merge(lists: pd.Series) -> pd.Series:
-        return pd.Series([[",".join(map(str, merge_long(w.encode("utf-8"), shared.value))) for w in x] for x in lists])
+    @F.arrow_udf("array<int>")
+    def run(values: pa.Array) -> pa.Array:
+        return step(values, *shared.value)
 
-    return merge(words)
+    return run
 
 
-def frequent(docs: DataFrame, text: str, vocabulary: Vocabulary, count: int = FREQUENT_WORDS) -> LiteralMap:
-    """Ids of the ``count`` most frequent words that aren't tokens as they stand, over all documents (ties: by the word)."""
+def frequent(docs: DataFrame, text: str, vocabulary: Vocabulary, count: int = FREQUENT_WORDS) -> dict[str, list[int]]:
+    """Ids of the ``count`` most frequent words that come twice or more, over all documents (ties: by the word)."""
     words = docs.select(F.explode(vocabulary.words(docs[text])).alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
-    short = words.filter((F.octet_length("_w") <= LONG_BYTES) & ~F.col("_w").rlike(MARKS)).orderBy(F.desc("_n"), "_w").limit(count)
+    short = words.filter((F.octet_length("_w") <= LONG_BYTES) & (F.col("_n") > 1)).orderBy(F.desc("_n"), "_w").limit(count)
     # the limit leaves one partition
     dealt = short.repartition(docs.sparkSession.sparkContext.defaultParallelism, "_w")
-    return LiteralMap(dealt.select("_w", vocabulary.merged(F.col("_w"))))
+    ids = _in_tasks(docs.sparkSession, merge_words, vocabulary.raw, {})
+    found = dealt.select("_w", ids(F.col("_w")).alias("ids")).toArrow()
+    return dict(zip(found["_w"].to_pylist(), found["ids"].to_pylist()))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", frequent_words: int = FREQUENT_WORDS) -> DataFrame:
     """``row``, all columns of every row, and ``ids``, the ids of its whole text; a null text counts as empty.
 
-    Matches of the pattern are merged separately. The most frequent words, a fixed number, are merged once and looked up in a literal map; other
-    words are merged where they stand; those of over LONG_BYTES bytes by a heap in Python, in the same order of merges. No
-    text is shuffled, and nothing that grows with the corpus is collected.
+    Matches of the pattern are merged separately. The most frequent words, a fixed number, are merged once and looked up; other
+    words are merged once for each Arrow batch that has them, those of over LONG_BYTES bytes by a heap, in the same order of
+    merges. No text is shuffled, and nothing that grows with the corpus is collected.
     """
     ship(docs.sparkSession)
     known = frequent(docs, text, vocabulary, frequent_words)
-    split = pack_row(docs, words=vocabulary.words(docs[text]), marked=F.coalesce(docs[text].rlike(MARKS), F.lit(False)))
-    split = split.withColumn("_long", F.array_distinct(F.filter("_words", lambda w: F.octet_length(w) > LONG_BYTES)))
-    split = split.withColumn("_long_ids", _long_ids(vocabulary, F.col("_long")))
-
-    def ids(word: Column, look_up, find) -> Column:
-        seen = F.when(~F.col("_marked"), look_up(word))
-        return F.when(F.octet_length(word) > LONG_BYTES, F.get(F.col("_long_ids"), F.array_position("_long", word).cast("int") - 1)).otherwise(
-            F.coalesce(seen, vocabulary.merge(word, find)))
-
-    joined = known.bind(lambda look_up: vocabulary.ranks.bind(lambda find: F.array_join(
-        F.transform("_words", lambda word: ids(word, look_up, find)), ",")))
-    return split.select(F.col("_row").alias("row"), F.when(joined == "", F.array()).otherwise(F.split(joined, ",")).cast("array<int>").alias("ids"))
+    ids = _in_tasks(docs.sparkSession, merge_texts, vocabulary.raw, known)
+    split = pack_row(docs, words=vocabulary.words(docs[text]))
+    return split.select(F.col("_row").alias("row"), ids(F.col("_words")).alias("ids"))

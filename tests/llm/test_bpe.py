@@ -1,10 +1,12 @@
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+from cohortline.llm import bpe
 from cohortline.llm.bpe import Vocabulary, encode, merge_long, read_ranks
 from tests.llm.fixtures import documents, none
 
@@ -54,3 +56,28 @@ def test_long_words_by_heap(library):
 def test_single_bytes_are_needed(spark):
     with pytest.raises(ValueError):
         Vocabulary(spark, {b"a": 0}, ".")
+
+
+def test_words_are_merged_once_a_batch(library, monkeypatch):
+    """Repeated words of a batch cost one merge, and a slice of a larger array gives its own lists only."""
+    ranks, merged = read_ranks(PATH), []
+    plain = bpe.merge
+    monkeypatch.setattr(bpe, "merge", lambda word, r: merged.append(word) or plain(word, r))
+    texts = [["dropped"], [], ["ereinauie", " é", "ereinauie"], ["x" * 300, "", " é"], ["known", "ereinauie"]]
+    got = bpe.merge_texts(pa.array(texts).slice(1), ranks, {"known": [1, 2]}).to_pylist()
+    assert got == [[i for w in t for i in ([1, 2] if w == "known" else library.encode_ordinary(w))] for t in texts[1:]]
+    assert sorted(merged) == sorted(w.encode() for w in {"ereinauie", " é", "x" * 300, ""})
+    assert bpe.merge_texts(pa.array([], pa.list_(pa.string())), ranks, {}).to_pylist() == []
+
+
+def test_merge_equals_the_library(library):
+    ranks = read_ranks(PATH)
+    for word in ("ereinauie", " Thenndes", "aaaaaaaaaaaaaaaa", "éàü\U0001f600", "x", "thention" * 15, "\x00\x01"):
+        assert bpe.merge(word.encode(), ranks) == merge_long(word.encode(), ranks)
+
+
+def test_no_fold_is_left_in_the_plan(spark, vocabulary):
+    """A fold copies its state at every lambda, some hundred microseconds a word."""
+    docs, _ = documents(spark, 5)
+    plan = encode(docs, vocabulary)._jdf.queryExecution().analyzed().toString().lower()
+    assert "aggregate(" not in plan and "substring_index" not in plan
