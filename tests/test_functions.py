@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from cohortline.functions import casting, dates, predicates, tails, text
+from cohortline.functions import casting, dates, predicates, significance, tails, text
 from cohortline.functions.significance import normalize_significance
 
 
@@ -187,3 +187,22 @@ def test_chi_square_tail_of_many_degrees(frame):
             got = frame([(x,)], "x double").select(tails.chi_square_tail("x", df)).first()[0]
             assert abs(got - math.erfc(z / math.sqrt(2)) / 2) < 2e-3
     assert frame([(0.0,)], "x double").select(tails.chi_square_tail("x", 499)).first()[0] == 1.0
+
+
+def test_significance_skips_patterns_that_cannot_match(spark, frame):
+    """The guarded steps give what the plain chain of rewrites gives, and no pattern runs where its text does not occur."""
+    parts = ["", "Benig", "Benign", "benignn", "Othe", "Other", "Pathogeni", "Pathogenic", "pathogenic", "pathogenicity", "VUS", "No", "Not",
+             "Not provided", "Risk factor", "Ris", "Drug response", "provide", "  ", "\n", "x", "Not in ClinVar", "Likely "]
+    texts = [a + b + c for a in parts for b in ("", "/", "\n", " ") for c in parts]
+    df = frame([(x,) for x in [*texts, None]], "v string")
+    plain = F.col("v")
+    for pattern, wording in significance.REWRITES:
+        plain = F.regexp_replace(plain, significance._anchored(pattern), wording)
+    plain = F.regexp_replace(F.regexp_replace(plain, " {2,}", " "), "^$", significance.ABSENT)
+    plain = F.regexp_replace(plain, significance._anchored(significance.ABSENT_PATTERN), significance.ABSENT)
+    for marker, wording in significance.WHOLE_VALUE:
+        plain = F.regexp_replace(plain, f"(?s)^.*{marker}.*$", wording)
+    got = normalize_significance("v")
+    assert df.filter(~got.eqNullSafe(plain)).select("v", got, plain).collect() == []
+    shown = df.select(got)._jdf.queryExecution().analyzed().toString()
+    assert shown.lower().count("contains(") >= len(significance.REWRITES)

@@ -89,6 +89,21 @@ def test_hot_reference_keys_are_cut(strict, hot):
     assert joins.hot_keys(ref, ["k"], 10**9).isEmpty()
 
 
+def test_reference_without_hot_keys_is_joined_once(strict, hot):
+    """The hot keys are known before the join is planned: without any, each side is shuffled once."""
+    left = strict.range(3000).select((F.col("id") * 3).alias("k"), "id")
+    ref = hot.select("k", F.col("id").alias("call"))
+    plain, got = (joins.annotate(left, ref, "k", ["call"], hot_rows=n) for n in (None, 10**6))
+    assert got.exceptAll(plain).isEmpty() and got.count() == plain.count()
+    assert final_plan(got).count("Join") == final_plan(plain).count("Join") == 1
+
+
+def test_first_row_sort_begins_with_the_keys_hash(spark, frame):
+    plan = final_plan(keyed.first_per_key(frame([("a", 1), ("a", 2), (None, 3), (None, 4)], "k string, v int"), "k", "v"))
+    sorts = re.findall(r"Sort \[(\w+)", plan)
+    assert sorts and all(x.startswith("_w") for x in sorts)
+
+
 def test_hot_reference_keys_under_two_names(frame):
     df = frame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "x int, y string")
     ref = frame([(1, n) for n in range(40)] + [(3, 0), (None, 5)], "z long, n int")
