@@ -7,7 +7,6 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +16,8 @@ from cohortline.llm.common import pack_row, ship
 FREQUENT_WORDS = 1 << 18
 #: Words of more bytes are merged by a heap, as each of a short word's steps looks at all pairs.
 LONG_BYTES = 128
+#: Words whose ids a task lays out in one step, as Python objects or positions; the rest waits in Arrow's form.
+WORDS_AT_ONCE = 1 << 14
 #: Above any rank.
 NO_RANK = 1 << 62
 
@@ -111,30 +112,40 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[start[i]:end[i]]] for i in range(n) if alive[i]]
 
 
-def merge_words(words: pa.Array, ranks: dict[bytes, int], known: dict[str, list[int]]) -> pa.Array:
-    """The ids of each word, one list a word; words that ``known`` lacks are merged."""
-    def ids(word: str) -> list[int]:
-        found = known.get(word)
-        return merge(word.encode("utf-8"), ranks) if found is None else found
+def _packed(words: pa.Array, ranks: dict[bytes, int], known: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words, one after another, and where each word's begin and the last one's end; ``known`` holds ids as packed int32."""
+    packed, ends = bytearray(), np.zeros(len(words) + 1, np.int64)
+    for first in range(0, len(words), WORDS_AT_ONCE):
+        for i, word in enumerate(words.slice(first, WORDS_AT_ONCE).to_pylist(), first + 1):
+            found = known.get(word)
+            packed += np.array(merge(word.encode("utf-8"), ranks), np.int32).tobytes() if found is None else found
+            ends[i] = len(packed) // 4
+    return np.frombuffer(packed, np.int32), ends
+
 
-    return pa.array([ids(w) for w in words.to_pylist()], pa.list_(pa.int32()))
+def merge_words(words: pa.Array, ranks: dict[bytes, int], known: dict[str, bytes]) -> pa.Array:
+    """The ids of each word, one list a word; words that ``known`` lacks are merged."""
+    ids, ends = _packed(words, ranks, known)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
 
 
-def merge_texts(texts: pa.Array, ranks: dict[bytes, int], known: dict[str, list[int]]) -> pa.Array:
+def merge_texts(texts: pa.Array, ranks: dict[bytes, int], known: dict[str, bytes]) -> pa.Array:
     """The ids of each list of words; a word that comes again in the batch is looked up, not merged again."""
     coded = texts.flatten().dictionary_encode()
-    by_word = merge_words(coded.dictionary, ranks, known)
-    ends = by_word.offsets.to_numpy().astype(np.int64)
-    at = coded.indices.to_numpy()
-    sizes = np.diff(ends)[at]
-    after = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
-    # position of every id of every word among the ids of the different words
-    place = np.arange(after[-1]) + np.repeat(ends[at] - after[:-1], sizes)
+    by_word, ends = _packed(coded.dictionary, ranks, known)
+    indices, sizes = coded.indices.to_numpy(), np.diff(ends)
+    # some words at a time, as the positions take several times the room of the ids
+    parts, counts = [np.zeros(0, np.int32)], np.zeros(len(indices) + 1, np.int64)
+    for first in range(0, len(indices), WORDS_AT_ONCE):
+        at = indices[first:first + WORDS_AT_ONCE]
+        after = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes[at])])
+        parts.append(by_word[np.arange(after[-1]) + np.repeat(ends[at] - after[:-1], sizes[at])])
+        counts[first + 1:first + 1 + len(at)] = counts[first] + after[1:]
     offsets = texts.offsets.to_numpy()
-    return pa.ListArray.from_arrays(pa.array(after[offsets - offsets[0]], pa.int32()), pc.take(by_word.values, pa.array(place)))
+    return pa.ListArray.from_arrays(pa.array(counts[offsets - offsets[0]], pa.int32()), pa.array(np.concatenate(parts)))
 
 
-def _in_tasks(spark: SparkSession, step, ranks: dict[bytes, int], known: dict[str, list[int]]):
+def _in_tasks(spark: SparkSession, step, ranks: dict[bytes, int], known: dict[str, bytes]):
     """``step`` over Arrow arrays as a column function; the two tables reach each Python worker once."""
     shared = spark.sparkContext.broadcast((ranks, known))
 
@@ -145,15 +156,15 @@ def _in_tasks(spark: SparkSession, step, ranks: dict[bytes, int], known: dict[st
     return run
 
 
-def frequent(docs: DataFrame, text: str, vocabulary: Vocabulary, count: int = FREQUENT_WORDS) -> dict[str, list[int]]:
-    """Ids of the ``count`` most frequent words that come twice or more, over all documents (ties: by the word)."""
+def frequent(docs: DataFrame, text: str, vocabulary: Vocabulary, count: int = FREQUENT_WORDS) -> dict[str, bytes]:
+    """Ids, packed as int32, of the ``count`` most frequent words that come twice or more, over all documents (ties: by the word)."""
     words = docs.select(F.explode(vocabulary.words(docs[text])).alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
     short = words.filter((F.octet_length("_w") <= LONG_BYTES) & (F.col("_n") > 1)).orderBy(F.desc("_n"), "_w").limit(count)
     # the limit leaves one partition
     dealt = short.repartition(docs.sparkSession.sparkContext.defaultParallelism, "_w")
     ids = _in_tasks(docs.sparkSession, merge_words, vocabulary.raw, {})
     found = dealt.select("_w", ids(F.col("_w")).alias("ids")).toArrow()
-    return dict(zip(found["_w"].to_pylist(), found["ids"].to_pylist()))
+    return {w: np.array(x, np.int32).tobytes() for w, x in zip(found["_w"].to_pylist(), found["ids"].to_pylist())}
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", frequent_words: int = FREQUENT_WORDS) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -62,9 +63,10 @@ def test_words_are_merged_once_a_batch(library, monkeypatch):
     """Repeated words of a batch cost one merge, and a slice of a larger array gives its own lists only."""
     ranks, merged = read_ranks(PATH), []
     plain = bpe.merge
+    monkeypatch.setattr(bpe, "WORDS_AT_ONCE", 2)
     monkeypatch.setattr(bpe, "merge", lambda word, r: merged.append(word) or plain(word, r))
     texts = [["dropped"], [], ["ereinauie", " é", "ereinauie"], ["x" * 300, "", " é"], ["known", "ereinauie"]]
-    got = bpe.merge_texts(pa.array(texts).slice(1), ranks, {"known": [1, 2]}).to_pylist()
+    got = bpe.merge_texts(pa.array(texts).slice(1), ranks, {"known": np.array([1, 2], np.int32).tobytes()}).to_pylist()
     assert got == [[i for w in t for i in ([1, 2] if w == "known" else library.encode_ordinary(w))] for t in texts[1:]]
     assert sorted(merged) == sorted(w.encode() for w in {"ereinauie", " é", "x" * 300, ""})
     assert bpe.merge_texts(pa.array([], pa.list_(pa.string())), ranks, {}).to_pylist() == []
